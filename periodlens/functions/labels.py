@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from periodlens.functions.text import let
+
 
 def confidence(scores: Column | str, label: str) -> Column:
     """Confidence of one label from a map; text that is no number and a missing label give NULL."""
@@ -21,18 +23,22 @@ def argmax_confidence(scores: Column | str, labels: Sequence[str]) -> Column:
     has none of the labels gives NULL.
     """
     scores = F.col(scores) if isinstance(scores, str) else scores
-    ranked = [
-        F.when(
-            F.map_contains_key(scores, name),
-            F.struct(
-                F.coalesce(confidence(scores, name), F.lit(0.0)).alias("conf"),
-                F.lit(-pos).alias("pos"),
-                F.lit(name).alias("label"),
-            ),
-        )
-        for pos, name in enumerate(labels)
-    ]
-    return F.array_max(F.array(*ranked))["label"]
+
+    def pick(bound: Column) -> Column:
+        ranked = [
+            F.when(
+                F.map_contains_key(bound, name),
+                F.struct(
+                    F.coalesce(confidence(bound, name), F.lit(0.0)).alias("conf"),
+                    F.lit(-pos).alias("pos"),
+                    F.lit(name).alias("label"),
+                ),
+            )
+            for pos, name in enumerate(labels)
+        ]
+        return F.array_max(F.array(*ranked))["label"]
+
+    return let(scores, pick)
 
 
 def _top(labels: Sequence[str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from periodlens.functions import labels as fx
-from periodlens.functions.text import _let, lexicon_count
+from periodlens.functions.text import let, lexicon_counts
 from periodlens.operators import skew
 
 
@@ -34,14 +34,13 @@ class LexiconLabeller:
 
     def transform(self, df: DataFrame, text: str) -> DataFrame:
         names = list(self.lexicons)
-        counts = F.array(*[lexicon_count(text, words).cast("double") for words in self.lexicons.values()])
 
-        def score(c):
-            total = sum((F.get(c, F.lit(i)) for i in range(1, len(names))), F.get(c, F.lit(0)))
-            shares = F.transform(c, lambda v: v / total)
+        def score(counts):
+            total = sum((F.get(counts, F.lit(i)) for i in range(1, len(names))), F.get(counts, F.lit(0)))
+            shares = F.transform(counts, lambda v: v / total)
             return F.when(total > 0, F.map_from_arrays(F.array(*[F.lit(n) for n in names]), shares))
 
-        scored = df.withColumn("scores", _let(counts, score))
+        scored = df.withColumn("scores", let(lexicon_counts(text, list(self.lexicons.values())), score))
         return scored.withColumn("label", fx.argmax_confidence("scores", names))
 
 
@@ -111,9 +110,9 @@ def label_chunks(
     ``spread`` names columns that tell the copies of one text apart (entity id and chunk position).
     """
     distinct = distinct_texts(chunks, text)
-    labelled = run_labeller(distinct, labeller, labels, text, partitions).drop("copies")
+    labelled = run_labeller(distinct, labeller, labels, text, partitions)
     hot = skew.hot_keys(distinct, [text], "copies")
-    return skew.join_unique(chunks, labelled, [text], hot, spread)
+    return skew.join_unique(chunks, labelled, [text], hot, spread, "copies")
 
 
 def count_labels(

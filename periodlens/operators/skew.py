@@ -19,7 +19,7 @@ def key_hash(keys: Sequence[str]):
 def hot_keys(counted: DataFrame, keys: Sequence[str], copies: str, hot_share: int = HOT_SHARE) -> DataFrame:
     """Hashes of the hot keys from one row per key with its number of copies; never more than ``hot_share`` rows."""
     total = counted.agg(F.sum(copies)).scalar()
-    return counted.filter(F.col(copies) * hot_share >= total).select(key_hash(keys).alias("_h")).distinct()
+    return counted.filter(F.col(copies) * hot_share >= total).select(key_hash(keys).alias("_h"))
 
 
 def join_unique(
@@ -28,22 +28,25 @@ def join_unique(
     keys: Sequence[str],
     hot: DataFrame,
     spread: Sequence[str],
+    copies: str,
     how: str = "inner",
     salts: int = SALTS,
 ) -> DataFrame:
-    """Join ``rows`` to ``unique`` (one row per key), keeping every row.
+    """Join ``rows`` to ``unique`` (one row per key, with its ``copies``), keeping every row.
 
     Rows of a hot key are spread over ``salts`` tasks by a hash of the ``spread`` columns, and only the hot
     rows of ``unique`` are repeated to meet them. The shuffle key is a 64-bit hash; equality of the keys
     themselves is checked as well, so a hash collision cannot join wrong rows. The set of hot hashes is
     bounded by its definition (:func:`hot_keys`), which is what makes broadcasting it safe.
     """
-    hot = F.broadcast(hot.select("_h", F.lit(True).alias("_hot")))
+    hot = F.broadcast(hot.select("_h", F.lit(True).alias("_hot")).distinct())
     left = rows.withColumn("_h", key_hash(keys)).join(hot, "_h", "left")
     left = left.withColumn(
         "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     ).drop("_hot")
-    right = unique.withColumn("_h", key_hash(keys)).join(hot, "_h", "left")
+    # The condition on the count is always true. It keeps the count in the plan, so that the shuffle behind
+    # ``unique`` is the one behind ``hot`` and runs once.
+    right = unique.filter(F.col(copies) > 0).drop(copies).withColumn("_h", key_hash(keys)).join(hot, "_h", "left")
     right = right.withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     ).drop("_hot")

@@ -24,7 +24,8 @@ def chunks(df: DataFrame, keys: Sequence[str], text: str, lines: int = 8, keep_e
 
 def lexicon_counts(df: DataFrame, text: str, lexicons: Mapping[str, Sequence[str]], keep: Sequence[str]) -> DataFrame:
     """``<name>_count`` per lexicon, next to the ``keep`` columns. The text itself is not carried along."""
-    return df.select(*keep, *[fx.lexicon_count(text, words).alias(f"{n}_count") for n, words in lexicons.items()])
+    counted = df.select(*keep, fx.lexicon_counts(text, list(lexicons.values())).alias("_counts"))
+    return counted.select(*keep, *[F.get("_counts", F.lit(i)).alias(f"{n}_count") for i, n in enumerate(lexicons)])
 
 
 def lexicon_stats(df: DataFrame, by: str, text: str, lexicons: Mapping[str, Sequence[str]]) -> DataFrame:

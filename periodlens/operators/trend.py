@@ -23,7 +23,6 @@ from periodlens.functions import stats
 from periodlens.operators import skew
 
 ALPHA = 0.05
-FDR_BUCKETS = 200
 
 
 def _clean(long: DataFrame) -> DataFrame:
@@ -106,49 +105,50 @@ def sens_slope(long: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return arrays.filter("n >= 2").select("series", "n", sen.alias("sen")).select("series", "n", "sen.*")
 
 
-def bh(df: DataFrame, p: str, family: Sequence[str] = (), alpha: float = ALPHA, buckets: int = FDR_BUCKETS) -> DataFrame:
+def _bucket(p: str):
+    """Value range of a p value: 256 equal ones, and below 1/256 eight per halving, as far down as doubles go."""
+    v = F.col(p)
+    low = -F.floor(F.log2(v) * 8)
+    return F.when(v >= 1 / 256, F.floor(v * 256) + 10000).when(v > 0, 9000 - low).otherwise(0).cast("int")
+
+
+def bh(df: DataFrame, p: str, family: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
     """Add ``p_bh`` and ``significant_fdr`` (Benjamini-Hochberg) within each family of tests.
 
-    A family may hold most of the rows. Equal p values are counted first, the distinct ones are cut into
-    ``buckets`` value ranges by approximate quantiles, ranked inside their range, and shifted by what lies in
-    the ranges below; the running minimum from above is put together the same way. No task sorts a whole
-    family, and the cut points only steer balance, so the result is exact. Rows with a NULL p stay, untested.
+    A family may hold most of the rows. Equal p values are counted first, the distinct ones are ranked inside
+    their value range, and shifted by what lies in the ranges below; the running minimum from above is put
+    together the same way. So no task sorts a whole family, and the result is exact. Rows with a NULL p stay,
+    untested. ``df`` is read twice; settle it first if it is costly (see ``sources.tables.settle``).
     """
     fam = list(family)
     keyed = df.withColumn("_fam", F.xxhash64(*fam) if fam else F.lit(0).cast("bigint"))
     distinct = keyed.filter(F.col(p).isNotNull()).groupBy("_fam", p).agg(F.count("*").alias("_c"))
-    cuts = distinct.groupBy("_fam").agg(
-        F.array_distinct(F.percentile_approx(p, [i / buckets for i in range(1, buckets)], 10 * buckets)).alias("_cuts")
+    # The three windows below share one shuffle and one sort each way.
+    part = W.partitionBy("_fam", "_b")
+    local = distinct.withColumn("_b", _bucket(p)).select(
+        "*", F.sum("_c").over(part.orderBy(p).rowsBetween(W.unboundedPreceding, 0)).alias("_up")
     )
-    placed = distinct.join(cuts, "_fam").withColumn(
-        "_b", F.size(F.filter("_cuts", lambda c: c < F.col(p)))
-    ).drop("_cuts")
-
     below = W.partitionBy("_fam").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    per_bucket = placed.groupBy("_fam", "_b").agg(F.sum("_c").alias("_cb"))
-    offsets = per_bucket.select(
+    offsets = local.groupBy("_fam", "_b").agg(F.sum("_c").alias("_cb")).select(
         "_fam",
         "_b",
         F.coalesce(F.sum("_cb").over(below), F.lit(0)).alias("_off"),
         F.sum("_cb").over(W.partitionBy("_fam")).alias("_m"),
     )
-    up = W.partitionBy("_fam", "_b").orderBy(p).rowsBetween(W.unboundedPreceding, 0)
-    ranked = placed.join(offsets, ["_fam", "_b"]).withColumn("_rank", F.col("_off") + F.sum("_c").over(up))
-    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
-
+    raw = local.join(offsets, ["_fam", "_b"]).withColumn(
+        "_raw", F.col(p) * F.col("_m") / (F.col("_off") + F.col("_up"))
+    )
     above = W.partitionBy("_fam").orderBy("_b").rowsBetween(1, W.unboundedFollowing)
     floors = raw.groupBy("_fam", "_b").agg(F.min("_raw").alias("_min")).select(
         "_fam", "_b", F.min("_min").over(above).alias("_floor")
     )
-    down = W.partitionBy("_fam", "_b").orderBy(p).rowsBetween(0, W.unboundedFollowing)
-    adjusted = (
-        raw.withColumn("_low", F.min("_raw").over(down))
-        .join(floors, ["_fam", "_b"])
-        .select("_fam", p, "_c", F.least("_low", "_floor", F.lit(1.0)).alias("p_bh"))
+    low = F.min("_raw").over(part.orderBy(p).rowsBetween(0, W.unboundedFollowing))
+    adjusted = raw.withColumn("_low", low).join(floors, ["_fam", "_b"]).select(
+        "_fam", p, "_c", F.least("_low", "_floor", F.lit(1.0)).alias("p_bh")
     )
     hot = skew.hot_keys(distinct, ["_fam", p], "_c")
     spread = [c for c in df.columns if c not in (p, *fam)] or [p]
-    joined = skew.join_unique(keyed, adjusted.drop("_c"), ["_fam", p], hot, spread, how="left")
+    joined = skew.join_unique(keyed, adjusted, ["_fam", p], hot, spread, "_c", how="left")
     return joined.select(*df.columns, "p_bh", (F.col("p_bh") <= alpha).alias("significant_fdr"))
 
 

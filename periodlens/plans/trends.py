@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from periodlens.operators import series, trend
+from periodlens.sources.tables import settle
 
 
 def table(long: DataFrame, alpha: float = trend.ALPHA, decade: float = 10.0, family: tuple[str, ...] = ()) -> DataFrame:
-    """One row per series, sorted by adjusted p.
+    """One row per series, sorted by adjusted p. Eager up to the tests, which are written out once.
 
     ``decade`` is the number of period units of the ``change_per_decade`` column. The percent change
     relates to the first value and is NULL where that is not positive.
@@ -34,11 +35,11 @@ def table(long: DataFrame, alpha: float = trend.ALPHA, decade: float = 10.0, fam
         F.when(F.col("x_first") > 0, F.try_divide(total, F.col("x_first")) * 100.0).alias("pct_change_vs_first"),
         trend.direction().alias("direction"),
     )
-    return trend.bh(rows, "p_raw", family, alpha).orderBy("p_bh", "series")
+    return trend.bh(settle(rows, "tests"), "p_raw", family, alpha).orderBy("p_bh", "series")
 
 
 def share_table(long: DataFrame, alpha: float = trend.ALPHA) -> DataFrame:
-    """Trend of each label's share with its first and last value, sorted by tau."""
+    """Trend of each label's share with its first and last value, sorted by tau. Eager up to the tests."""
     tested = trend.with_p(trend.mann_kendall(long))
     ends = series.first_last(long.filter(F.col("x").isNotNull()))
     rows = tested.join(ends, "series").select(
@@ -50,4 +51,4 @@ def share_table(long: DataFrame, alpha: float = trend.ALPHA) -> DataFrame:
         F.col("x_last").alias("share_last"),
         trend.direction().alias("direction"),
     )
-    return trend.bh(rows, "p_raw", (), alpha).orderBy("tau", "label")
+    return trend.bh(settle(rows, "tests"), "p_raw", (), alpha).orderBy("tau", "label")

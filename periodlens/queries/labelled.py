@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from periodlens.functions import labels as fx
 from periodlens.operators import agreement, labels, text
 from periodlens.queries.inputs import LABELS, NAMES, documents, r, read, rounded
-from periodlens.queries.sql import COUNTS, CHUNKS, FIRST, PERIOD, TIED, TOP, scored, weight
+from periodlens.queries.sql import COUNTS, CHUNKS, FIRST, TIED, TOP, scored, weight
+from periodlens.sources.tables import settle
 
 KEYS = ["doc_id", "lang", "period"]
 LEXICON = labels.LexiconLabeller(LABELS)
@@ -101,7 +102,8 @@ def _two_labellers(spark, sf):
     by_chunk = labels.dominant(_counts(spark, sf), NAMES, out="a").withColumn("tied", fx.tie_size(NAMES) > 1)
     whole = labels.run_labeller(documents(spark, sf).select("doc_id", "text"), LEXICON, NAMES, "text")
     both = by_chunk.join(whole.select("doc_id", F.col("dominant_label").alias("b")), "doc_id")
-    return both.filter("a IS NOT NULL AND b IS NOT NULL")
+    # Written out first: a filter on a label would otherwise move below the join and work the label out twice.
+    return settle(both.select("doc_id", "a", "b", "tied"), "labellers").filter("a IS NOT NULL AND b IS NOT NULL")
 
 
 def label_agreement(spark, sf):

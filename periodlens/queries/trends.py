@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from periodlens.operators import changepoint, labels, mix, series, trend
+from periodlens.operators import changepoint, mix, trend
 from periodlens.plans import trends as plans
-from periodlens.queries.inputs import EVENT_TYPES, events, month_series, r, rounded, supplier_series
+from periodlens.queries.inputs import events, month_series, rounded, supplier_series
 from periodlens.queries.sql import DAY, MANN_KENDALL, MONTH_SERIES, NORMAL_P, PETTITT, SEN, SUPPLIER_SERIES, fdr
-
-_COLS = ["series", "n", "s", "var_s", "z", "tau", "p_raw"]
+from periodlens.sources.tables import settle
 
 
 def mann_kendall(spark, sf):
@@ -29,7 +28,7 @@ def supplier_sens_slope(spark, sf):
 
 def bh_adjust(spark, sf):
     tested = changepoint.pettitt(supplier_series(spark, sf)).select("series", "p")
-    return rounded(trend.bh(tested, "p"), 9)
+    return rounded(trend.bh(settle(tested, "tests"), "p"), 9)
 
 
 def trend_table(spark, sf):

@@ -38,6 +38,16 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settle(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table to the shared folder and read it back: later uses start from there and know its size. Eager.
+
+    For results with one row per series that several steps use; it survives the loss of an executor.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, sep: str = ",",
              multi_line: bool = True) -> DataFrame:
     """CSV with header and quoted, possibly multi-line fields; a quote inside a field is doubled; UTF-8.
