@@ -30,7 +30,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Where that is unset a temporary folder is used, and only in local mode, since executors on other machines
     could not read it.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")

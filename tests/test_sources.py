@@ -1,4 +1,6 @@
-from pyspark.sql import functions as F
+import subprocess
+import sys
+from pathlib import Path
 
 from periodlens.operators import clean, mix
 from periodlens.sources import tables
@@ -38,11 +40,17 @@ def test_periods_are_replaced_one_by_one(spark, folder):
 
 
 def test_work_dir_follows_the_session(spark, folder):
-    spark.conf.set("spark.checkpoint.dir", folder)
-    try:
-        assert tables.work_dir(spark, "x").startswith(f"{folder}/x-")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    """The setting is fixed when Spark starts, so a session with it is started apart."""
+    script = (
+        "from pyspark.sql import SparkSession; from periodlens.sources import tables; "
+        f"s = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false')"
+        f".config('spark.checkpoint.dir', '{folder}').getOrCreate(); "
+        "t = tables.settle(s.range(5), 'x'); print('AT', tables.work_dir(s, 'x'), t.count())"
+    )
+    root = Path(__file__).resolve().parents[1]
+    out = subprocess.run([sys.executable, "-c", script], cwd=root, capture_output=True, text=True, timeout=120, check=True)
+    at = next(line for line in out.stdout.splitlines() if line.startswith("AT")).split()
+    assert at[1].startswith(f"{folder}/x-") and at[2] == "5" and len(list(Path(folder).glob("x-*"))) == 1
 
 
 def test_one_scan_reads_only_needed_columns(spark):
