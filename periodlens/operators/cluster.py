@@ -23,6 +23,7 @@ from periodlens.operators import mix, series
 # The scanned K and the seed.
 KS = range(2, 11)
 SEED = 42
+ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -122,11 +123,16 @@ def cluster(
     spark = df.sparkSession
     usable = df.dropna("any", subset=list(features))
     scaler, scaled = scale(usable, features)
-    points = scaled.orderBy(period).persist(StorageLevel.MEMORY_AND_DISK)
-    distinct = points.select("features").distinct().count()
-    ks = [k for k in ks if k <= distinct]
+    ordered = scaled.orderBy(period).persist(StorageLevel.MEMORY_AND_DISK)
+    size = ordered.count()
+    ks = [k for k in ks if k <= size]
     if len(ks) < 3:
-        raise ValueError("need at least three values of K that do not exceed the number of distinct points")
+        ordered.unpersist()
+        raise ValueError("need at least three values of K that do not exceed the number of points")
+    # Every iteration is a job over all partitions, so a few points should not be spread over many of them.
+    points = ordered.coalesce(max(1, size // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
+    points.count()
+    ordered.unpersist()
     models = fit_all(points, ks, seeds)
     curve = spark.createDataFrame(
         [(k, float(m.summary.trainingCost)) for k, m in sorted(models.items())], "k int, wssse double"

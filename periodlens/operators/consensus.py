@@ -31,7 +31,8 @@ def vote(votes: DataFrame, spine: DataFrame, tol: int = 1, names: bool = True) -
     """``t, votes, votes_pm<tol>[, signals]`` for every period of the spine; votes outside it do not count.
 
     Each vote is spread to the periods within ``tol`` and everything is one aggregate, so no window runs over
-    the whole spine. ``names`` lists the voters of a period in signal order: as many entries as analyses voted.
+    the whole spine. ``names`` lists the voters of a period in signal order and suits a fixed set of analyses;
+    where every entity casts a vote, leave it off and take :func:`voters`.
     """
     near = votes.join(spine, "t", "left_semi").select(
         "signal", "ord", F.explode(F.sequence(F.col("t") - tol, F.col("t") + tol)).alias("t2"), F.col("t").alias("t1")
@@ -46,6 +47,11 @@ def vote(votes: DataFrame, spine: DataFrame, tol: int = 1, names: bool = True) -
     return out.na.fill("", ["signals"]) if names else out
 
 
+def voters(votes: DataFrame, spine: DataFrame) -> DataFrame:
+    """Who voted when, one row per vote on the spine."""
+    return votes.join(spine, "t", "left_semi").select("t", "ord", "grp", "signal")
+
+
 def top(voted: DataFrame, n: int = 12, tol: int = 1) -> DataFrame:
     """The n periods with most votes, then most smoothed votes, then earliest; periods without a vote never."""
     return voted.filter("votes > 0").orderBy(F.desc("votes"), F.desc(f"votes_pm{tol}"), "t").limit(n)

@@ -42,18 +42,8 @@ def _ranked(long: DataFrame) -> DataFrame:
     )
 
 
-def _tie_sums() -> list:
-    """Sums over groups of t equal values, taken point by point: t(t-1)(2t+5) and t(t-1)/2."""
-    t = F.col("ties")
-    return [F.sum((t - 1) * (2 * t + 5)).alias("tie_var"), F.sum((t - 1) / 2.0).alias("tie_pairs")]
-
-
-def mann_kendall(long: DataFrame) -> DataFrame:
-    """``series, n, s, var_s, z, tau`` per series of at least three points; see :func:`with_p` for p.
-
-    Variance with tie correction, Z with continuity correction, tau-b. A series whose values are all equal
-    has no trend: S and Z are 0 and tau is NULL.
-    """
+def _pair_signs(long: DataFrame) -> DataFrame:
+    """Points repeated per bit of their rank, with rising minus falling pairs that end there."""
     points = _ranked(long)
     levels = F.sequence(F.lit(0), F.length(F.bin("n")) - 1)
     looked = points.select("*", F.explode(levels).alias("level"))
@@ -63,24 +53,45 @@ def mann_kendall(long: DataFrame) -> DataFrame:
     before = W.partitionBy("series", "level", "prefix").orderBy("t").rowsBetween(W.unboundedPreceding, -1)
     ones = F.coalesce(F.sum("bit").over(before), F.lit(0))
     zeros = F.coalesce(F.sum(1 - F.col("bit")).over(before), F.lit(0))
-    signs = looked.withColumn("signs", F.when(F.col("bit") == 1, zeros).otherwise(-ones))
-    first = F.col("level") == 0
-    t = F.col("ties")
-    sums = signs.groupBy("series").agg(
-        F.max("n").alias("n"),
-        F.sum("signs").cast("bigint").alias("s"),
-        F.sum(F.when(first, (t - 1) * (2 * t + 5)).otherwise(0)).alias("tie_var"),
-        F.sum(F.when(first, (t - 1) / 2.0).otherwise(0.0)).alias("tie_pairs"),
-    )
+    return looked.withColumn("signs", F.when(F.col("bit") == 1, zeros).otherwise(-ones))
+
+
+def _tie_sums(counted=None) -> list:
+    """Sums over groups of t equal values, taken point by point: t(t-1)(2t+5) and t(t-1)/2."""
+    t, counted = F.col("ties"), F.lit(True) if counted is None else counted
+    return [
+        F.sum(F.when(counted, (t - 1) * (2 * t + 5)).otherwise(0)).alias("tie_var"),
+        F.sum(F.when(counted, (t - 1) / 2.0).otherwise(0.0)).alias("tie_pairs"),
+    ]
+
+
+def _variance():
+    n = F.col("n").cast("double")
+    return (n * (n - 1) * (2 * n + 5) - F.col("tie_var")) / 18.0
+
+
+def _statistics(sums: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     pairs = n * (n - 1) / 2
     return (
         sums.filter("n >= 3")
-        .withColumn("var_s", (n * (n - 1) * (2 * n + 5) - F.col("tie_var")) / 18.0)
+        .withColumn("var_s", _variance())
         .withColumn("z", F.coalesce(F.try_divide(F.col("s") - F.signum("s"), F.sqrt("var_s")), F.lit(0.0)))
         .withColumn("tau", F.try_divide(F.col("s").cast("double"), F.sqrt((pairs - F.col("tie_pairs")) * pairs)))
-        .select("series", "n", "s", "var_s", "z", "tau")
+        .drop("tie_var", "tie_pairs")
+    )
+
+
+def mann_kendall(long: DataFrame) -> DataFrame:
+    """``series, n, s, var_s, z, tau`` per series of at least three points; see :func:`with_p` for p.
+
+    Variance with tie correction, Z with continuity correction, tau-b. A series whose values are all equal
+    has no trend: S and Z are 0 and tau is NULL.
+    """
+    sums = _pair_signs(long).groupBy("series").agg(
+        F.max("n").alias("n"), F.sum("signs").cast("bigint").alias("s"), *_tie_sums(F.col("level") == 0)
     )
+    return _statistics(sums)
 
 
 def with_p(tested: DataFrame, z: str = "z", out: str = "p_raw") -> DataFrame:
@@ -88,21 +99,38 @@ def with_p(tested: DataFrame, z: str = "z", out: str = "p_raw") -> DataFrame:
     return tested.withColumn(out, stats.normal_two_sided(F.col(z)))
 
 
+def _slope(points: str, variance, alpha: float):
+    z = NormalDist().inv_cdf(1 - alpha / 2)
+    return stats.sen_udf(z)(F.col(f"{points}.t").cast("array<double>"), F.col(f"{points}.x"), variance)
+
+
 def sens_slope(long: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """``series, n, slope, ci_lo, ci_hi``: median pairwise slope and its rank-based interval, in x per unit of t."""
-    z = NormalDist().inv_cdf(1 - alpha / 2)
     arrays = _ranked(long).groupBy("series").agg(
+        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "x"))).alias("pts"), _tie_sums()[0]
+    )
+    sen = _slope("pts", _variance(), alpha)
+    return arrays.filter("n >= 2").select("series", "n", sen.alias("sen")).select("series", "n", "sen.*")
+
+
+def all_tests(long: DataFrame, alpha: float = ALPHA) -> DataFrame:
+    """Both tests and the ends of every series in one pass: one shuffle, no join.
+
+    ``series, n, s, var_s, z, tau, p_raw, slope, ci_lo, ci_hi, t_first, t_last, x_first, x_last``.
+    """
+    first = F.col("level") == 0
+    sums = _pair_signs(long).groupBy("series").agg(
         F.max("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct("t", "x"))).alias("pts"),
-        _tie_sums()[0],
+        F.sum("signs").cast("bigint").alias("s"),
+        *_tie_sums(first),
+        F.array_sort(F.collect_list(F.when(first, F.struct("t", "x")))).alias("pts"),
     )
-    n = F.col("n").cast("double")
-    sen = stats.sen_udf(z)(
-        F.col("pts.t").cast("array<double>"),
-        F.col("pts.x"),
-        (n * (n - 1) * (2 * n + 5) - F.col("tie_var")) / 18.0,
+    tested = with_p(_statistics(sums)).withColumn("sen", _slope("pts", F.col("var_s"), alpha))
+    head, tail = F.get("pts", F.lit(0)), F.element_at("pts", -1)
+    return tested.select(
+        "series", "n", "s", "var_s", "z", "tau", "p_raw", "sen.*",
+        head["t"].alias("t_first"), tail["t"].alias("t_last"), head["x"].alias("x_first"), tail["x"].alias("x_last"),
     )
-    return arrays.filter("n >= 2").select("series", "n", sen.alias("sen")).select("series", "n", "sen.*")
 
 
 def _bucket(p: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodlens.operators import series, trend
+from periodlens.operators import trend
 from periodlens.sources.tables import settle
 
 
@@ -15,12 +15,8 @@ def table(long: DataFrame, alpha: float = trend.ALPHA, decade: float = 10.0, fam
     ``decade`` is the number of period units of the ``change_per_decade`` column. The percent change
     relates to the first value and is NULL where that is not positive.
     """
-    tested = trend.with_p(trend.mann_kendall(long))
-    slopes = trend.sens_slope(long, alpha).drop("n")
-    ends = series.first_last(long.filter(F.col("x").isNotNull()))
-    rows = tested.join(slopes, "series").join(ends, "series")
     total = F.col("slope") * (F.col("t_last") - F.col("t_first"))
-    rows = rows.select(
+    rows = trend.all_tests(long, alpha).select(
         "series",
         "n",
         "tau",
@@ -40,9 +36,7 @@ def table(long: DataFrame, alpha: float = trend.ALPHA, decade: float = 10.0, fam
 
 def share_table(long: DataFrame, alpha: float = trend.ALPHA) -> DataFrame:
     """Trend of each label's share with its first and last value, sorted by tau. Eager up to the tests."""
-    tested = trend.with_p(trend.mann_kendall(long))
-    ends = series.first_last(long.filter(F.col("x").isNotNull()))
-    rows = tested.join(ends, "series").select(
+    rows = trend.all_tests(long, alpha).select(
         F.col("series").alias("label"),
         "tau",
         "z",

@@ -19,9 +19,12 @@ def _signals(spark, sf):
     return consensus.signals(features, consensus.signal(ranked, "supplier", 2, suffix=" (Pettitt)"))
 
 
+def _spine(spark, sf):
+    return lineitem(spark, sf).select(F.col("m").alias("t")).distinct()
+
+
 def _voted(spark, sf):
-    spine = lineitem(spark, sf).select(F.col("m").alias("t")).distinct()
-    return consensus.vote(_signals(spark, sf), spine)
+    return consensus.vote(_signals(spark, sf), _spine(spark, sf), names=False)
 
 
 def signals(spark, sf):
@@ -33,15 +36,31 @@ def signal_listing(spark, sf):
 
 
 def consensus_votes(spark, sf):
+    """Votes of the feature analyses with their names: breaks and ranked break of every feature."""
+    scores = month_scores(spark, sf)
+    found = changepoint.detect(scores, 5).select("series", F.explode("breaks").alias("t"))
+    ranked = changepoint.pettitt(scores).select("series", F.col("break_t").alias("t"))
+    both = consensus.signals(
+        consensus.signal(found, "feature", 1), consensus.signal(ranked, "ranked", 2, suffix=" (Pettitt)")
+    )
+    return consensus.vote(both, _spine(spark, sf))
+
+
+def supplier_votes(spark, sf):
+    """Votes of the features and of every supplier, counted only."""
     return _voted(spark, sf)
 
 
+def supplier_voters(spark, sf):
+    return consensus.voters(_signals(spark, sf), _spine(spark, sf))
+
+
 def consensus_top(spark, sf):
-    return consensus.top(_voted(spark, sf).drop("signals"))
+    return consensus.top(_voted(spark, sf))
 
 
 def consensus_peaks(spark, sf):
-    return consensus.peaks(_voted(spark, sf).drop("signals"))
+    return consensus.peaks(_voted(spark, sf))
 
 
 def synthesis_votes(spark, sf):
@@ -60,7 +79,10 @@ def synthesis_votes(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (signals, signal_listing, consensus_votes, consensus_top, consensus_peaks, synthesis_votes)
+    for f in (
+        signals, signal_listing, consensus_votes, supplier_votes, supplier_voters, consensus_top, consensus_peaks,
+        synthesis_votes,
+    )
 }
 
 _SIGNALS = f"""{MONTH_SCORES}, uni AS (SELECT series, '' AS dim, t, x FROM long), {partitions(5, 'uni')}, {CHOSEN},
@@ -68,18 +90,26 @@ _SIGNALS = f"""{MONTH_SCORES}, uni AS (SELECT series, '' AS dim, t, x FROM long)
     sig AS (SELECT series AS signal, 'feature' AS grp, 1 AS ord, unnest(string_split(path, ';'))::INTEGER AS t
             FROM chosen WHERE path <> ''
             UNION ALL SELECT series || ' (Pettitt)', 'supplier', 2, break_t FROM pettitt)"""
-_VOTES = f"""{_SIGNALS}, spine AS (SELECT DISTINCT {MONTH} AS t FROM lineitem),
+_FEATURE_SIGNALS = f"""{MONTH_SCORES}, uni AS (SELECT series, '' AS dim, t, x FROM long), {partitions(5, 'uni')}, {CHOSEN},
+    {PETTITT},
+    sig AS (SELECT series AS signal, 'feature' AS grp, 1 AS ord, unnest(string_split(path, ';'))::INTEGER AS t
+            FROM chosen WHERE path <> ''
+            UNION ALL SELECT series || ' (Pettitt)', 'ranked', 2, break_t FROM pettitt)"""
+_COUNT = f"""spine AS (SELECT DISTINCT {MONTH} AS t FROM lineitem),
     direct AS (SELECT t, count(*) AS votes, string_agg(signal, '; ' ORDER BY ord, signal) AS signals FROM sig GROUP BY 1),
     near AS (SELECT s.t, count(*) AS c FROM spine s JOIN sig g ON abs(g.t - s.t) <= 1
              WHERE g.t IN (SELECT t FROM spine) GROUP BY 1),
     voted AS (SELECT s.t, coalesce(votes, 0) AS votes, coalesce(c, 0) AS votes_pm1, coalesce(signals, '') AS signals
               FROM spine s LEFT JOIN direct d ON s.t = d.t LEFT JOIN near n ON s.t = n.t)"""
+_VOTES = f"{_SIGNALS}, {_COUNT}"
 
 ORACLES = {
     "signals": f"WITH {_SIGNALS} SELECT signal, grp, ord, t FROM sig",
     "signal_listing": f"""WITH {_SIGNALS} SELECT ord, grp, signal, string_agg(t::VARCHAR, ';' ORDER BY t) AS periods
         FROM sig GROUP BY 1, 2, 3""",
-    "consensus_votes": f"WITH {_VOTES} SELECT * FROM voted",
+    "consensus_votes": f"WITH {_FEATURE_SIGNALS}, {_COUNT} SELECT * FROM voted",
+    "supplier_votes": f"WITH {_VOTES} SELECT t, votes, votes_pm1 FROM voted",
+    "supplier_voters": f"WITH {_VOTES} SELECT t, ord, grp, signal FROM sig WHERE t IN (SELECT t FROM spine)",
     "consensus_top": f"""WITH {_VOTES} SELECT t, votes, votes_pm1 FROM voted WHERE votes > 0
         ORDER BY votes DESC, votes_pm1 DESC, t LIMIT 12""",
     "consensus_peaks": f"WITH {_VOTES} SELECT t, votes, votes_pm1 FROM voted WHERE votes_pm1 >= 5",

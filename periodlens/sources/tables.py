@@ -108,8 +108,11 @@ def write_periods(df: DataFrame, path: str, period: str) -> None:
 
 
 def write_features(wide: DataFrame, base: str, period: str, features: Sequence[str]) -> list[str]:
-    """One tab-separated table per feature (period, avg_<feature>, num_songs); returns their paths."""
-    paths = []
+    """One tab-separated table per feature (period, avg_<feature>, num_songs); returns their paths.
+
+    The averages are worked out once, not once per feature.
+    """
+    wide, paths = settle(wide, "features"), []
     for f in features:
         one = wide.select(period, f"avg_{f}", F.col(f"num_{f}").alias("num_songs"))
         write_delimited(one.orderBy(period), f"{base}/{f}", single_file=True)
