@@ -104,15 +104,24 @@ def label_chunks(
     spread: Sequence[str],
     text: str = "chunk",
     partitions: int | None = None,
+    keep_text: bool = False,
 ) -> DataFrame:
     """Every chunk row with the label of its text; repeats keep their multiplicity.
 
-    ``spread`` names columns that tell the copies of one text apart (entity id and chunk position).
+    ``spread`` names columns that tell the copies of one text apart (entity id and chunk position). The texts
+    are dropped before the rows are shuffled, and the SHA-256 digest stands in for them; ``keep_text`` takes
+    them along and joins on the texts themselves.
     """
     distinct = distinct_texts(chunks, text)
     labelled = run_labeller(distinct, labeller, labels, text, partitions)
-    hot = skew.hot_keys(distinct, [text], "copies")
-    return skew.join_unique(chunks, labelled, [text], hot, spread, "copies")
+    if keep_text:
+        return skew.join_unique(chunks, labelled, [text], skew.hot_keys(distinct, [text], "copies"), spread, "copies")
+
+    def by_digest(df: DataFrame) -> DataFrame:
+        return df.withColumn("_digest", F.unhex(F.sha2(text, 256))).drop(text)
+
+    hot = skew.hot_keys(by_digest(distinct), ["_digest"], "copies")
+    return skew.join_unique(by_digest(chunks), by_digest(labelled), ["_digest"], hot, spread, "copies").drop("_digest")
 
 
 def count_labels(

@@ -42,7 +42,7 @@ def run(
         columns = list(dict.fromkeys([*keys, period]))
         chunks = text_ops.chunks(rows, columns, text, lines)
         labelled = ops.label_chunks(chunks, labeller, labels, [keys[0], "chunk_no"], partitions=partitions)
-        tables.write_periods(labelled.drop("chunk"), f"{out}/chunks", period)
+        tables.write_periods(labelled, f"{out}/chunks", period)
         progress.record(spark, manifest, period, type_, batch)
     return todo
 

@@ -40,7 +40,7 @@ def lexicon_label(spark, sf):
 
 def dedupe_label_join(spark, sf):
     """Every chunk row with the label of its text."""
-    return rounded(_labelled(spark, sf).drop("label", "chunk"))
+    return rounded(_labelled(spark, sf).drop("label"))
 
 
 def label_counts(spark, sf):

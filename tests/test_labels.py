@@ -72,11 +72,15 @@ def test_hot_text_keeps_its_rows_and_is_labelled_once(spark):
     chunks = spark.createDataFrame(rows, "id int, chunk_no int, chunk string")
     distinct = labels.distinct_texts(chunks)
     assert skew.hot_keys(distinct, ["chunk"], "copies").count() == 1
-    labeller = Counting(spark)
-    out = labels.label_chunks(chunks, labeller, EMOTIONS, ["id", "chunk_no"])
-    got = {r["id"]: (r["chunk"], r["dominant_label"]) for r in out.collect()}
-    assert len(got) == 3000 and labeller.seen.value == 1001
-    assert all(got[i] == (c, JOY if len(c) % 2 else FEAR) for i, _, c in rows)
+    for keep_text in (False, True):
+        labeller = Counting(spark)
+        out = labels.label_chunks(chunks, labeller, EMOTIONS, ["id", "chunk_no"], keep_text=keep_text)
+        assert ("chunk" in out.columns) == keep_text
+        got = out.collect()
+        assert len(got) == 3000 and labeller.seen.value == 1001
+        by_id = {r["id"]: r for r in got}
+        assert all(by_id[i]["dominant_label"] == (JOY if len(c) % 2 else FEAR) for i, _, c in rows)
+        assert not keep_text or all(by_id[i]["chunk"] == c for i, _, c in rows)
 
 
 def test_restart_takes_only_what_is_left(spark, folder):
