@@ -1,9 +1,9 @@
 """Change points in many series at once. Input: ``(series, t, x)``, or ``(series, dim, t, x)`` for several dimensions.
 
 A series is held as one row of prefix-sum arrays, so the cost of any segment is a subtraction. The search over
-segmentations is the exact dynamic programme, written as one array expression inside that row: no pair of
-periods becomes a row, nothing is shuffled between rounds, and no lineage builds up. Memory per series is
-linear in its periods, time is quadratic; periods are calendar steps after pre-aggregation.
+segmentations is the exact dynamic programme, run by an Arrow-batched helper on that row: no pair of periods
+becomes a row, nothing is shuffled between rounds, and no lineage builds up. Memory per series is linear in its
+periods, time is quadratic; periods are calendar steps after pre-aggregation.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from periodlens.functions import stats
+
 MAX_BREAKS = 5
 REPORT_CAP = 8
 
@@ -75,43 +77,22 @@ def _arrays(long: DataFrame) -> DataFrame:
     )
 
 
-# Squared error of the segment (s, b], summed over dimensions.
-_COST = """aggregate(dims, 0D, (acc, v) -> acc + (v.p2[b] - v.p2[s])
-           - (v.p1[b] - v.p1[s]) * (v.p1[b] - v.p1[s]) / (b - s))"""
-
-# Round 0: one segment from the start. Round j: best last break s of the first b points, the smallest s on ties.
-_ROUND_0 = f"""transform(sequence(0, n), b -> CASE WHEN b = 0 THEN named_struct('cost', double('inf'), 's', 0)
-               ELSE named_struct('cost', transform(array(0), s -> {_COST})[0], 's', 0) END)"""
-_ROUND_J = f"""transform(sequence(0, n), b -> CASE WHEN b <= j THEN named_struct('cost', double('inf'), 's', 0)
-               ELSE array_min(transform(sequence(j, b - 1), s ->
-                    named_struct('cost', element_at(rounds, -1)[s].cost + {_COST}, 's', s))) END)"""
-
-
 def partition(long: DataFrame, max_breaks: int = MAX_BREAKS) -> DataFrame:
     """Best segmentation with exactly m breaks for m = 0..``max_breaks`` (at most n-1).
 
     Output: ``series, n, d, m, sse, breaks`` with the first period of every new segment. All dimensions of a
     series must cover the same periods (see ``series.combine``).
     """
-    rows = _arrays(long).withColumn("top", F.least(F.lit(max_breaks), F.col("n") - 1))
-    rounds = F.expr(
-        f"""aggregate(sequence(0, top), cast(array() as array<array<struct<cost:double,s:int>>>), (rounds, j) ->
-            CASE WHEN j = 0 THEN array({_ROUND_0}) ELSE concat(rounds, array({_ROUND_J})) END)"""
-    )
-    solved = rows.select("series", "n", "d", "ts", rounds.alias("rounds"))
-    traced = solved.select("series", "n", "d", "ts", F.posexplode("rounds").alias("m", "last"), "rounds")
-    path = F.expr(
-        """aggregate(CASE WHEN m = 0 THEN cast(array() as array<int>) ELSE sequence(m, 1, -1) END,
-             named_struct('b', n, 'path', cast(array() as array<int>)),
-             (st, j) -> named_struct('b', rounds[j][st.b].s, 'path', concat(array(rounds[j][st.b].s), st.path))).path"""
-    )
-    return traced.select(
+    solve = stats.partition_udf(max_breaks)
+    solved = _arrays(long).select("series", "n", "d", "ts", solve("dims.p1", "dims.p2").alias("best"))
+    per_m = solved.select("series", "n", "d", "ts", F.posexplode(F.arrays_zip("best.sse", "best.breaks")).alias("m", "v"))
+    return per_m.select(
         "series",
         "n",
         "d",
         "m",
-        F.expr("last[n].cost").alias("sse"),
-        F.transform(path, lambda s: F.get("ts", s)).alias("breaks"),
+        F.col("v.sse").alias("sse"),
+        F.transform("v.breaks", lambda s: F.get("ts", s)).alias("breaks"),
     )
 
 

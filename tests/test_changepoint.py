@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
+from periodlens.functions.stats import best_partitions
 from periodlens.operators import changepoint as cp
 from periodlens.operators import cluster, series
 from periodlens.plans import changes
@@ -22,6 +23,15 @@ def test_partition_is_the_exhaustive_minimum(long_of):
         assert r["sse"] == pytest.approx(_sse(x, best), abs=1e-9) and tuple(r["breaks"]) == best
 
 
+def test_blocks_do_not_matter():
+    rng = np.random.default_rng(41)
+    x = rng.normal(size=(2, 150))
+    p1, p2 = (np.c_[np.zeros(2), v.cumsum(axis=1)] for v in (x, x * x))
+    whole, small = best_partitions(p1, p2, 4), best_partitions(p1, p2, 4, cells=500)
+    assert whole[1] == small[1] and whole[0] == pytest.approx(small[0])
+    assert whole[0][2] == pytest.approx(_sse(x.T, whole[1][2]))
+
+
 def test_more_breaks_than_points(long_of):
     rows = cp.partition(long_of({"s": [1.0, 2.0, 5.0], "one": [1.0]}), 5).collect()
     assert sorted((r["series"], r["m"]) for r in rows) == [("one", 0), ("s", 0), ("s", 1), ("s", 2)]
