@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import packing, simhash
+from periodlens.llm import chat, language, mixing, packing, secret_scan, simhash
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def _fold(modulus: int):
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(_read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -24,5 +28,64 @@ def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op5_packing": op5_packing}
-ORACLES: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.taken(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _read(spark, sf, "documents")
+    held_out = _fold(4) == 2
+    model = language.train(docs.filter(~held_out))
+    return language.predict(docs, model, columns={"doc_id": "doc_id"}).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
+    turns = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    read = chat.read_turns(chat.format_turns(turns.unionByName(probe)))
+    return chat.digests(read).withColumnRenamed("conv", "conv_id")
+
+
+def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = F.array(*map(F.lit, secret_scan.KINDS[:3]))
+    written = F.transform("spans", lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]))
+    base = F.transform(
+        F.filter("spans", lambda x: F.array_contains(kinds, x["kind"])),
+        lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"]),
+    )
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return secret_scan.spans(_read(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"),
+        count("hex").alias("n_hex"), F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
+        F.concat_ws(",", written).alias("spans"),
+    )
+
+
+# The written form adds 20 characters of control strings to a turn, and a backslash to each control string inside it.
+OP9_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+escaped AS (
+  SELECT *, len(role) + len(text) + 20 + len(regexp_extract_all(role || chr(10) || text,
+    '<\\*(s>|/s>|\|endoftext\|>)|\[\\*(INST\]|/INST\]|s>)|<\\*(INST\]|/INST\])|\[\\*(/s>|\|endoftext\|>)')) AS chars
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+
+QUERIES = {
+    "op4_simhash": op4_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_language": op8_language,
+    "op9_chat": op9_chat, "op10_secrets": op10_secrets,
+}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_chat": OP9_SQL}
