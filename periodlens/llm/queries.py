@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import chat, language, mixing, packing, secret_scan, simhash
+from periodlens.llm import chat, language, lattice, mixing, packing, quality, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -16,6 +16,17 @@ def _fold(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judged(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(_read(spark, sf, "documents")).select(
+        F.col("id").alias("doc_id"), "size", F.col("checksum").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.groups(_read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
@@ -32,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.taken(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op7_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    return lattice.score(_read(spark, sf, "documents"), _fold(7) == 2).withColumnRenamed("id", "doc_id")
+
+
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     docs = _read(spark, sf, "documents")
     held_out = _fold(4) == 2
@@ -85,7 +100,8 @@ FROM escaped GROUP BY conv_id
 """
 
 QUERIES = {
-    "op4_simhash": op4_simhash, "op5_packing": op5_packing, "op6_mixing": op6_mixing, "op8_language": op8_language,
-    "op9_chat": op9_chat, "op10_secrets": op10_secrets,
+    "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing, "op7_lattice": op7_lattice, "op8_language": op8_language, "op9_chat": op9_chat,
+    "op10_secrets": op10_secrets,
 }
 ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_chat": OP9_SQL}
