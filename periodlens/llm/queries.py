@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import chat, language, lattice, mixing, packing, quality, secret_scan, sharding, simhash
+from periodlens.llm import chat, language, lattice, mixing, nearest, packing, quality, secret_scan, sharding, simhash
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -16,6 +16,12 @@ def _fold(modulus: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def op1_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    index = nearest.build(_read(spark, sf, "embeddings"))
+    queries = index.rows.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query")
+    return nearest.search(index, queries).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judged(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -100,7 +106,7 @@ FROM escaped GROUP BY conv_id
 """
 
 QUERIES = {
-    "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op5_packing": op5_packing,
+    "op1_nearest": op1_nearest, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op5_packing": op5_packing,
     "op6_mixing": op6_mixing, "op7_lattice": op7_lattice, "op8_language": op8_language, "op9_chat": op9_chat,
     "op10_secrets": op10_secrets,
 }
