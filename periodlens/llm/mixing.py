@@ -177,7 +177,7 @@ def prepared(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` (all columns) as mixed: a document as often as slots take its first word, whole each time.
 
-    Documents without words are in no block and go. Rows are matched by id and size; rows equal in both share their count.
+    Documents without words are in no block and go. Rows equal in id, source and size share their count, rounded up.
     """
     rows, plan = prepared(docs, id_col, text_col, source_col)
     times = mix(rows, plan).filter("first = 0").groupBy("source", "start").agg(F.count("*").alias("times"))
@@ -185,7 +185,6 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         times.select(F.col("source").alias("s"), F.col("start").alias("at"), "times"),
         F.col("source").eqNullSafe(F.col("s")) & (F.col("start") == F.col("at")),
     )
-    # Rows equal in id, source and size: the total is dealt to them, the first ones get one more.
     summed = counted.groupBy("id", "source", "size").agg(F.sum("times").alias("times"))
     copies = rows.groupBy("id", "source", "size").agg(F.count("*").alias("copies"))
     per_row = summed.join(
