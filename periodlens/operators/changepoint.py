@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from periodlens.functions import stats
+from periodlens.operators.series import finite
 
 MAX_BREAKS = 5
 REPORT_CAP = 8
@@ -22,18 +23,23 @@ def _with_dim(long: DataFrame) -> DataFrame:
     return long if "dim" in long.columns else long.withColumn("dim", F.lit(""))
 
 
-def prefix_sums(long: DataFrame) -> DataFrame:
-    """``(series, dim, t, x, pos, p1, p2)``: running sums of x and x² up to and including the 1-based position."""
+def prefix_sums(long: DataFrame, centred: bool = False) -> DataFrame:
+    """``(series, dim, t, x, pos, p1, p2)``: running sums of x and x² up to and including the 1-based position.
+
+    ``centred`` takes the mean of the series from every value before summing. Squared errors stay the same, and a
+    large common level does not eat up the digits.
+    """
     w = W.partitionBy("series", "dim").orderBy("t")
     running = w.rowsBetween(W.unboundedPreceding, 0)
-    return _with_dim(long).filter(F.col("x").isNotNull()).select(
+    level = F.avg("x").over(W.partitionBy("series", "dim")) if centred else F.lit(0.0)
+    return finite(_with_dim(long)).withColumn("_v", F.col("x") - level).select(
         "series",
         "dim",
         "t",
         "x",
         F.row_number().over(w).alias("pos"),
-        F.sum("x").over(running).alias("p1"),
-        F.sum(F.col("x") * F.col("x")).over(running).alias("p2"),
+        F.sum("_v").over(running).alias("p1"),
+        F.sum(F.col("_v") * F.col("_v")).over(running).alias("p2"),
     )
 
 
@@ -45,10 +51,10 @@ def segment_cost(long: DataFrame, breaks: DataFrame) -> DataFrame:
     at its two ends, so the series is read once.
     """
     starts = breaks.select("series", "t", F.lit(True).alias("_start")).distinct()
-    marked = _with_dim(long).filter(F.col("x").isNotNull()).join(starts, ["series", "t"], "left")
+    marked = finite(_with_dim(long)).join(starts, ["series", "t"], "left")
     w = W.partitionBy("series", "dim").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     numbered = marked.withColumn("segment", F.sum(F.coalesce(F.col("_start"), F.lit(False)).cast("int")).over(w))
-    ends = numbered.join(prefix_sums(long).select("series", "dim", "t", "pos", "p1", "p2"), ["series", "dim", "t"])
+    ends = numbered.join(prefix_sums(long, centred=True).select("series", "dim", "t", "pos", "p1", "p2"), ["series", "dim", "t"])
     last = F.max(F.struct("pos", "p1", "p2"))
     per_segment = ends.groupBy("series", "dim", "segment").agg(
         F.min("t").alias("t_from"), F.max("t").alias("t_to"), F.count("*").alias("points"), last.alias("e")
@@ -57,13 +63,13 @@ def segment_cost(long: DataFrame, breaks: DataFrame) -> DataFrame:
     per_segment = per_segment.withColumn("b", prev)
     s1 = F.col("e.p1") - F.coalesce(F.col("b.p1"), F.lit(0.0))
     s2 = F.col("e.p2") - F.coalesce(F.col("b.p2"), F.lit(0.0))
-    costs = per_segment.withColumn("c", s2 - s1 * s1 / F.col("points"))
+    costs = per_segment.withColumn("c", F.greatest(s2 - s1 * s1 / F.col("points"), F.lit(0.0)))
     return costs.groupBy("series", "t_from", "t_to", "points").agg(F.sum("c").alias("cost"))
 
 
 def _arrays(long: DataFrame) -> DataFrame:
     """One row per series: ``n``, ``d``, sorted ``ts`` and, per dimension, prefix sums with a leading zero."""
-    per_dim = prefix_sums(long).groupBy("series", "dim").agg(
+    per_dim = prefix_sums(long, centred=True).groupBy("series", "dim").agg(
         F.array_sort(F.collect_list(F.struct("pos", "t", "p1", "p2"))).alias("pts")
     )
     zero = F.array(F.lit(0.0))
@@ -119,7 +125,7 @@ def pettitt(long: DataFrame) -> DataFrame:
     The statistic is a running sum of mid-ranks, so it takes one sort per series instead of all pairs.
     """
     by_value, by_time = W.partitionBy("series").orderBy("x"), W.partitionBy("series").orderBy("t")
-    points = long.filter(F.col("x").isNotNull()).select(
+    points = finite(long).select(
         "series",
         "t",
         F.count("*").over(W.partitionBy("series")).alias("n"),

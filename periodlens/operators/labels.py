@@ -10,7 +10,6 @@ from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from periodlens.functions import labels as fx
 from periodlens.functions.text import let, lexicon_counts
@@ -116,12 +115,22 @@ def label_chunks(
     labelled = run_labeller(distinct, labeller, labels, text, partitions)
     if keep_text:
         return skew.join_unique(chunks, labelled, [text], skew.hot_keys(distinct, [text], "copies"), spread, "copies")
+    hot = skew.hot_keys(by_digest(distinct, text), ["_digest"], "copies")
+    return skew.join_unique(by_digest(chunks, text), by_digest(labelled, text), ["_digest"], hot, spread, "copies").drop("_digest")
 
-    def by_digest(df: DataFrame) -> DataFrame:
-        return df.withColumn("_digest", F.unhex(F.sha2(text, 256))).drop(text)
 
-    hot = skew.hot_keys(by_digest(distinct), ["_digest"], "copies")
-    return skew.join_unique(by_digest(chunks), by_digest(labelled), ["_digest"], hot, spread, "copies").drop("_digest")
+def by_digest(df: DataFrame, text: str = "chunk", keep_text: bool = False) -> DataFrame:
+    """The rows with the SHA-256 digest of their text in its place, or beside it. A NULL text has a NULL digest."""
+    out = df.withColumn("_digest", F.unhex(F.sha2(text, 256)))
+    return out if keep_text else out.drop(text)
+
+
+def attach_labels(chunks: DataFrame, store: DataFrame, spread: Sequence[str], text: str = "chunk") -> DataFrame:
+    """Every chunk row with the label its text has in a store of labels by digest."""
+    rows = by_digest(chunks, text)
+    counted = rows.groupBy("_digest").agg(F.count("*").alias("copies"))
+    hot = skew.hot_keys(counted, ["_digest"], "copies")
+    return skew.join_unique(rows, store.withColumn("copies", F.lit(1)), ["_digest"], hot, spread, "copies").drop("_digest")
 
 
 def count_labels(
@@ -132,7 +141,8 @@ def count_labels(
     ``confidences`` adds ``sum_conf_<label>`` for the confidence tie rule.
     """
     counts = [F.count_if(F.col(label) == name).alias(name) for name in labels]
-    sums = [F.sum(f"conf_{name}").alias(f"sum_conf_{name}") for name in labels] if confidences else []
+    # Rounded, so that equal confidences stay equal whatever the order of adding them.
+    sums = [F.round(F.sum(f"conf_{name}"), 9).alias(f"sum_conf_{name}") for name in labels] if confidences else []
     return df.groupBy(*keys).agg(*counts, *sums)
 
 
@@ -207,8 +217,3 @@ def tie_multiplicity(counts: DataFrame, labels: Sequence[str]) -> DataFrame:
     return counts.select(fx.tie_size(labels).alias("tied_labels")).filter("tied_labels > 1").groupBy(
         "tied_labels"
     ).agg(F.count("*").alias("entities"))
-
-
-def with_total_share(df: DataFrame, value: str, by: Sequence[str], out: str = "share") -> DataFrame:
-    """Ratio of a value to its group's total."""
-    return df.withColumn(out, F.try_divide(F.col(value), F.sum(value).over(W.partitionBy(*by))))

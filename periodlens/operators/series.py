@@ -25,6 +25,11 @@ def day_index(ts: Column | str) -> Column:
     return F.unix_date(ts.cast("date"))
 
 
+def finite(df: DataFrame, value: str = "x") -> DataFrame:
+    """Rows whose value is a number: neither NULL nor NaN nor infinite."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
+
+
 def period_mean(df: DataFrame, period: str, features: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Average and non-NULL count of every feature per period: one scan, one shuffle for all of them."""
     aggs = [e for f in features for e in (F.avg(f).alias(f"avg_{f}"), F.count(f).alias(f"num_{f}"))]
@@ -76,7 +81,7 @@ def zscore(long: DataFrame, keys: Sequence[str] = ("series",), value: str = "x",
 
 def combine(long: DataFrame, parts: Sequence[str], name: str) -> DataFrame:
     """Several one-dimensional series → one multivariate ``(series, dim, t, x)``, on the periods all of them have."""
-    picked = long.filter(F.col("series").isin(list(parts)) & F.col("x").isNotNull())
+    picked = finite(long).filter(F.col("series").isin(list(parts)))
     counted = picked.withColumn("_n", F.count("*").over(W.partitionBy("t")))
     return counted.filter(F.col("_n") == len(set(parts))).select(
         F.lit(name).alias("series"), F.col("series").alias("dim"), "t", "x"

@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from periodlens.functions import stats
-from periodlens.operators import skew
+from periodlens.operators import series, skew
 
 ALPHA = 0.05
 
 
 def _clean(long: DataFrame) -> DataFrame:
-    return long.filter(F.col("x").isNotNull() & ~F.isnan("x")).select("series", "t", F.col("x").cast("double").alias("x"))
+    return series.finite(long).select("series", "t", F.col("x").cast("double").alias("x"))
 
 
 def _ranked(long: DataFrame) -> DataFrame:
@@ -133,11 +133,19 @@ def all_tests(long: DataFrame, alpha: float = ALPHA) -> DataFrame:
     )
 
 
-def _bucket(p: str):
-    """Value range of a p value: 256 equal ones, and below 1/256 eight per halving, as far down as doubles go."""
+# Distinct p values of a family that one task should rank at most.
+VALUES_PER_RANGE = 50_000
+
+
+def _bucket(p: str, fineness):
+    """Value range of a p value: 256 equal ones, and below 1/256 eight per halving, as far down as doubles go.
+
+    ``fineness`` cuts each of them into so many.
+    """
     v = F.col(p)
-    low = -F.floor(F.log2(v) * 8)
-    return F.when(v >= 1 / 256, F.floor(v * 256) + 10000).when(v > 0, 9000 - low).otherwise(0).cast("int")
+    high = F.floor(v * 256 * fineness) + (1 << 40)
+    low = F.floor(F.log2(v) * 8 * fineness) + (1 << 39)
+    return F.when(v >= 1 / 256, high).when(v > 0, low).otherwise(0).cast("bigint")
 
 
 def bh(df: DataFrame, p: str, family: Sequence[str] = (), alpha: float = ALPHA) -> DataFrame:
@@ -145,15 +153,19 @@ def bh(df: DataFrame, p: str, family: Sequence[str] = (), alpha: float = ALPHA)
 
     A family may hold most of the rows. Equal p values are counted first, the distinct ones are ranked inside
     their value range, and shifted by what lies in the ranges below; the running minimum from above is put
-    together the same way. So no task sorts a whole family, and the result is exact. Rows with a NULL p stay,
-    untested. ``df`` is read twice; settle it first if it is costly (see ``sources.tables.settle``).
+    together the same way. The more distinct values the largest family has, the more ranges there are, so no task
+    sorts a whole family, and the result is exact. Rows with a NULL p stay, untested and beside the join.
+    ``df`` is read more than once; settle it first if it is costly (see ``sources.tables.settle``).
     """
     fam = list(family)
-    keyed = df.withColumn("_fam", F.xxhash64(*fam) if fam else F.lit(0).cast("bigint"))
-    distinct = keyed.filter(F.col(p).isNotNull()).groupBy("_fam", p).agg(F.count("*").alias("_c"))
+    keyed = df.withColumn("_fam", F.struct(*fam) if fam else F.lit(0))
+    tested, untested = keyed.filter(F.col(p).isNotNull()), keyed.filter(F.col(p).isNull())
+    distinct = tested.groupBy("_fam", p).agg(F.count("*").alias("_c"))
+    largest = distinct.groupBy("_fam").count().agg(F.max("count")).scalar()
+    fineness = F.greatest(F.lit(1), F.ceil(largest / (128 * VALUES_PER_RANGE)))
     # The three windows below share one shuffle and one sort each way.
     part = W.partitionBy("_fam", "_b")
-    local = distinct.withColumn("_b", _bucket(p)).select(
+    local = distinct.withColumn("_b", _bucket(p, fineness)).select(
         "*", F.sum("_c").over(part.orderBy(p).rowsBetween(W.unboundedPreceding, 0)).alias("_up")
     )
     below = W.partitionBy("_fam").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
@@ -176,7 +188,8 @@ def bh(df: DataFrame, p: str, family: Sequence[str] = (), alpha: float = ALPHA)
     )
     hot = skew.hot_keys(distinct, ["_fam", p], "_c")
     spread = [c for c in df.columns if c not in (p, *fam)] or [p]
-    joined = skew.join_unique(keyed, adjusted, ["_fam", p], hot, spread, "_c", how="left")
+    joined = skew.join_unique(tested, adjusted, ["_fam", p], hot, spread, "_c", how="left")
+    joined = joined.unionByName(untested.withColumn("p_bh", F.lit(None).cast("double")))
     return joined.select(*df.columns, "p_bh", (F.col("p_bh") <= alpha).alias("significant_fdr"))
 
 

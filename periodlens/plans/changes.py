@@ -10,7 +10,10 @@ from periodlens.operators import changepoint, series
 
 
 def report(long: DataFrame, cap: int = changepoint.REPORT_CAP, alpha: float = 0.05) -> DataFrame:
-    """Per series: penalised breaks, whether the search stayed below its cap, and the single ranked break."""
+    """Per series: penalised breaks, whether the search stayed below its cap, and the single ranked break.
+
+    A series of one point has no break of either kind; its ranked columns are NULL.
+    """
     found = changepoint.detect(long, cap).select(
         "series", F.col("n").alias("n_periods"), F.col("m").alias("n_change_points"), "breaks",
         (F.col("m") < cap).alias("reliable"),
@@ -19,7 +22,7 @@ def report(long: DataFrame, cap: int = changepoint.REPORT_CAP, alpha: float = 0.
         "series", F.col("break_t").alias("pettitt_t"), F.col("k").alias("pettitt_k"), F.col("p").alias("pettitt_p"),
         (F.col("p") < alpha).alias("pettitt_significant"),
     )
-    return found.join(ranked, "series")
+    return found.join(ranked, "series", "left")
 
 
 def standardised(long: DataFrame, parts: tuple[str, ...], name: str) -> DataFrame:

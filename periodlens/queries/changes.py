@@ -27,7 +27,7 @@ def segment_cost(spark, sf):
 
 
 def optimal_partition(spark, sf):
-    out = changepoint.partition(month_scores(spark, sf), 3)
+    out = changepoint.partition(month_scores(spark, sf), 5)
     return rounded(out.withColumn("breaks", join_periods("breaks")))
 
 
@@ -36,6 +36,23 @@ def change_points(spark, sf):
     return rounded(out.withColumn("breaks", join_periods("breaks")))
 
 
+def change_points_raw(spark, sf):
+    """Breaks of the monthly means as they are, large levels and small ones."""
+    out = changepoint.detect(month_series(spark, sf), 5).select("series", "n", "m", join_periods("breaks").alias("breaks"))
+    return out
+
+
+def change_points_shifted(spark, sf):
+    """The same means on a level of a thousand million: the breaks stay where they are."""
+    raised = month_series(spark, sf).withColumn("x", F.col("x") + F.lit(1e9))
+    return changepoint.detect(raised, 5).select("series", "n", "m", join_periods("breaks").alias("breaks"))
+
+
+def change_report_raw(spark, sf):
+    out = plans.report(month_series(spark, sf), cap=8)
+    return rounded(out.withColumn("breaks", join_periods("breaks")))
+
+
 def change_points_joint(spark, sf):
     out = changepoint.detect(plans.standardised(month_series(spark, sf), JOINT, "joint"), 5)
     return rounded(out.withColumn("breaks", join_periods("breaks")))
@@ -75,21 +92,32 @@ def boundary_agreement(spark, sf):
 
 def mood_report(spark, sf):
     """Joint breaks, ranked breaks and cluster boundaries of two features."""
-    eras = cluster.by_means(lineitem(spark, sf), "m", list(JOINT), range(2, 6))
+    eras = cluster.by_means(lineitem(spark, sf), "m", list(JOINT))
     return plans.mood(month_series(spark, sf), JOINT, eras.clusters, "m")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        prefix_sums, segment_cost, optimal_partition, change_points, change_points_joint, elbow_pick, pettitt,
-        supplier_pettitt, change_report, label_boundaries, boundary_agreement, mood_report,
+        prefix_sums, segment_cost, optimal_partition, change_points, change_points_raw, change_points_shifted,
+        change_points_joint, elbow_pick, pettitt, supplier_pettitt, change_report, change_report_raw, label_boundaries, boundary_agreement, mood_report,
     )
 }
 
 _ONE_DIM = "uni AS (SELECT series, '' AS dim, t, x FROM long)"
 _FOUND = "SELECT series, n::INTEGER AS n, d::INTEGER AS d, m::INTEGER AS m, round(sse, 6) AS sse, {extra} path AS breaks FROM {table}"
 _PET = "SELECT series, n, k, break_t, round(p, 9) AS p FROM pettitt"
+_RAW = f"""WITH {MONTH_SERIES}, {_ONE_DIM}, {partitions(5, 'uni')}, {CHOSEN}
+    SELECT series, n::INTEGER AS n, m::INTEGER AS m, path AS breaks FROM chosen"""
+
+
+def _report(source: str) -> str:
+    return f"""WITH {source}, {_ONE_DIM}, {partitions(8, 'uni')}, {CHOSEN}, {PETTITT}
+        SELECT c.series, c.n::INTEGER AS n_periods, m::INTEGER AS n_change_points, path AS breaks, m < 8 AS reliable,
+            break_t AS pettitt_t, k AS pettitt_k, round(p, 6) AS pettitt_p, p < 0.05 AS pettitt_significant
+        FROM chosen c LEFT JOIN pettitt q ON c.series = q.series"""
+
+
 _EDGES = f"""c AS (SELECT {DAY} AS t, event_type, count(*) AS n FROM events GROUP BY 1, 2),
     top AS (SELECT t, event_type FROM c QUALIFY row_number() OVER (PARTITION BY t ORDER BY n DESC, event_type) = 1),
     edges AS (SELECT t FROM top QUALIFY event_type <> lag(event_type) OVER (ORDER BY t))"""
@@ -100,7 +128,7 @@ ORACLES = {
         FROM long WINDOW w AS (PARTITION BY series ORDER BY t)""",
     "segment_cost": f"""WITH {MONTH_SCORES} SELECT series, min(t) AS t_from, max(t) AS t_to, count(*) AS points,
         round(var_pop(x) * count(*), 6) AS cost FROM long GROUP BY series, t // 12""",
-    "optimal_partition": f"WITH {MONTH_SCORES}, {_ONE_DIM}, {partitions(3, 'uni')} {_FOUND.format(extra='', table='parts')}",
+    "optimal_partition": f"WITH {MONTH_SCORES}, {_ONE_DIM}, {partitions(5, 'uni')} {_FOUND.format(extra='', table='parts')}",
     "change_points": f"""WITH {MONTH_SCORES}, {_ONE_DIM}, {partitions(5, 'uni')}, {CHOSEN}
         {_FOUND.format(extra='round(bic, 6) AS bic,', table='chosen')}""",
     "change_points_joint": f"""WITH {MONTH_SERIES.replace('long AS (', 'raw AS (', 1)}, multi AS (
@@ -114,10 +142,10 @@ ORACLES = {
             ORDER BY abs((y2 - y1) * m - (x2 - x1) * sse + x2 * y1 - x1 * y2) DESC, m) = 1""",
     "pettitt": f"WITH {MONTH_SERIES}, {PETTITT} {_PET}",
     "supplier_pettitt": f"WITH {SUPPLIER_SERIES}, {PETTITT} {_PET}",
-    "change_report": f"""WITH {MONTH_SCORES}, {_ONE_DIM}, {partitions(8, 'uni')}, {CHOSEN}, {PETTITT}
-        SELECT c.series, c.n::INTEGER AS n_periods, m::INTEGER AS n_change_points, path AS breaks, m < 8 AS reliable,
-            break_t AS pettitt_t, k AS pettitt_k, round(p, 6) AS pettitt_p, p < 0.05 AS pettitt_significant
-        FROM chosen c JOIN pettitt q ON c.series = q.series""",
+    "change_points_raw": _RAW,
+    "change_points_shifted": _RAW,
+    "change_report": _report(MONTH_SCORES),
+    "change_report_raw": _report(MONTH_SERIES),
     "label_boundaries": f"WITH {_EDGES} SELECT 'top' AS series, t FROM edges",
     "boundary_agreement": f"""WITH {DAY_SERIES}, {_ONE_DIM}, {partitions(3, 'uni')}, {_EDGES},
         b AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM parts WHERE m = 3)

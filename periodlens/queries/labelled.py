@@ -55,10 +55,7 @@ def dominant_label(spark, sf):
 
 
 def tie_break_by_confidence(spark, sf):
-    counted = _counts(spark, sf, confidences=True)
-    # Rounded sums, so that equal confidences stay equal whatever the order of adding them.
-    sums = counted.withColumns({f"sum_conf_{n}": F.round(f"sum_conf_{n}", 9) for n in NAMES})
-    return labels.dominant(sums, NAMES, "confidence", out="label_confidence").select("doc_id", "label_confidence")
+    return labels.dominant(_counts(spark, sf, confidences=True), NAMES, "confidence", out="label_confidence").select("doc_id", "label_confidence")
 
 
 def tied_set(spark, sf):
@@ -101,9 +98,12 @@ def _two_labellers(spark, sf):
     """Per document: the label most of its chunks have, and the label of its text as a whole."""
     by_chunk = labels.dominant(_counts(spark, sf), NAMES, out="a").withColumn("tied", fx.tie_size(NAMES) > 1)
     whole = labels.run_labeller(documents(spark, sf).select("doc_id", "text"), LEXICON, NAMES, "text")
-    both = by_chunk.join(whole.select("doc_id", F.col("dominant_label").alias("b")), "doc_id")
+    # A text without a chunk has no label by chunks; one without a match has none either way. Both count as "none".
+    both = whole.select("doc_id", F.col("dominant_label").alias("b")).join(by_chunk, "doc_id", "left")
+    none = F.lit("none")
+    both = both.select("doc_id", F.coalesce("a", none).alias("a"), F.coalesce("b", none).alias("b"), F.coalesce("tied", F.lit(False)).alias("tied"))
     # Written out first: a filter on a label would otherwise move below the join and work the label out twice.
-    return settle(both.select("doc_id", "a", "b", "tied"), "labellers").filter("a IS NOT NULL AND b IS NOT NULL")
+    return settle(both, "labellers")
 
 
 def label_agreement(spark, sf):
@@ -173,8 +173,8 @@ _best_conf = "greatest(" + ", ".join(
 _names = " || ".join(f"CASE WHEN {n} = {TOP} THEN '+{n}' ELSE '' END" for n in NAMES)
 _TWO = f"""{COUNTS}, docs AS (SELECT doc_id, text FROM documents), {scored('docs', 'text', 'whole')},
     two AS (SELECT doc_id, {FIRST} AS a, {TIED} > 1 AS tied, w.dominant_label AS b
-            FROM counts c JOIN whole w USING (doc_id)),
-    both_set AS (SELECT * FROM two WHERE a IS NOT NULL AND b IS NOT NULL)"""
+            FROM whole w LEFT JOIN counts c USING (doc_id)),
+    both_set AS (SELECT doc_id, coalesce(a, 'none') AS a, coalesce(b, 'none') AS b, coalesce(tied, false) AS tied FROM two)"""
 _AGREE = """count(*) AS entities, count(*) FILTER (a = b) AS agreements, count(*) FILTER (a <> b) AS disagreements,
     round(count(*) FILTER (a = b) * 100.0::DOUBLE / count(*), 6) AS agreement_pct"""
 

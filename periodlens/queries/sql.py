@@ -73,7 +73,8 @@ def partitions(max_breaks: int, long: str = "long") -> str:
     A table with a ``dim`` column is taken as multivariate.
     """
     out = [
-        f"pts AS (SELECT series, dim, t, x, row_number() OVER (PARTITION BY series, dim ORDER BY t) AS pos FROM {long})",
+        f"""pts AS (SELECT series, dim, t, x - avg(x) OVER (PARTITION BY series, dim) AS x,
+            row_number() OVER (PARTITION BY series, dim ORDER BY t) AS pos FROM {long})""",
         """pref AS (SELECT series, dim, pos, sum(x) OVER w AS p1, sum(x * x) OVER w AS p2 FROM pts
             WINDOW w AS (PARTITION BY series, dim ORDER BY pos)
             UNION ALL SELECT DISTINCT series, dim, 0, 0.0, 0.0 FROM pts)""",

@@ -68,8 +68,8 @@ def synthesis_votes(spark, sf):
     items = lineitem(spark, sf)
     long = month_series(spark, sf)
     joint = ("l_quantity", "l_discount")
-    mood = cluster.by_means(items, "m", list(joint), range(2, 7))
-    kinds = cluster.by_mix(items, "m", "l_returnflag", range(2, 7))
+    mood = cluster.by_means(items, "m", list(joint))
+    kinds = cluster.by_mix(items, "m", "l_returnflag")
     shares = mix.category_mix(items, "m", "l_returnflag").selectExpr("l_returnflag AS series", "m AS t", "share AS x")
     found = synthesis.collect(
         long, joint, {"means clusters": (mood.clusters, "eras"), "mix clusters": (kinds.clusters, "mix")}, "m", shares

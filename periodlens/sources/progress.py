@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def finished(spark: SparkSession, manifest: str, period: str, type_: str = "int") -> DataFrame:
@@ -19,10 +20,11 @@ def finished(spark: SparkSession, manifest: str, period: str, type_: str = "int"
 
 
 def pending(df: DataFrame, manifest: str, period: str) -> list:
-    """Periods of ``df`` that are not recorded yet, in order: one value per calendar period."""
-    all_periods = df.select(period).where(f"`{period}` IS NOT NULL").distinct()
-    done = finished(df.sparkSession, manifest, period, df.schema[period].dataType.simpleString())
-    return [r[0] for r in all_periods.join(done, period, "left_anti").orderBy(period).collect()]
+    """``(period, rows)`` of what is not recorded yet, in order: one pair per calendar period. NULL is a period too."""
+    counts = df.groupBy(period).agg(F.count("*").alias("_rows"))
+    done = finished(df.sparkSession, manifest, period, df.schema[period].dataType.simpleString()).withColumnRenamed(period, "_done")
+    left = counts.join(done, F.col(period).eqNullSafe(F.col("_done")), "left_anti")
+    return [(r[0], r[1]) for r in left.orderBy(F.col(period).asc_nulls_first()).collect()]
 
 
 def record(spark: SparkSession, manifest: str, period: str, type_: str, values: Sequence) -> None:

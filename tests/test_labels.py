@@ -67,11 +67,13 @@ class Counting:
         return df.withColumn("label", pick(F.col(text))).withColumn("scores", F.create_map(F.col("label"), F.lit(1.0)))
 
 
-def test_hot_text_keeps_its_rows_and_is_labelled_once(spark):
+def test_hot_text_keeps_its_rows_and_is_labelled_once(spark, monkeypatch):
     rows = [(i, 0, "same text" if i % 3 else f"text {i}") for i in range(3000)]
     chunks = spark.createDataFrame(rows, "id int, chunk_no int, chunk string")
     distinct = labels.distinct_texts(chunks)
-    assert skew.hot_keys(distinct, ["chunk"], "copies").count() == 1
+    hot = skew.hot_keys(distinct, ["chunk"], "copies", rows_per_task=100).collect()
+    assert len(hot) == 1 and hot[0]["_salts"] == 20
+    monkeypatch.setattr(skew.hot_keys, "__defaults__", (100,))
     for keep_text in (False, True):
         labeller = Counting(spark)
         out = labels.label_chunks(chunks, labeller, EMOTIONS, ["id", "chunk_no"], keep_text=keep_text)
@@ -101,13 +103,47 @@ def test_restart_takes_only_what_is_left(spark, folder):
     finally:
         progress.record = record
     assert label_job.saved_chunks(spark, folder).count() > first
-    assert run(docs, periods_per_commit=1) == [2002, 2003]
+    assert run(docs, rows_per_commit=1) == [2002, 2003]
     assert run(docs) == []
     rolled = label_job.roll_up(spark, folder, ["id", "year"], EMOTIONS).collect()
     expected = {i: -(-(i % 20) // 8) for i in range(60) if i % 20}
     assert {r["id"]: r["joy"] for r in rolled} == expected and {r["entity_label"] for r in rolled} == {JOY}
 
 
+def test_texts_are_labelled_once_over_all_commits(spark, folder):
+    docs = spark.createDataFrame(
+        [(i, None if i % 5 == 4 else 2000 + i % 5, f"joyful text {i % 3}" if i else None) for i in range(30)],
+        "id int, year int, text string",
+    )
+    labeller = Counting(spark)
+    run = lambda rows: label_job.run(rows, folder, ["id"], "year", "text", labeller, EMOTIONS, rows_per_commit=6)
+    # The job breaks off after its second commit and is started again. NULL is the first period.
+    record, calls = progress.record, []
+
+    def breaking(spark, manifest, *a):
+        calls.append(manifest)
+        if len(calls) > 4:
+            raise RuntimeError("lost")
+        record(spark, manifest, *a)
+
+    progress.record = breaking
+    try:
+        with pytest.raises(RuntimeError):
+            run(docs)
+    finally:
+        progress.record = record
+    assert run(docs) == [2001, 2002, 2003]
+    assert label_job.saved_chunks(spark, folder).count() == 29 and labeller.seen.value == 3
+    assert sorted(r["texts"] for r in label_job.labelled_texts(spark, folder).collect()) == [0, 0, 0, 0, 3]
+
+
+def test_null_texts_keep_their_rows(spark):
+    chunks = spark.createDataFrame([(1, 0, None), (2, 0, "joyful"), (3, 0, None)], "id int, chunk_no int, chunk string")
+    lexicon = labels.LexiconLabeller({e: [e + "ful"] for e in EMOTIONS})
+    got = {r["id"]: r["dominant_label"] for r in labels.label_chunks(chunks, lexicon, EMOTIONS, ["id"]).collect()}
+    assert got == {1: None, 2: JOY, 3: None}
+
+
 def test_agreement(spark):
     df = spark.createDataFrame([("a", "a", True), ("a", "b", False), ("a", "b", False), ("c", "a", False)], "x string, y string, t boolean")
     s = agreement.summary(df, "x", "y", "t").first()

@@ -48,25 +48,37 @@ def test_normal_tail(spark):
     ]
 
 
-def test_sen_recovers_a_line(long_of):
-    r = trend.sens_slope(long_of({"line": [2.5 * t - 17 for t in range(2000, 2010)]}, 2000)).first()
-    assert r["slope"] == pytest.approx(2.5) and r["ci_lo"] <= r["slope"] <= r["ci_hi"]
+def test_slope_of_a_line_with_one_outlier(long_of):
+    values = [40 - 0.75 * t for t in range(14)]
+    values[5] += 100
+    r = trend.sens_slope(long_of({"line": values}, 300)).first()
+    assert r["slope"] == pytest.approx(-0.75) and r["ci_lo"] <= r["slope"] <= r["ci_hi"]
 
 
-def test_slopes_by_counting_equal_all_slopes():
+@pytest.mark.parametrize("cells", [1, 300, 1 << 20])
+def test_selected_slopes_are_slopes(cells):
+    """Exactly the values that sorting all slopes gives, ties and large levels included."""
     rng = np.random.default_rng(3)
-    for n in (5, 64, 65, 300):
+    for n in (2, 5, 64, 120):
         t = np.cumsum(rng.integers(1, 4, n)).astype(float)
-        x = rng.normal(size=n).round(1)
-        ranks = [1.0, 2.5, n * (n - 1) / 4, n * (n - 1) / 2]
-        assert slope_quantiles(t, x, ranks, direct=0) == pytest.approx(slope_quantiles(t, x, ranks), abs=1e-9)
+        for x in (rng.normal(size=n), rng.integers(0, 4, n).astype(float), 1e9 + rng.integers(0, 5, n)):
+            i, j = np.triu_indices(n, k=1)
+            slopes = np.sort((x[j] - x[i]) / (t[j] - t[i]))
+            ranks = list(range(1, len(slopes) + 1, max(1, len(slopes) // 7)))
+            assert slope_quantiles(t, x, [float(k) for k in ranks], cells) == [slopes[k - 1] for k in ranks]
+
+
+def test_flat_steps_have_slope_zero_however_long(long_of):
+    rng = np.random.default_rng(4)
+    r = trend.sens_slope(long_of({"s": 1e9 + rng.integers(0, 3, 1700)})).first()
+    assert r["slope"] == 0.0
 
 
 def test_bh(spark):
     rng = random.Random(5)
     # One family holds most tests, a third of them with the same p; another is small; one p is missing.
     ps = [("big", rng.random() ** 8) for _ in range(400)] + [("big", 1.0)] * 200 + [("big", 0.0)] * 3
-    ps += [("small", p) for p in (0.001, 0.008, 0.039, 0.041, 0.9)]
+    ps += [("small", p) for p in (0.0004, 0.013, 0.013, 0.02, 0.3, 0.66)]
     df = spark.createDataFrame([(i, f, p) for i, (f, p) in enumerate(ps)] + [(-1, "small", None)], "id int, fam string, p double")
     got = {r["id"]: r for r in trend.bh(df, "p", ["fam"]).collect()}
     assert len(got) == len(ps) + 1 and got[-1]["p_bh"] is None
