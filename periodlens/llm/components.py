@@ -22,7 +22,9 @@ def _pull(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def roots(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Links ``(a, b)`` of integers → ``(node, root)``, the smallest node of its component, for every node with a link.
+    """Links ``(a, b)`` of integers → ``(node, root)`` for every node with a link but the roots themselves.
+
+    The root is the smallest node of a component.
 
     Every round replaces links by links towards smaller nodes until all point at their root, which takes a number
     of rounds that grows with the logarithm of the longest path. Each round is written to the shared folder, so

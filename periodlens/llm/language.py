@@ -50,10 +50,10 @@ def trigram_counts(text: str | None, buckets: int = BUCKETS) -> np.ndarray | Non
         return None
     total, shift = np.zeros(buckets, np.int64), np.uint32(33 - buckets.bit_length())
     for at in range(0, len(codes), TEXT_BLOCK):
-        # The text has a space at either end; each block begins with the two characters before it.
+        # The text has a space at either end; each block begins with the two characters before it, that space included.
         low = max(0, at - 2)
         c = np.where(is_letter[low : at + TEXT_BLOCK], codes[low : at + TEXT_BLOCK], SPACE)
-        if at == 0:
+        if at < 2:
             c = np.concatenate((SPACE, c))
         if at + TEXT_BLOCK >= len(codes):
             c = np.concatenate((c, SPACE))

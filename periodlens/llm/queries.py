@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodlens.llm import chat, language, lattice, mixing, nearest, packing, quality, secret_scan, sharding, simhash
-
-
-def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+from periodlens.llm.common import read
 
 
 def _fold(modulus: int):
@@ -17,44 +14,44 @@ def _fold(modulus: int):
 
 
 def op1_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    index = nearest.build(_read(spark, sf, "embeddings"))
+    index = nearest.build(read(spark, sf, "embeddings"))
     queries = index.rows.filter(F.col("id") % 100 == 0).withColumnRenamed("id", "query")
     return nearest.search(index, queries).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
-    return quality.judged(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+    return quality.judged(read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op3_sharding(spark: SparkSession, sf: str) -> DataFrame:
-    return sharding.shard(_read(spark, sf, "documents")).select(
+    return sharding.shard(read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), "size", F.col("checksum").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
 def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
-    return simhash.groups(_read(spark, sf, "documents")).select(
+    return simhash.groups(read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
 
 def op5_packing(spark: SparkSession, sf: str) -> DataFrame:
-    return packing.pack(_read(spark, sf, "documents")).select(
+    return packing.pack(read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 
 
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.taken(_read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
+    return mixing.taken(read(spark, sf, "documents")).withColumnRenamed("id", "doc_id")
 
 
 def op7_lattice(spark: SparkSession, sf: str) -> DataFrame:
-    return lattice.score(_read(spark, sf, "documents"), _fold(7) == 2).withColumnRenamed("id", "doc_id")
+    return lattice.score(read(spark, sf, "documents"), _fold(7) == 2).withColumnRenamed("id", "doc_id")
 
 
 def op8_language(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _read(spark, sf, "documents")
+    docs = read(spark, sf, "documents")
     held_out = _fold(4) == 2
     model = language.train(docs.filter(~held_out))
     return language.predict(docs, model, columns={"doc_id": "doc_id"}).select(
@@ -63,11 +60,11 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf: str) -> DataFrame:
-    turns = _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
-    read = chat.read_turns(chat.format_turns(turns.unionByName(probe)))
-    return chat.digests(read).withColumnRenamed("conv", "conv_id")
+    formatted = chat.format_turns(turns.unionByName(probe))
+    return chat.digests(chat.read_turns(formatted)).withColumnRenamed("conv", "conv_id")
 
 
 def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +78,7 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     def count(kind: str):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
 
-    return secret_scan.spans(_read(spark, sf, "documents")).select(
+    return secret_scan.spans(read(spark, sf, "documents")).select(
         F.col("id").alias("doc_id"), count("assign").alias("n_assign"), count("access").alias("n_access"),
         count("hex").alias("n_hex"), F.sha2(F.concat_ws(",", base), 256).alias("base_sha256"),
         F.concat_ws(",", written).alias("spans"),
