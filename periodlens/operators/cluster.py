@@ -1,7 +1,8 @@
 """K-Means over periods with an automatic number of clusters.
 
-Fitting runs Spark jobs, so the functions that fit are eager. The fits for different K are independent and
-are submitted side by side. Points stay distributed throughout; only one (K, cost) pair per fit reaches the driver.
+Fitting runs Spark jobs, so the functions that fit are eager. The raw table is read once: its period table is
+settled, and scaler, fits and top categories start from there. The fits for different K are independent and are
+submitted side by side. Points stay distributed throughout; only one (K, cost) pair per fit reaches the driver.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from periodlens.operators import mix, series
+from periodlens.sources.tables import settle
 
 # The scanned K and the seed.
 KS = range(2, 11)
@@ -35,6 +37,7 @@ class Eras:
     best_k: int
     best_cost: float
     model: KMeansModel
+    models: dict[int, KMeansModel]
     scaler: PipelineModel
     points: DataFrame
 
@@ -121,14 +124,14 @@ def cluster(
 ) -> Eras:
     """Scale, fit every K, pick the elbow and assign each row its cluster. Eager; see :class:`Eras`."""
     spark = df.sparkSession
-    usable = df.dropna("any", subset=list(features))
+    usable = settle(df.dropna("any", subset=list(features)), "periods")
     scaler, scaled = scale(usable, features)
     ordered = scaled.orderBy(period).persist(StorageLevel.MEMORY_AND_DISK)
     size = ordered.count()
-    ks = [k for k in ks if k <= size]
-    if len(ks) < 3:
+    ks = list(ks)
+    if len(ks) < 3 or max(ks) > size:
         ordered.unpersist()
-        raise ValueError("need at least three values of K that do not exceed the number of points")
+        raise ValueError(f"need at least three values of K, none above the number of points, {size}")
     # Every iteration is a job over all partitions, so a few points should not be spread over many of them.
     points = ordered.coalesce(max(1, size // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
     points.count()
@@ -140,7 +143,7 @@ def cluster(
     picked = elbow(curve, k="k", cost="wssse").first()
     model = models[picked["best_k"]]
     assigned = model.transform(points).select(period, *keep, "prediction")
-    return Eras(_by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, scaler, points)
+    return Eras(_by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, models, scaler, points)
 
 
 def by_means(df: DataFrame, period: str, features: Sequence[str], ks: Sequence[int] = KS, seeds: Sequence[int] = (SEED,)) -> Eras:
@@ -155,12 +158,13 @@ def by_mix(df: DataFrame, period: str, category: str, ks: Sequence[int] = KS, se
 
     Clusters: ``period, num_songs, dominant_<category>, dominant_<category>_count, cluster``.
     """
-    values = mix.category_values(df, category)
+    counts = settle(mix.category_counts(df, period, category), "mix")
+    values = mix.category_values(counts, category)
     if len(values) < 2:
         raise ValueError("a mix needs at least two categories")
-    wide = mix.category_mix_wide(df, period, category, values).withColumnRenamed("num_rows", "num_songs")
+    wide = mix.widen(counts, period, category, values).withColumnRenamed("num_rows", "num_songs")
     eras = cluster(wide, period, [f"share_g{i}" for i in range(len(values))], ["num_songs"], ks, seeds)
-    top = mix.dominant_category(df, period, category)
+    top = mix.top_of_counts(counts, period, category)
     eras.clusters = eras.clusters.join(top, period).select(period, "num_songs", *top.columns[1:], "cluster")
     return eras
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+MOST_COLUMNS = 2000
+
+
 def category_counts(df: DataFrame, period: str, category: str) -> DataFrame:
     """Rows per (period, category); a NULL category is left out."""
     return df.filter(F.col(category).isNotNull()).groupBy(period, category).agg(F.count("*").alias("category_count"))
@@ -39,15 +42,32 @@ def category_mix_wide(df: DataFrame, period: str, category: str, values: Sequenc
     return wide.withColumns(shares)
 
 
+def widen(counts: DataFrame, period: str, category: str, values: Sequence[str]) -> DataFrame:
+    """As :func:`category_mix_wide`, from counts per period and category."""
+    n = F.col("category_count")
+    columns = [F.coalesce(F.sum(F.when(F.col(category) == v, n)), F.lit(0)).alias(f"g{i}") for i, v in enumerate(values)]
+    wide = counts.groupBy(period).agg(*columns, F.sum(n).alias("num_rows"))
+    return wide.withColumns({f"share_g{i}": F.try_divide(F.col(f"g{i}"), F.col("num_rows")) for i in range(len(values))})
+
+
 def category_values(df: DataFrame, category: str) -> list[str]:
-    """Distinct category values in order, for naming columns. Runs a job; meant for small closed sets."""
-    rows = df.filter(F.col(category).isNotNull()).select(category).distinct().orderBy(category).collect()
+    """Distinct category values in order, for naming columns. Runs a job.
+
+    More than ``MOST_COLUMNS`` are an error: they would not make a table one can work with.
+    """
+    found = df.filter(F.col(category).isNotNull()).select(category).distinct().orderBy(category)
+    rows = found.limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS:
+        raise ValueError(f"{category} has more than {MOST_COLUMNS} values; use the long mix")
     return [r[0] for r in rows]
 
 
 def dominant_category(df: DataFrame, period: str, category: str) -> DataFrame:
     """Most frequent category of each period, the first by name on ties."""
-    counts = category_counts(df, period, category)
+    return top_of_counts(category_counts(df, period, category), period, category)
+
+
+def top_of_counts(counts: DataFrame, period: str, category: str) -> DataFrame:
     best = F.min(F.struct(-F.col("category_count"), F.col(category)))
     return counts.groupBy(period).agg(best.alias("_b")).select(
         period,

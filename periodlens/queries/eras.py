@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from periodlens.operators import cluster, series
 from periodlens.queries.inputs import FEATURES, documents, events, lineitem, read, rounded
-from periodlens.queries.sql import MONTH
+from periodlens.queries.sql import DAY, MONTH
+from periodlens.sources.tables import settle
 
 MOOD = ["l_quantity", "l_discount"]
 
@@ -32,6 +34,59 @@ def cluster_period_mix(spark, sf):
     return cluster.by_mix(events(spark, sf), "day", "event_type").clusters
 
 
+def _held(eras, model, coords):
+    """Per clustered point, from the model's centres: is it with the nearest one, and at which squared distance?"""
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    rows = model.transform(eras.points).select("*", vector_to_array("features").alias("_x"))
+    far = F.transform(
+        centres, lambda c: F.aggregate(F.zip_with("_x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    )
+    rows = rows.withColumn("_far", far)
+    own = F.element_at("_far", F.col("prediction") + 1)
+    return rows.select(*coords, "prediction", own.alias("_d"), (own <= F.array_min("_far") + 1e-9).alias("nearest"))
+
+
+def kscan_checks(spark, sf):
+    """For every K: points, whether each is with its nearest centre, and whether the cost is their squared distances."""
+    eras = cluster.by_mix(events(spark, sf), "day", "event_type")
+    out = None
+    for k, model in sorted(eras.models.items()):
+        cost = float(model.summary.trainingCost)
+        one = _held(eras, model, []).agg(
+            F.lit(k).alias("k"), F.count("*").alias("points"), F.every("nearest").alias("nearest"),
+            (F.abs(F.sum("_d") - cost) <= 1e-6 * max(1.0, cost)).alias("cost_is_their_sum"),
+        )
+        out = one if out is None else out.unionByName(one)
+    out = settle(out, "checks")
+    eras.release()
+    return out
+
+
+def _numbered(clusters, period):
+    """Whether clusters are numbered in the order of their first periods: a new one is the next number."""
+    w = W.orderBy(period)
+    before = F.max("cluster").over(w.rowsBetween(W.unboundedPreceding, -1))
+    return clusters.withColumn("numbered", F.col("cluster") <= F.coalesce(before, F.lit(-1)) + 1)
+
+
+def cluster_means_checks(spark, sf):
+    """Eras by means: the months' means, and whether each month is with its nearest centre and numbered in order."""
+    eras = cluster.by_means(lineitem(spark, sf), "m", MOOD)
+    held = _held(eras, eras.model, ["m"]).select("m", "nearest")
+    out = settle(_numbered(eras.clusters, "m").drop("cluster").join(held, "m"), "checks")
+    eras.release()
+    return rounded(out)
+
+
+def cluster_mix_checks(spark, sf):
+    """Eras by mix: the days' top types, and whether each day is with its nearest centre and numbered in order."""
+    eras = cluster.by_mix(events(spark, sf), "day", "event_type")
+    held = _held(eras, eras.model, ["day"]).select("day", "nearest")
+    out = settle(_numbered(eras.clusters, "day").drop("cluster").join(held, "day"), "checks")
+    eras.release()
+    return out
+
+
 def cluster_centroid(spark, sf):
     """Centre of every given group of vectors."""
     return rounded(cluster.vector_centroids(read(spark, sf, "embeddings"), "embedding", "label"))
@@ -52,7 +107,8 @@ def cluster_categories(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        standardise, kscan, cluster_period_means, cluster_period_mix, cluster_centroid, period_centroid,
+        standardise, kscan, kscan_checks, cluster_period_means, cluster_means_checks, cluster_period_mix,
+        cluster_mix_checks, cluster_centroid, period_centroid,
         cluster_categories,
     )
 }
@@ -62,6 +118,15 @@ _MEANS = f"w AS (SELECT {MONTH} AS m, avg(l_quantity) AS q, avg(l_discount) AS d
 ORACLES = {
     "standardise": f"""WITH {_MEANS} SELECT m, round((q - avg(q) OVER ()) / stddev_samp(q) OVER (), 6) + 0.0 AS z_quantity,
         round((d - avg(d) OVER ()) / stddev_samp(d) OVER (), 6) + 0.0 AS z_discount FROM w""",
+    "kscan_checks": f"""SELECT k::INTEGER AS k, (SELECT count(DISTINCT {DAY}) FROM events) AS points, true AS nearest,
+        true AS cost_is_their_sum FROM range(2, 11) r(k)""",
+    "cluster_means_checks": f"""SELECT {MONTH} AS m, round(avg(l_quantity), 6) AS avg_l_quantity,
+        round(avg(l_discount), 6) AS avg_l_discount, count(l_quantity) AS num_songs, true AS numbered, true AS nearest
+        FROM lineitem GROUP BY 1""",
+    "cluster_mix_checks": f"""WITH c AS (SELECT {DAY} AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2)
+        SELECT day, (sum(n) OVER (PARTITION BY day))::BIGINT AS num_songs, event_type AS dominant_event_type,
+            n AS dominant_event_type_count, true AS numbered, true AS nearest FROM c
+        QUALIFY row_number() OVER (PARTITION BY day ORDER BY n DESC, event_type) = 1""",
     "cluster_centroid": """SELECT label, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 6) + 0.0 AS center
         FROM (SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2""",
     "period_centroid": f"""WITH {_MEANS} SELECT (m % 12)::INTEGER AS cluster, round(avg(q), 6) AS avg_l_quantity,

@@ -32,6 +32,28 @@ def test_means_clusters(points):
     eras.release()
 
 
+def test_too_few_points_are_an_error(points):
+    with pytest.raises(ValueError):
+        cluster.by_means(points.filter("year < 1996"), "year", ["a", "b"])
+
+
+def test_raw_table_is_read_once(spark, points, folder):
+    points.write.parquet(f"{folder}/p")
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    for fit, args in ((cluster.by_means, (["a", "b"],)), (cluster.by_mix, ("g",))):
+        before = seen.value
+        df = spark.read.parquet(f"{folder}/p").withColumn("g", (F.col("a") > 5).cast("string"))
+        eras = fit(df.mapInArrow(note, df.schema), "year", *args, range(2, 6))
+        assert eras.clusters.count() == 30 and seen.value - before == 90
+        eras.release()
+
+
 def test_mix_clusters(spark):
     rows = [(y, g) for y in range(1990, 2010) for g in (["x.1"] * 8 + ["y"] * 2 if y < 2000 else ["x.1"] * (y % 3) + ["y"] * 9)]
     eras = cluster.by_mix(spark.createDataFrame(rows, "year int, genre string"), "year", "genre", range(2, 5))
