@@ -1,22 +1,20 @@
 """Nearest neighbours of many seeds, leaving out the seed itself and what shares a group with it.
 
-Every catalog row is scanned once and never shuffled: a task keeps the k nearest rows of its own part for
-each seed, and only those k meet in the final ranking. That holds however uneven the buckets, groups or
-partitions are, and nothing is left out before the exclusions have been applied.
-
-Seeds travel to the tasks. Their number is checked first; beyond ``SEED_BYTES`` they are taken in several
-passes over the catalog, each within that bound.
+Rows and seeds meet by an equality join on what they share: a hash bucket in one of the tables, or, for exact search,
+one bucket for all. A bucket is cut into blocks of bounded size on either side, however many rows or seeds it holds;
+a task compares one block of rows with one block of seeds and keeps the k nearest rows of each seed after the
+exclusions. Only those meet in the final ranking. No vector comes to the driver, and rows without a seed in their
+buckets are not compared at all.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import BucketedRandomProjectionLSH, StandardScaler, VectorAssembler
@@ -25,12 +23,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from periodlens.sources.tables import settle
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Hash width and number of hash tables of the recommender.
 BUCKET_LENGTH, TABLES = 2.0, 5
 SEED = 42
-SEED_BYTES = 4 << 20
+# Rows, and seeds, that one task compares with each other.
+BLOCK = 4096
+# Distances held at a time.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -101,95 +104,101 @@ def plain(df: DataFrame, id_col: str, vector: str, exclude: str | None = None) -
     )
 
 
-def _shared_group(rows: pd.Series, seeds: pd.Series) -> np.ndarray | None:
-    """(rows × seeds) mask: the row shares a group with the seed."""
+def _barred(row_groups: list, seed_groups: list) -> np.ndarray | None:
+    """(seeds x rows) mask: the row shares a group with the seed. None if no seed has a group."""
     owners: dict[str, list[int]] = {}
-    for s, names in enumerate(seeds):
-        for name in names if names is not None else ():
+    for s, names in enumerate(seed_groups):
+        for name in names or ():
             owners.setdefault(name, []).append(s)
     if not owners:
         return None
-    mask = np.zeros((len(rows), len(seeds)), dtype=bool)
-    flat = rows.explode().dropna()
-    at = pd.Series(np.arange(len(rows)), index=rows.index).loc[flat.index].to_numpy()
-    for name, group in pd.Series(at).groupby(flat.to_numpy()):
-        if name in owners:
-            mask[np.ix_(group.to_numpy(), owners[name])] = True
+    mask = np.zeros((len(seed_groups), len(row_groups)), dtype=bool)
+    for r, names in enumerate(row_groups):
+        for name in names or ():
+            if name in owners:
+                mask[owners[name], r] = True
     return mask
 
 
-def _part_top_k(seeds: pd.DataFrame, k: int, by_hash: bool):
-    """mapInPandas function: the k nearest rows of one partition for every seed."""
-    points = np.stack(seeds["vec"].to_numpy()).astype(float)
-    hashes = np.stack(seeds["hashes"].to_numpy()) if by_hash else None
-    seed_ids = seeds["id"].to_numpy()
-
-    def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: list[pd.DataFrame | None] = [None] * len(seeds)
-        for rows in batches:
-            if rows.empty:
-                continue
-            rows = rows.reset_index(drop=True)
-            x, ids = np.stack(rows["vec"].to_numpy()), rows["id"].to_numpy()
-            barred = ids[:, None] == seed_ids[None, :]
-            shared = _shared_group(rows["grp"], seeds["grp"])
+def _block_top_k(k: int):
+    """Function of a block of rows and a block of seeds (Arrow tables): the k nearest rows of every seed."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+        return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
+
+    def top(rows: pa.Table, seeds: pa.Table) -> pa.Table:
+        schema = pa.schema([("seed", seeds.schema.field("id").type), ("id", rows.schema.field("id").type), ("dist", pa.float64())])
+        if not rows.num_rows or not seeds.num_rows:
+            return schema.empty_table()
+        x, y = matrix(rows["vec"]), matrix(seeds["vec"])
+        ids, seed_ids = np.array(rows["id"].to_pylist()), np.array(seeds["id"].to_pylist())
+        row_groups, seed_groups = rows["grp"].to_pylist(), seeds["grp"].to_pylist()
+        norms, found = (x * x).sum(axis=1), []
+        step = max(1, CELLS // len(x))
+        for at in range(0, len(y), step):
+            part = y[at : at + step]
+            # The expanded square loses digits on close points. It only picks rows that may belong to the k nearest.
+            own = (part * part).sum(axis=1)
+            rough = norms[None, :] + own[:, None] - 2 * part @ x.T
+            barred = seed_ids[at : at + step, None] == ids[None, :]
+            shared = _barred(row_groups, seed_groups[at : at + step])
             if shared is not None:
                 barred |= shared
-            if by_hash:
-                mine = np.stack(rows["hashes"].to_numpy())
-                near = np.zeros_like(barred)
-                for table in range(hashes.shape[1]):
-                    near |= mine[:, table][:, None] == hashes[:, table][None, :]
-                barred |= ~near
-            for s in range(len(seeds)):
-                free = np.flatnonzero(~barred[:, s])
-                if not free.size:
-                    continue
-                # Plain differences: the expanded square loses digits on close points.
-                d = np.sqrt(((x[free] - points[s]) ** 2).sum(axis=1))
-                new = pd.DataFrame({"id": ids[free], "dist": d})
-                both = new if kept[s] is None else pd.concat([kept[s], new], ignore_index=True)
-                if len(both) > k:
-                    cut = np.partition(both["dist"].to_numpy(), k - 1)[k - 1]
-                    both = both[both["dist"] <= cut].sort_values(["dist", "id"]).head(k)
-                kept[s] = both
-        for s, best in enumerate(kept):
-            if best is not None:
-                yield best.assign(seed=seed_ids[s])[["seed", "id", "dist"]]
+            rough[barred] = np.inf
+            most = min(k, len(x))
+            limit = np.partition(rough, most - 1, axis=1)[:, most - 1]
+            slack = 1e-9 * (own + norms.max() + 1)
+            for s in range(len(part)):
+                near = np.flatnonzero((rough[s] <= limit[s] + slack[s]) & np.isfinite(rough[s]))
+                dist = np.sqrt(((x[near] - part[s]) ** 2).sum(axis=1))
+                best = np.lexsort((ids[near], dist))[:k]
+                found += [(seed_ids[at + s], i, d) for i, d in zip(ids[near[best]], dist[best])]
+        columns = zip(*found) if found else ((), (), ())
+        return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return top
 
 
+def _keyed(df: DataFrame, by_hash: bool) -> DataFrame:
+    """Rows once for each hash table with their bucket in it, or once in the one bucket of an exact search."""
+    own = [F.col(c).alias(c) for c in ("id", "vec", "grp")]
+    if by_hash:
+        return df.select(*own, F.posexplode("hashes").alias("tab", "bucket"))
+    return df.select(*own, F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("bucket"))
+
+
 def _search(catalog: DataFrame, seeds: DataFrame, k: int, by_hash: bool) -> DataFrame:
-    spark = catalog.sparkSession
-    id_type = catalog.schema["id"].dataType.simpleString()
-    schema = f"seed {id_type}, id {id_type}, dist double"
-    columns = ["id", "vec", "grp"] + (["hashes"] if by_hash else [])
-    seeds = seeds.select(*columns)
-    # Bytes of the seeds' vectors, hashes and group names; counted, not guessed.
-    size = seeds.agg(
-        F.sum(64 + 8 * F.size("vec") + F.coalesce(F.octet_length(F.array_join("grp", ",")), F.lit(0))
-              + (8 * F.size("hashes") if by_hash else 0))
-    ).first()[0]
-    if not size:
-        return spark.createDataFrame([], f"{schema}, rank int")
-    passes = max(1, ceil(size / SEED_BYTES))
-    found = None
-    for i in range(passes):
-        block = seeds.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == i) if passes > 1 else seeds
-        held = block.toPandas()
-        if held.empty:
-            continue
-        part = catalog.select(*columns).mapInPandas(_part_top_k(held, k, by_hash), schema)
-        found = part if found is None else found.unionByName(part)
+    types = dict(catalog.dtypes)
+    # Columns of the seeds get new identities, since they may come from the catalog itself.
+    apart = seeds.select(*[F.col(c).alias(c) for c in ("id", "vec", "grp", *(["hashes"] if by_hash else []))])
+    rows, wanted = _keyed(catalog, by_hash), _keyed(apart, by_hash)
+    bucket = ["tab", "bucket"]
+    # One row per bucket with a seed: into how many blocks either side of it is cut.
+    sizes = wanted.groupBy(*bucket).agg(F.count("*").alias("_seeds")).join(
+        rows.groupBy(*bucket).agg(F.count("*").alias("_rows")), bucket
+    )
+    blocks = settle(sizes.select(*bucket, F.ceil(F.col("_rows") / BLOCK).alias("_nr"), F.ceil(F.col("_seeds") / BLOCK).alias("_ns")), "blocks")
+
+    def cut(df: DataFrame, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        parted = df.join(blocks, bucket).withColumn(own, F.pmod(F.xxhash64("id"), F.col(own_blocks)))
+        return parted.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other_blocks) - 1))).drop("_nr", "_ns")
+
+    keys = [*bucket, "_r", "_s"]
+    left = cut(rows, "_r", "_nr", "_s", "_ns").groupBy(*keys)
+    right = cut(wanted, "_s", "_ns", "_r", "_nr").groupBy(*keys)
+    found = left.cogroup(right).applyInArrow(_block_top_k(k), f"seed {types['id']}, id {types['id']}, dist double")
+    # A pair may have met in several tables.
+    once = found.groupBy("seed", "id").agg(F.min("dist").alias("dist")) if by_hash else found
     order = F.row_number().over(W.partitionBy("seed").orderBy("dist", "id"))
-    return found.withColumn("rank", order).filter(F.col("rank") <= k)
+    return once.withColumn("rank", order).filter(F.col("rank") <= k)
 
 
 def exact(catalog: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
     """``seed, id, dist, rank``: the k nearest catalog rows of every seed by Euclidean distance, nearer id first on ties.
 
-    ``seeds`` has the catalog's columns. Runs one job to size and fetch the seeds.
+    ``seeds`` has the catalog's columns. Runs one job for the sizes of the two sides.
     """
     return _search(catalog, seeds, k, by_hash=False)
 
@@ -198,15 +207,19 @@ def recommend(index: Index, seeds: DataFrame, k: int = 10, fill: bool = True) ->
     """Nearest among the rows that share a hash bucket with the seed in at least one table.
 
     ``seeds`` is a table with a column ``id``; unknown ids give no rows. Exclusions come before the cut to k,
-    so no over-fetch is needed. ``fill`` searches exactly for seeds whose buckets hold fewer than k rows.
+    so no over-fetch is needed. ``fill`` searches exactly for seeds whose buckets hold fewer than k rows. The
+    hashed search is settled, so that it runs once for both.
     """
     wanted = index.catalog.join(seeds.select("id").distinct(), "id", "left_semi")
     found = _search(index.catalog, wanted, k, by_hash=True)
     if not fill:
         return found
-    full = found.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select(F.col("seed").alias("id"))
-    rest = _search(index.catalog, wanted.join(full, "id", "left_anti"), k, by_hash=False)
-    return found.join(full.withColumnRenamed("id", "seed"), "seed", "left_semi").unionByName(rest)
+    found = settle(found, "hashed")
+    full = found.filter(F.col("rank") == k).select("seed")
+    short = wanted.join(full, wanted["id"] == full["seed"], "left_anti")
+    if short.isEmpty():
+        return found
+    return found.join(full, "seed", "left_semi").unionByName(_search(index.catalog, short, k, by_hash=False))
 
 
 def with_display(found: DataFrame, catalog: DataFrame, id_col: str, display: Sequence[str]) -> DataFrame:

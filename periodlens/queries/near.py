@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from periodlens.operators import neighbours
 from periodlens.queries.inputs import read, rounded
+from periodlens.sources.tables import settle
 
 K = 10
 
@@ -23,19 +26,61 @@ def nearest_exact(spark, sf):
 
 
 def nearest_lsh(spark, sf):
+    """Hashed search where all rows share one bucket in each of two tables, which makes it exact."""
     vectors = read(spark, sf, "embeddings")
-    index = neighbours.build(vectors, "vec_id", "embedding", exclude="label")
+    index = neighbours.build(vectors, "vec_id", "embedding", exclude="label", standardise=False)
+    one = F.array(F.lit(3), F.lit(8)).cast("array<bigint>")
+    index = replace(index, catalog=index.catalog.withColumn("hashes", one))
     found = neighbours.recommend(index, _seeds(vectors), K)
     return rounded(neighbours.with_display(found, vectors, "vec_id", ["label"]))
 
 
-QUERIES = {f.__name__: f for f in (nearest_exact, nearest_lsh)}
+def nearest_lsh_checks(spark, sf):
+    """Hashed search with the usual buckets: neighbours per seed, whether any is of the seed's group, and recall."""
+    vectors = read(spark, sf, "embeddings")
+    index = neighbours.build(vectors, "vec_id", "embedding", exclude="label")
+    seeds = _seeds(vectors)
+    found = settle(neighbours.recommend(index, seeds, K), "found")
+    best = neighbours.exact(index.catalog, index.catalog.join(seeds, "id", "left_semi"), K)
+    hits = best.select("seed", "id").join(found.select("seed", "id"), ["seed", "id"], "left_semi").groupBy("seed").count()
+    groups = vectors.select(F.col("vec_id").alias("id"), "label")
+    named = found.join(groups, "id").join(groups.select(F.col("id").alias("seed"), F.col("label").alias("own")), "seed")
+    checked = named.groupBy("seed").agg(F.count("*").alias("found"), F.count_if(F.col("label") == F.col("own")).alias("barred"))
+    return checked.join(hits, "seed").agg(
+        F.count("*").alias("seeds"), F.min("found").alias("fewest"), F.sum("barred").alias("barred"),
+        (F.sum("count") >= 0.8 * K * F.count("*")).alias("recall_is_good"),
+    )
+
+
+def nearest_names(spark, sf):
+    """Neighbours that share no name with the seed, where each row lists several names."""
+    vectors = read(spark, sf, "embeddings").withColumn(
+        "names", F.array(F.concat(F.lit("l"), "label"), F.concat(F.lit("m"), F.col("vec_id") % 7))
+    )
+    catalog = neighbours.plain(vectors, "vec_id", "embedding", exclude="names")
+    return rounded(neighbours.exact(catalog, catalog.join(_seeds(vectors), "id", "left_semi"), K))
+
+
+def nearest_all(spark, sf):
+    """Every vector as a seed."""
+    catalog = neighbours.plain(read(spark, sf, "embeddings"), "vec_id", "embedding", exclude="label")
+    return rounded(neighbours.exact(catalog, catalog, K))
+
+
+QUERIES = {f.__name__: f for f in (nearest_exact, nearest_lsh, nearest_lsh_checks, nearest_names, nearest_all)}
+
+_TOP = """d AS (SELECT s.seed, b.vec_id AS id, list_distance(a.e, b.e) AS dist, b.label
+              FROM s JOIN v a ON a.vec_id = s.seed JOIN v b ON b.label <> s.label {more}),
+        o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY dist, id)::INTEGER AS rank FROM d)"""
+_V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_S = "s AS (SELECT min(vec_id) AS seed, label FROM embeddings GROUP BY 2)"
+_OUT = "SELECT seed, id, round(dist, 6) AS dist, rank FROM o WHERE rank <= 10"
 
 ORACLES = {
-    "nearest_exact": """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
-        s AS (SELECT arg_min(vec_id, vec_id) AS seed, label FROM embeddings GROUP BY 2),
-        d AS (SELECT s.seed, b.vec_id AS id, list_distance(a.e, b.e) AS dist
-              FROM s JOIN v a ON a.vec_id = s.seed JOIN v b ON b.label <> s.label),
-        o AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY dist, id)::INTEGER AS rank FROM d)
-        SELECT seed, id, round(dist, 6) AS dist, rank FROM o WHERE rank <= 10""",
+    "nearest_exact": f"WITH {_V}, {_S}, {_TOP.format(more='')} {_OUT}",
+    "nearest_lsh": f"WITH {_V}, {_S}, {_TOP.format(more='')} SELECT seed, id, round(dist, 6) AS dist, rank, label FROM o WHERE rank <= 10",
+    "nearest_lsh_checks": """SELECT count(DISTINCT label) AS seeds, 10::BIGINT AS fewest, 0::BIGINT AS barred, true AS recall_is_good
+        FROM embeddings""",
+    "nearest_names": f"WITH {_V}, {_S}, {_TOP.format(more='AND b.vec_id % 7 <> s.seed % 7')} {_OUT}",
+    "nearest_all": f"WITH {_V}, s AS (SELECT vec_id AS seed, label FROM v), {_TOP.format(more='')} {_OUT}",
 }

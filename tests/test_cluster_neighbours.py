@@ -93,10 +93,11 @@ def test_exact_neighbours(vectors):
         assert [r["id"] for r in sorted((r for r in got if r["seed"] == s), key=lambda r: r["rank"])] == _brute(rows, s, 7)
 
 
-def test_exact_in_several_passes(vectors, monkeypatch):
+def test_exact_in_several_blocks(vectors, monkeypatch):
     rows, df = vectors
     catalog = neighbours.plain(df, "id", "v", exclude="artists")
-    monkeypatch.setattr(neighbours, "SEED_BYTES", 300)
+    monkeypatch.setattr(neighbours, "BLOCK", 30)
+    monkeypatch.setattr(neighbours, "CELLS", 50)
     seeds = list(range(0, 40, 4))
     got = neighbours.exact(catalog, catalog.filter(F.col("id").isin(seeds)), 3).collect()
     for s in seeds:
