@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from periodlens.functions import labels as fx
 from periodlens.functions.text import let, lexicon_counts
 from periodlens.operators import skew
+from periodlens.sources.tables import settle
 
 
 class Labeller(Protocol):
@@ -66,6 +68,54 @@ class PipelineLabeller:
         return scored.withColumn("label", fx.argmax_confidence("scores", list(self.labels)))
 
 
+@dataclass(frozen=True)
+class WordBayesLabeller:
+    """Multinomial naive Bayes on words, as a table of each word's log probability under every label.
+
+    The vocabulary is that of the training texts, whole; words outside it say nothing. Ties go to the first label.
+    """
+
+    words: DataFrame
+    prior: Sequence[float]
+    labels: Sequence[str]
+
+    @staticmethod
+    def fit(train: DataFrame, text: str, label: str, labels: Sequence[str]) -> "WordBayesLabeller":
+        """Learn from the texts with one of the ``labels``; counts are smoothed by one. The table of words is settled."""
+        known = train.filter(F.col(label).isin(list(labels)))
+        rows = known.select(F.col(label).alias("_label"), F.explode(words_of(text)).alias("word"))
+        counted = rows.groupBy("word").agg(*[F.count_if(F.col("_label") == name).alias(f"n{i}") for i, name in enumerate(labels)])
+        counted = settle(counted, "words")
+        size, *sums = counted.agg(F.count("*"), *[F.coalesce(F.sum(f"n{i}"), F.lit(0)) for i in range(len(labels))]).first()
+        texts = known.agg(*[F.count_if(F.col(label) == name) for name in labels]).first()
+        prior = [math.log((n + 1) / (sum(texts) + len(labels))) for n in texts]
+        logs = [F.log((F.col(f"n{i}") + 1.0) / float(sums[i] + max(size, 1))).alias(f"log{i}") for i in range(len(labels))]
+        return WordBayesLabeller(counted.select("word", *logs), prior, tuple(labels))
+
+    def transform(self, df: DataFrame, text: str) -> DataFrame:
+        """Words are counted per text before they meet the table; texts are told apart by their digests."""
+        digest = F.sha2(F.col(text), 256)
+        every = df.select(digest.alias("_text"), F.explode(words_of(text)).alias("word")).groupBy("_text", "word").agg(F.count("*").alias("_n"))
+        n = range(len(self.labels))
+        # Equal texts have been counted together; the number of them divides out.
+        copies = df.groupBy(digest.alias("_text")).agg(F.count("*").alias("_copies"))
+        sums = every.join(self.words, "word").groupBy("_text").agg(*[F.sum(F.col("_n") * F.col(f"log{i}")).alias(f"_s{i}") for i in n])
+        sums = copies.join(sums, "_text", "left").select(
+            "_text", *[(F.coalesce(F.col(f"_s{i}") / F.col("_copies"), F.lit(0.0)) + self.prior[i]).alias(f"_s{i}") for i in n]
+        )
+        top = F.greatest(*[F.col(f"_s{i}") for i in n]) if len(self.labels) > 1 else F.col("_s0")
+        parts = [F.exp(F.col(f"_s{i}") - top) for i in n]
+        total = sum(parts[1:], parts[0])
+        scored = df.withColumn("_key", digest).join(sums, F.col("_key").eqNullSafe(F.col("_text")), "left")
+        scores = F.map_from_arrays(F.array(*map(F.lit, self.labels)), F.array(*[p / total for p in parts]))
+        return scored.select(*df.columns, scores.alias("scores")).withColumn("label", fx.argmax_confidence("scores", list(self.labels)))
+
+
+def words_of(text: str):
+    """Lower-case words of a text: runs of letters, marks, digits and connectors."""
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"), lambda w: w != "")
+
+
 def distinct_texts(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     """Each text once, with the number of rows holding it."""
     return chunks.groupBy(text).agg(F.count("*").alias("copies"))

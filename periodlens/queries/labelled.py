@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import HashingTF, RegexTokenizer
 from pyspark.sql import functions as F
 
 from periodlens.functions import labels as fx
 from periodlens.operators import agreement, labels, text
 from periodlens.queries.inputs import LABELS, NAMES, documents, r, read, rounded
-from periodlens.queries.sql import COUNTS, CHUNKS, FIRST, TIED, TOP, scored, weight
+from periodlens.queries.sql import COUNTS, CHUNKS, FIRST, TIED, TOP, WORDS, scored, weight
 from periodlens.sources.tables import settle
 
 KEYS = ["doc_id", "lang", "period"]
@@ -132,15 +129,12 @@ def quality_agreement(spark, sf):
 
 
 def model_label(spark, sf):
-    """A classifier pipeline trained on the labelled documents, applied to every distinct chunk."""
+    """Naive Bayes over all words of the labelled documents, applied to every distinct chunk."""
     docs = documents(spark, sf)
-    train = docs.join(read(spark, sf, "labels"), "doc_id").select("text", F.col("quality").cast("double").alias("y"))
-    stages = [
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"[^\p{L}]+"),
-        HashingTF(inputCol="words", outputCol="tf", numFeatures=1 << 12),
-        NaiveBayes(featuresCol="tf", labelCol="y"),
-    ]
-    model = labels.PipelineLabeller.fit(Pipeline(stages=stages), train, ["poor", "fine"])
+    train = docs.join(read(spark, sf, "labels"), "doc_id").select(
+        "text", F.when(F.col("quality") == 1, "fine").otherwise("poor").alias("y")
+    )
+    model = labels.WordBayesLabeller.fit(train, "text", "y", ["poor", "fine"])
     chunks = text.chunks(docs, KEYS, "text")
     return labels.label_distinct(chunks, model, ["poor", "fine"]).groupBy("dominant_label").agg(
         F.count("*").alias("texts"), F.sum("copies").alias("chunks"), r(F.avg("conf_fine")).alias("avg_conf_fine")
@@ -179,6 +173,20 @@ _AGREE = """count(*) AS entities, count(*) FILTER (a = b) AS agreements, count(*
     round(count(*) FILTER (a = b) * 100.0::DOUBLE / count(*), 6) AS agreement_pct"""
 
 ORACLES = {
+    "model_label": f"""WITH {CHUNKS}, train AS (SELECT text, quality = 1 AS fine FROM documents JOIN labels USING (doc_id)),
+        spoken AS (SELECT fine, unnest({WORDS.format(text='text')}) AS w FROM train),
+        c AS (SELECT w, count(*) FILTER (NOT fine) AS c0, count(*) FILTER (fine) AS c1 FROM spoken WHERE w <> '' GROUP BY 1),
+        t AS (SELECT sum(c0)::BIGINT AS n0, sum(c1)::BIGINT AS n1, count(*) AS v FROM c),
+        p AS (SELECT ln((count(*) FILTER (NOT fine) + 1)::DOUBLE / (count(*) + 2)) AS l0,
+                     ln((count(*) FILTER (fine) + 1)::DOUBLE / (count(*) + 2)) AS l1 FROM train),
+        d AS (SELECT chunk, count(*) AS copies FROM chunks GROUP BY 1),
+        dw AS (SELECT chunk, unnest({WORDS.format(text='chunk')}) AS w FROM d),
+        s AS (SELECT chunk, sum(ln((c0 + 1)::DOUBLE / (n0 + v))) AS s0, sum(ln((c1 + 1)::DOUBLE / (n1 + v))) AS s1
+              FROM dw JOIN c USING (w) CROSS JOIN t GROUP BY 1),
+        f AS (SELECT copies, 1 / (1 + exp(least(700.0::DOUBLE, (coalesce(s0, 0) + l0) - (coalesce(s1, 0) + l1)))) AS fine
+              FROM d LEFT JOIN s USING (chunk) CROSS JOIN p)
+        SELECT CASE WHEN fine > 0.5 THEN 'fine' ELSE 'poor' END AS dominant_label, count(*) AS texts,
+            sum(copies)::BIGINT AS chunks, round(avg(fine), 6) AS avg_conf_fine FROM f GROUP BY 1""",
     "distinct_chunks": f"WITH {CHUNKS} SELECT chunk, count(*) AS copies FROM chunks GROUP BY 1",
     "lexicon_label": f"""WITH {CHUNKS}, d AS (SELECT chunk, count(*) AS copies FROM chunks GROUP BY 1), {scored('d', 'chunk', 'lab')}
         SELECT chunk, copies, {_confs}, dominant_label FROM lab""",

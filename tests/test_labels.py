@@ -165,3 +165,21 @@ def test_votes(spark):
     assert got[1990]["votes_pm1"] == 0
     assert [r["t"] for r in consensus.top(consensus.vote(sig, spine)).collect()] == [2000, 2001]
     assert [r["signal"] for r in consensus.listing(sig).collect()] == ["early", "edge", "far", "late"]
+
+
+def test_word_bayes_by_definition(spark):
+    train = [("good fine good", "a"), ("bad poor", "b"), ("fine", "a"), ("poor poor good", "b"), ("other", None)]
+    model = labels.WordBayesLabeller.fit(spark.createDataFrame(train, "t string, y string"), "t", "y", ["a", "b"])
+    asked = spark.createDataFrame([("Good, FINE!",), ("poor bad",), ("new words",), (None,), ("poor bad",)], "t string")
+    got = [(r["t"], r["label"], r["scores"]["a"]) for r in model.transform(asked, "t").collect()]
+    count = {"a": {"good": 2, "fine": 2}, "b": {"bad": 1, "poor": 3, "good": 1}}
+    def share(words):
+        p = {y: 0.5 for y in count}
+        for y in count:
+            for w in words:
+                p[y] *= (count[y].get(w, 0) + 1) / (sum(count[y].values()) + 4)
+        return p["a"] / (p["a"] + p["b"])
+    want = {"Good, FINE!": share(["good", "fine"]), "poor bad": share(["poor", "bad"]), "new words": 0.5, None: 0.5}
+    assert len(got) == 5
+    for text, label, fine in got:
+        assert fine == pytest.approx(want[text]) and label == ("a" if want[text] >= 0.5 else "b")
