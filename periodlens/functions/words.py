@@ -26,5 +26,6 @@ NEIGHBOUR_FEATURES = [
     "energy", "valence", "danceability", "acousticness", "instrumentalness",
     "speechiness", "loudness", "tempo", "liveness", "mode", "key_folded",
 ]
+# Columns without gaps, and the years that are kept.
 REQUIRED_COLUMNS = ["valence", "lyrics", "genre", "year", "id", "popularity", "niche_genres"]
 FIRST_YEAR, LAST_YEAR = 1990, 2022

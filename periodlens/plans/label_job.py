@@ -77,7 +77,8 @@ def _label_new(chunks, out, labeller, labels, partitions) -> tuple[DataFrame, st
         had = kept.select(F.col("_digest").alias("_had"))
         distinct = distinct.join(had, F.col("_digest").eqNullSafe(F.col("_had")), "left_anti")
     fresh = ops.run_labeller(distinct.drop("copies"), labeller, labels, "chunk", partitions).drop("chunk")
-    fresh.write.parquet(f"{out}/labels/{(part := uuid.uuid4().hex)}")
+    part = f"{len(parts):06d}-{uuid.uuid4().hex}"
+    fresh.write.parquet(f"{out}/labels/{part}")
     return spark.read.parquet(*[f"{out}/labels/{p}" for p in [*parts, part]]), part
 
 
@@ -93,7 +94,7 @@ def roll_up(spark: SparkSession, out: str, keys: Sequence[str], labels: Sequence
 
 
 def labelled_texts(spark: SparkSession, out: str) -> DataFrame:
-    """Number of texts that each finished commit has labelled: ``(part, texts)``."""
+    """Number of texts that each finished commit has labelled: ``(part, texts)``, parts in the order of commits."""
     parts = progress.finished(spark, f"{out}/parts", "part", "string")
     rows = spark.read.parquet(f"{out}/labels/*").select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("part"))
     return parts.join(rows.groupBy("part").agg(F.count("*").alias("texts")), "part", "left").na.fill(0, ["texts"])

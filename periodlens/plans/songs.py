@@ -25,7 +25,7 @@ KEYS = ["id", "year", "genre", "niche_genres"]
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA)
+    return tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA, multi_line=True)
 
 
 def usable(songs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from periodlens.operators import labels, series
 from periodlens.plans import label_job
 from periodlens.queries.inputs import FEATURES, LABELS, NAMES, documents, events, lineitem, read, rounded
-from periodlens.queries.sql import COUNTS, DAY, FIRST, MONTH, MONTH_SERIES, PERIOD
+from periodlens.queries.sql import CHUNKS, COUNTS, DAY, FIRST, MONTH, MONTH_SERIES, PERIOD
 from periodlens.sources import tables
 
 
@@ -25,7 +25,7 @@ def csv_roundtrip(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
     tables.write_delimited(docs, path, sep=",")
     schema = docs.schema
-    return tables.read_csv(spark, path, schema)
+    return tables.read_csv(spark, path, schema, multi_line=True)
 
 
 def period_parquet(spark, sf):
@@ -52,10 +52,36 @@ def resume_labels(spark, sf):
     return label_job.roll_up(spark, out, keys, NAMES)
 
 
-QUERIES = {f.__name__: f for f in (tsv_roundtrip, csv_roundtrip, period_parquet, feature_tables, resume_labels)}
+def resume_texts(spark, sf):
+    """How many texts each of two such runs has labelled: the second leaves out those the first has seen."""
+    out = tables.work_dir(spark, "labels")
+    docs, keys = documents(spark, sf), ["doc_id", "lang", "period"]
+    lexicon = labels.LexiconLabeller(LABELS)
+    for rows in (docs.filter(F.col("period") < 10), docs):
+        label_job.run(rows, out, keys, "period", "text", lexicon, NAMES, rows_per_commit=1 << 40)
+    counted = label_job.labelled_texts(spark, out)
+    return counted.select((F.substring("part", 1, 6).cast("int") + 1).alias("run"), "texts")
+
+
+def final_parquet(spark, sf):
+    """A result table in one Parquet folder, written over and read back."""
+    path = tables.work_dir(spark, "final")
+    means = rounded(series.feature_by_period(events(spark, sf), "day", "value"))
+    for table in (means.limit(3), means):
+        tables.write_parquet(table, path)
+    return tables.read_parquet(spark, path, leaves=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (tsv_roundtrip, csv_roundtrip, period_parquet, final_parquet, feature_tables, resume_labels, resume_texts)
+}
 
 ORACLES = {
     "tsv_roundtrip": f"SELECT {DAY} AS day, round(avg(value), 6) AS avg_value, count(value) AS num_songs FROM events GROUP BY 1",
+    "final_parquet": f"SELECT {DAY} AS day, round(avg(value), 6) AS avg_value, count(value) AS num_songs FROM events GROUP BY 1",
+    "resume_texts": f"""WITH {CHUNKS}, n AS (SELECT count(DISTINCT chunk) FILTER (period < 10) AS a, count(DISTINCT chunk) AS b FROM chunks)
+        SELECT 1 AS run, a AS texts FROM n UNION ALL SELECT 2, b - a FROM n""",
     "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
     "period_parquet": f"SELECT doc_id, lang, n_chars, {PERIOD} AS period FROM documents",
     "feature_tables": f"WITH {MONTH_SERIES} SELECT series, t, x FROM long",

@@ -24,6 +24,10 @@ SONG_SCHEMA = T.StructType(
 )
 
 
+# Paths given out by ``work_dir`` and not yet released.
+_MADE: list[str] = []
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
@@ -32,10 +36,21 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         base = mkdtemp(prefix="periodlens-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders this process has settled tables in. For when no table read from them is used any more."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(hadoop).delete(path, True)
 
 
 def settle(df: DataFrame, name: str = "table") -> DataFrame:
@@ -49,12 +64,13 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, sep: str = ",",
-             multi_line: bool = True) -> DataFrame:
-    """CSV with header and quoted, possibly multi-line fields; a quote inside a field is doubled; UTF-8.
+             multi_line: bool = False) -> DataFrame:
+    """CSV with header and quoted fields; a quote inside a field is doubled; UTF-8.
 
     Columns are matched to the schema by position, so it has to list them in file order; use
-    ``read_csv_by_name`` otherwise. Without a schema the types are inferred, which costs one more scan. A
-    multi-line file cannot be split, so a large table should come as many files.
+    ``read_csv_by_name`` otherwise. Without a schema the types are inferred, which costs one more scan.
+    ``multi_line`` is for fields that hold line breaks; such a file cannot be split, so a large table should come as
+    many files.
     """
     reader = spark.read.schema(schema) if schema is not None else spark.read.option("inferSchema", True)
     return reader.csv(
@@ -64,7 +80,7 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
 
 
 def read_csv_by_name(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, sep: str = ",",
-                     multi_line: bool = True) -> DataFrame:
+                     multi_line: bool = False) -> DataFrame:
     """As :func:`read_csv`, but picks the schema's columns by header name; text that does not fit a type is NULL."""
     raw = spark.read.csv(
         path, sep=sep, header=True, multiLine=multi_line, mode="PERMISSIVE", quote='"', escape='"', encoding="UTF-8"

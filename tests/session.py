@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from tempfile import mkdtemp
 
 from pyspark.sql import SparkSession
 
@@ -16,6 +17,7 @@ def session(cpus: str | None = None) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", mkdtemp(prefix="periodlens-shared-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

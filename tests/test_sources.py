@@ -12,12 +12,12 @@ def test_csv_with_awkward_text(spark, folder):
         f.write('id,name,year,valence,lyrics\n')
         f.write('1,"Say ""yes"", now",1990,0.5,"line one\nline ""two"", é\n"\n')
         f.write("2,plain,nineteen,1.1,\n")
-    rows = tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA).orderBy("id").collect()
+    rows = tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA, multi_line=True).orderBy("id").collect()
     assert rows[0]["name"] == 'Say "yes", now' and rows[0]["lyrics"] == 'line one\nline "two", é\n'
     assert rows[1]["year"] is None and rows[1]["lyrics"] is None and rows[1]["tempo"] is None
-    kept = clean.window(tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA), "year", 1990, 2022, {"valence": (0, 1)}, ["lyrics"])
+    kept = clean.window(tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA, multi_line=True), "year", 1990, 2022, {"valence": (0, 1)}, ["lyrics"])
     assert [r["id"] for r in kept.collect()] == ["1"]
-    inferred = tables.read_csv(spark, path)
+    inferred = tables.read_csv(spark, path, multi_line=True)
     assert dict(inferred.dtypes)["valence"] == "double"
 
 
@@ -68,3 +68,15 @@ def test_dominant_category_breaks_ties_by_name(spark):
     assert got == {1: ("a", 1), 2: ("c", 1)}
     wide = {r["t"]: r for r in mix.category_mix_wide(df, "t", "g", ["a", "b", "c"]).collect()}
     assert (wide[1]["g0"], wide[1]["share_g0"], wide[2]["g0"]) == (1, 0.5, 0)
+
+
+def test_release_deletes_what_was_settled(spark, folder):
+    from pathlib import Path as P
+
+    tables.settle(spark.range(3), "gone").count()
+    made = tables._MADE[-1]
+    assert any(P(made).glob("*.parquet"))
+    kept, tables._MADE[:] = tables._MADE[:-1], tables._MADE[-1:]
+    tables.release(spark)
+    tables._MADE[:] = kept
+    assert not P(made).exists()
