@@ -12,6 +12,7 @@ empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodlens.llm.common import arrow_map, narrow
+from periodlens.llm.common import narrow
 
 CONTROL = ("<s>", "[INST]", "[/INST]", "</s>")
 # Also escaped, though not used by the template: the end of text of the tokenizer's vocabulary.
@@ -42,45 +43,42 @@ def unescape(text: str) -> str:
 
 
 class Codec:
-    """Encodes and decodes segments; the reserved ids follow the vocabulary."""
+    """Encodes and decodes segments; the reserved ids follow the vocabulary and its end of text."""
 
     def __init__(self, vocabulary: str | None = None):
         import public_tokenizers
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
-        self.tokenizer.encode_special_tokens = True
-        first = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        with open(vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.bpe = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        first = max(ranks.values()) + 2
         self.bos, self.open, self.close, self.eos = range(first, first + len(CONTROL))
 
-    def turns(self, roles: list[str], texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids and loss mask of each turn."""
-        segments = [escape(x) for pair in zip(roles, texts) for x in pair]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        out = []
-        for i, role in enumerate(roles):
-            who, what = coded[2 * i], coded[2 * i + 1]
-            ids = np.array([self.bos, self.open, *who, self.close, *what, self.eos], np.int32)
-            steps = np.zeros(len(ids) + 1, np.int8)
-            if role == LEARNS:
-                steps[3 + len(who)] += 1
-                steps[len(ids) - 1] -= 1
-            out.append((ids, np.cumsum(steps[:-1], dtype=np.int8)))
-        return out
+    def turn(self, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and loss mask of a turn."""
+        who, what = self.bpe.encode_ordinary(escape(role)), self.bpe.encode_ordinary(escape(text))
+        ids = np.array([self.bos, self.open, *who, self.close, *what, self.eos], np.int32)
+        steps = np.zeros(len(ids), np.int8)
+        if role == LEARNS:
+            steps[3 + len(who)] += 1
+            steps[len(ids) - 1] -= 1
+        return ids, np.cumsum(steps, dtype=np.int8)
+
+    def text(self, ids: np.ndarray) -> str:
+        return self.bpe.decode_bytes(ids.tolist()).decode()
 
     def written(self, ids: np.ndarray) -> str:
         """The written form of ids, control strings included."""
         at = np.flatnonzero(ids >= self.bos)
-        names = dict(zip(range(self.bos, self.eos + 1), CONTROL))
-        borders = zip([0, *(at + 1)], [*at, len(ids)])
-        texts = self.tokenizer.decode_batch([ids[a:b].tolist() for a, b in borders], skip_special_tokens=False)
-        return "".join(x for pair in zip(texts, [*(names[i] for i in ids[at].tolist()), ""]) for x in pair)
+        texts = [self.text(ids[a:b]) for a, b in zip([0, *(at + 1)], [*at, len(ids)])]
+        marks = [CONTROL[i - self.bos] for i in ids[at].tolist()]
+        return "".join(x for pair in zip(texts, [*marks, ""]) for x in pair)
 
     def read(self, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, str]:
         """Role, text and text under the mask of one turn."""
         close = int(np.flatnonzero(ids == self.close)[0])
-        parts = [ids[2:close], ids[close + 1 : -1], ids[mask.astype(bool)]]
-        return tuple(map(unescape, self.tokenizer.decode_batch([p.tolist() for p in parts], skip_special_tokens=False)))
+        return tuple(unescape(self.text(x)) for x in (ids[2:close], ids[close + 1 : -1], ids[mask > 0]))
 
 
 def format_turns(
@@ -90,39 +88,46 @@ def format_turns(
     """``(conv, turn, ids, loss_mask, written)`` per turn, in the tasks that read the table. No turn needs another one."""
     cut = narrow(turns, conv=conv_col, turn=turn_col, role=role_col, text=text_col)
     types = dict(turns.dtypes)
-    codec: list[Codec] = []
-
-    def rows(columns: list[list]) -> dict:
-        codec or codec.append(Codec(vocabulary))
-        conv, turn, roles, texts = columns
-        made = codec[0].turns([x or "" for x in roles], [x or "" for x in texts])
-        return {
-            "conv": conv, "turn": turn, "ids": [x for x, _ in made], "loss_mask": [x for _, x in made],
-            "written": [codec[0].written(x) for x, _ in made],
-        }
 
-    schema = f"conv {types[conv_col]}, turn {types[turn_col]}, ids array<int>, loss_mask array<tinyint>, written string"
-    return arrow_map(cut, schema, rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(vocabulary)
+        for batch in _slices(batches):
+            made = [codec.turn(r or "", t or "") for r, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), batch.column(1), pa.array([x for x, _ in made], pa.list_(pa.int32())),
+                pa.array([x for _, x in made], pa.list_(pa.int8())), pa.array([codec.written(x) for x, _ in made], pa.string()),
+            ], ["conv", "turn", "ids", "loss_mask", "written"])
+
+    return cut.mapInArrow(
+        run, f"conv {types[conv_col]}, turn {types[turn_col]}, ids array<int>, loss_mask array<tinyint>, written string"
+    )
 
 
 def read_turns(formatted: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """``(conv, turn, role, text, loss_text, chars)`` per formatted turn, from ids and mask alone."""
+    """``(conv, turn, role, text, loss_text, chars)`` per formatted turn; all but ``chars`` from ids and mask alone."""
     types = dict(formatted.dtypes)
-    codec: list[Codec] = []
-
-    def rows(columns: list[list]) -> dict:
-        codec or codec.append(Codec(vocabulary))
-        conv, turn, ids, masks, written = columns
-        read = [codec[0].read(np.array(i, np.int32), np.array(m, np.int8)) for i, m in zip(ids, masks)]
-        role, text, loss = ([x[k] for x in read] for k in range(3))
-        return {"conv": conv, "turn": turn, "role": role, "text": text, "loss_text": loss, "chars": list(map(len, written))}
-
-    return arrow_map(
-        formatted.select("conv", "turn", "ids", "loss_mask", "written"),
-        f"conv {types['conv']}, turn {types['turn']}, role string, text string, loss_text string, chars bigint", rows,
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(vocabulary)
+        for batch in _slices(batches):
+            read = [codec.read(i.values.to_numpy(), m.values.to_numpy()) for i, m in zip(batch.column(2), batch.column(3))]
+            texts = [pa.array([x[k] for x in read], pa.string()) for k in range(3)]
+            chars = pa.array(list(map(len, batch.column(4).to_pylist())), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *texts, chars], ["conv", "turn", "role", "text", "loss_text", "chars"]
+            )
+
+    return formatted.select("conv", "turn", "ids", "loss_mask", "written").mapInArrow(
+        run, f"conv {types['conv']}, turn {types['turn']}, role string, text string, loss_text string, chars bigint"
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def digests(read: DataFrame) -> DataFrame:
     """One row per conversation: number of turns and SHA-256 of its turns and of its loss text, in order.
 
