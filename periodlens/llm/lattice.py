@@ -7,9 +7,9 @@ anywhere. The weights of the arcs are learned: whole words by their counts, each
 by how often the vocabulary's own segmentation uses them in the different training words; what the discounts free is
 what pieces share. All arcs together sum to one.
 
-How it runs: each task turns blocks of documents into one row per block and word, with the places and numbers of its
+How it runs: each task turns blocks of documents into one row per block and word, with the documents of its
 occurrences packed in bytes. The counts of a word come from those rows by a plain aggregate. They are joined by word
-(a frequent word has one row per block, not per occurrence), scored once per row, and summed up by block.
+(a frequent word has one row per block, not per occurrence), scored once per row, packed again by block, and summed.
 
 Defined results: a null or empty text is the end alone; with nothing learned all words are unknown and pieces are
 equally likely; rows may repeat, in any order, with null or equal ids; an empty table gives an empty result. Other
@@ -29,9 +29,12 @@ from pyspark.sql import functions as F
 
 from periodlens.sources.tables import settle
 
-# Words and bytes of text of a block, which bound what a task holds.
+# Words, bytes of text and documents of a block, which bound what a task holds. Documents are numbered in 16 bits.
 BLOCK_WORDS = 1_500_000
 BLOCK_BYTES = 1 << 23
+BLOCK_DOCUMENTS = 1 << 16
+# Scored rows that are packed together by block before they are shuffled.
+PACKED_ROWS = 300_000
 END = b""
 
 
@@ -63,22 +66,35 @@ class Spelling:
         self.end = float(logs[-1])
         self.log = {piece: float(logs[i]) for piece, i in number.items()}
         self.longest = max(map(len, number))
+        # A tree of bytes; the place -1 holds the log probability of the piece that ends there.
+        self.tree: dict = {}
+        for piece, p in self.log.items():
+            node = self.tree
+            for byte in piece:
+                node = node.setdefault(byte, {})
+            node[-1] = p
 
     def word(self, word: bytes) -> float:
         """The forward recursion: the log of the summed probabilities of all segmentations of a word."""
         text = b" " + word
-        n, log, longest = len(text), self.log, self.longest
-        forward = [-math.inf] * (n + 1)
-        forward[0] = 0.0
-        for j in range(1, n + 1):
-            terms = []
-            for i in range(max(0, j - longest), j):
-                p = log.get(text[i:j])
+        n, longest, exp, log = len(text), self.longest, math.exp, math.log
+        # For each place, the logs of all paths that end there by their last arc.
+        arriving: list[list[float]] = [[] for _ in range(n + 1)]
+        arriving[0].append(0.0)
+        for i, terms in enumerate(arriving):
+            top = terms[0] if len(terms) == 1 else max(terms)
+            here = top if len(terms) == 1 else top + log(sum([exp(t - top) for t in terms]))
+            if i == n:
+                return here
+            node, j = self.tree, i
+            for byte in text[i : i + longest]:
+                node = node.get(byte)
+                if node is None:
+                    break
+                j += 1
+                p = node.get(-1)
                 if p is not None:
-                    terms.append(forward[i] + p)
-            top = max(terms)
-            forward[j] = top if len(terms) == 1 else top + math.log(sum([math.exp(t - top) for t in terms]))
-        return forward[n]
+                    arriving[j].append(here + p)
 
 
 def _segment(word: bytes, number: dict[bytes, int], longest: int) -> list[int]:
@@ -95,11 +111,11 @@ def _segment(word: bytes, number: dict[bytes, int], longest: int) -> list[int]:
 
 
 def _postings(docs: DataFrame) -> DataFrame:
-    """``(block, word, doc, n, training, ids, tokens)``: a row per block and word, and one per block with its documents.
+    """``(block, word, docs, training, ids, sizes)``: a row per block and word, and one per block with its documents.
 
-    ``doc`` and ``n`` are packed unsigned 32-bit integers: documents of the block with the word, and how often each has
-    it. ``training`` is how often training documents have it. The row of documents has no word; there ``ids`` lists the
-    document ids, ``n`` their numbers of tokens and ``doc`` one for those held out.
+    ``docs`` lists the word's occurrences, each by the 16-bit number of its document; ``training`` counts those in
+    training documents. The row of documents has no word; there ``ids`` lists the document ids, ``sizes`` their numbers
+    of tokens, as 32-bit integers, and ``docs`` one for those held out.
     """
     kind = dict(docs.dtypes)["id"]
 
@@ -112,24 +128,22 @@ def _postings(docs: DataFrame) -> DataFrame:
             sizes = np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
             number: dict[bytes, int] = {END: 0}
             token = np.fromiter(
-                (number.setdefault(w, len(number)) for doc in words for w in (*doc, END)), np.int64, int(sizes.sum())
+                (number.setdefault(w, len(number)) for doc in words for w in (*doc, END)), np.int32, int(sizes.sum())
             )
-            doc = np.repeat(np.arange(len(words)), sizes)
-            pair, times = np.unique(token * len(words) + doc, return_counts=True)
-            token, doc = np.divmod(pair, len(words))
-            learnt = np.bincount(token, times * ~np.array(held)[doc], len(number)).astype(np.int64)
-            cut = np.searchsorted(token, np.arange(1, len(number)))
-            docs_of = [x.tobytes() for x in np.split(doc.astype(np.uint32), cut)]
-            times_of = [x.tobytes() for x in np.split(times.astype(np.uint32), cut)]
+            doc = np.repeat(np.arange(len(words), dtype=np.uint16), sizes)
+            learnt = np.bincount(token[~np.array(held)[doc]], minlength=len(number))
+            packed = doc[np.argsort(token, kind="stable")].tobytes()
+            ends = (2 * np.cumsum(np.bincount(token, minlength=len(number)))).tolist()
             key = (part << 24) + block
-            none = pa.nulls(len(number), pa.list_(id_type))
+            nothing = pa.nulls(len(number), pa.binary())
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(number), key)), pa.array(list(number), pa.binary()), pa.array(docs_of, pa.binary()),
-                pa.array(times_of, pa.binary()), pa.array(learnt), none,
+                pa.array(np.full(len(number), key)), pa.array(list(number), pa.binary()),
+                pa.array(map(packed.__getitem__, map(slice, [0, *ends[:-1]], ends)), pa.binary()), pa.array(learnt),
+                pa.nulls(len(number), pa.list_(id_type)), nothing,
             ], names)
             yield pa.RecordBatch.from_arrays([
-                pa.array([key]), pa.array([None], pa.binary()), pa.array([np.array(held, np.uint32).tobytes()], pa.binary()),
-                pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()), pa.array([0]), pa.array([ids], pa.list_(id_type)),
+                pa.array([key]), pa.array([None], pa.binary()), pa.array([np.array(held, np.uint8).tobytes()], pa.binary()),
+                pa.array([0]), pa.array([ids], pa.list_(id_type)), pa.array([sizes.astype(np.uint32).tobytes()], pa.binary()),
             ], names)
 
         for batch in batches:
@@ -141,14 +155,14 @@ def _postings(docs: DataFrame) -> DataFrame:
                 held.append(bool(out))
                 words.append(split)
                 words_held, bytes_held = words_held + len(split) + 1, bytes_held + len(raw) + 64
-                if words_held >= BLOCK_WORDS or bytes_held >= BLOCK_BYTES:
+                if words_held >= BLOCK_WORDS or bytes_held >= BLOCK_BYTES or len(ids) == BLOCK_DOCUMENTS:
                     yield from close()
                     words, ids, held, words_held, bytes_held, block = [], [], [], 0, 0, block + 1
         if ids:
             yield from close()
 
-    names = ["block", "word", "doc", "n", "training", "ids"]
-    return docs.mapInArrow(run, f"block bigint, word binary, doc binary, n binary, training bigint, ids array<{kind}>")
+    names = ["block", "word", "docs", "training", "ids", "sizes"]
+    return docs.mapInArrow(run, f"block bigint, word binary, docs binary, training bigint, ids array<{kind}>, sizes binary")
 
 
 def _piece_counts(words: DataFrame, number: dict[bytes, int]) -> np.ndarray:
@@ -198,10 +212,27 @@ def score(
     base_log, free = math.log10(tokens + types + 1), (discount * types / tokens if tokens else 1.0)
 
     def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of words, packed by block: numbers of occurrences, their documents, the words' counts and scores."""
         by_pieces = shared.value
+        blocks, docs_of, seen_of, spelt_of = [], [], [], []
+        last: tuple = (None, 0.0)
+
+        def packed() -> pa.RecordBatch:
+            block, seen, spelt = np.concatenate(blocks), np.concatenate(seen_of), np.concatenate(spelt_of)
+            order = np.argsort(block, kind="stable")
+            borders = [0, *(np.flatnonzero(np.diff(block[order])) + 1).tolist(), len(order)]
+            rows = [order[a:b] for a, b in zip(borders, borders[1:])]
+            lists = [[docs_of[i] for i in r.tolist()] for r in rows]
+            return pa.RecordBatch.from_arrays([
+                pa.array(block[order[borders[:-1]]]),
+                pa.array([(np.fromiter(map(len, x), np.uint32, len(x)) // 2).tobytes() for x in lists], pa.binary()),
+                pa.array([b"".join(x) for x in lists], pa.binary()),
+                pa.array([seen[r].tobytes() for r in rows], pa.binary()), pa.array([spelt[r].tobytes() for r in rows], pa.binary()),
+            ], ["block", "each", "docs", "seen", "spelt"])
+
         for batch in batches:
-            words, seen = batch.column(1).to_pylist(), np.array([c or 0 for c in batch.column(4).to_pylist()], np.int64)
-            spelt, last = np.empty(len(words)), (None, 0.0)
+            words, seen = batch.column(1).to_pylist(), np.array([c or 0 for c in batch.column(3).to_pylist()], np.int64)
+            spelt = np.empty(len(words))
             for i, word in enumerate(words):
                 # Rows come sorted by word, so a word of many blocks is spelt once.
                 if word != last[0]:
@@ -212,24 +243,27 @@ def score(
                 # The word as one arc joins the paths by pieces.
                 whole = np.log(np.maximum(seen - discount, 1e-300)) - math.log(tokens)
                 spelt = np.where(seen > 0, np.logaddexp(spelt, whole), spelt)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(2), batch.column(3), pa.array(seen > 0),
-                pa.array(np.log10(seen + 1) - base_log), pa.array(spelt / math.log(10)),
-            ], ["block", "doc", "n", "known", "base", "score"])
-
-    found = postings.filter("word is not null").select("block", "word", "doc", "n").join(counts, "word", "left")
-    found = found.select("block", "word", "doc", "n", "c")
-    valued = found.mapInArrow(values, "block bigint, doc binary, n binary, known boolean, base double, score double")
-    documents = postings.filter("word is null").select(
-        "block", "doc", "n", F.lit(None).cast("boolean").alias("known"), F.lit(None).cast("double").alias("base"),
-        F.lit(None).cast("double").alias("score"), "ids",
+            blocks.append(batch.column(0).to_numpy())
+            docs_of += batch.column(2).to_pylist()
+            seen_of.append(seen)
+            spelt_of.append(spelt / math.log(10))
+            if len(docs_of) >= PACKED_ROWS:
+                yield packed()
+                blocks, docs_of, seen_of, spelt_of = [], [], [], []
+        if docs_of:
+            yield packed()
+
+    found = postings.filter("word is not null").select("block", "word", "docs").join(counts, "word", "left")
+    valued = found.select("block", "word", "docs", "c").mapInArrow(
+        values, "block bigint, each binary, docs binary, seen binary, spelt binary"
     )
-    every = valued.withColumn("ids", F.lit(None).cast(f"array<{kind}>")).unionByName(documents)
+    documents = postings.filter("word is null").select("block", "docs", "ids", "sizes")
+    every = valued.unionByName(documents, allowMissingColumns=True)
     ordered = every.repartition("block").sortWithinPartitions("block", F.col("ids").isNull())
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of a block follow its list of documents; a word's value is added to the documents that have it."""
+        """Rows of a block follow its list of documents; a word's values are added to the documents that have it."""
         block = ids = held = sizes = known = base = lattice = None
 
         def close() -> pa.RecordBatch:
@@ -238,26 +272,21 @@ def score(
             ], names)
 
         for batch in batches:
-            blocks, docs_of, times_of = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            starts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(blocks) else []
-            for a, b in zip(starts, np.append(starts[1:], len(blocks))):
-                if blocks[a] != block:
+            for i, key in enumerate(batch.column(0).to_pylist()):
+                if key != block:
                     if block is not None:
                         yield close()
-                    block, ids = blocks[a], batch.column(6)[a].values
-                    held = np.frombuffer(docs_of[a], np.uint32) > 0
-                    sizes = np.frombuffer(times_of[a], np.uint32).astype(np.int64)
+                    block, ids = key, batch.column(5)[i].values
+                    held = np.frombuffer(batch.column(2)[i].as_py(), np.uint8) > 0
+                    sizes = np.frombuffer(batch.column(6)[i].as_py(), np.uint32).astype(np.int64)
                     known, base, lattice = np.zeros(len(sizes), np.int64), np.zeros(len(sizes)), np.zeros(len(sizes))
-                    a += 1
-                if a < b:
-                    doc = np.frombuffer(b"".join(docs_of[a:b]), np.uint32)
-                    times = np.frombuffer(b"".join(times_of[a:b]), np.uint32)
-                    each = np.fromiter(map(len, docs_of[a:b]), np.int64, b - a) // 4
-                    sure, one, two = (np.repeat(batch.column(i).slice(a, b - a).to_numpy(zero_copy_only=False), each) for i in (3, 4, 5))
-                    n = len(sizes)
-                    known += np.bincount(doc, times * sure.astype(bool), n).astype(np.int64)
-                    base += np.bincount(doc, times * one, n)
-                    lattice += np.bincount(doc, times * two, n)
+                    continue
+                each, doc, seen, spelt = (
+                    np.frombuffer(batch.column(c)[i].as_py(), kind) for c, kind in ((1, np.uint32), (2, np.uint16), (3, np.int64), (4, np.float64))
+                )
+                known += np.bincount(doc, np.repeat(seen > 0, each), len(sizes)).astype(np.int64)
+                base += np.bincount(doc, np.repeat(np.log10(seen + 1) - base_log, each), len(sizes))
+                lattice += np.bincount(doc, np.repeat(spelt, each), len(sizes))
         if block is not None:
             yield close()
 
