@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from periodlens.llm.common import narrow
+from periodlens.sources.tables import settle
 
 BUCKETS = 1 << 14
 SPACE = np.array([32], np.uint32)
@@ -77,7 +78,8 @@ class Model:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", buckets: int = BUCKETS) -> Model | None:
-    """Learn from the rows with a language and a letter. One row per language and bucket comes to the driver."""
+    """Learn from the rows with a language and a letter. One row per language and bucket comes to the driver, where
+    their number has been found to be within the bound of the matrix."""
     cut = narrow(docs, lang=lang_col, text=text_col).filter("lang is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,12 +96,13 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(sums[at])], ["lang", "at", "n"])
 
     sums = cut.mapInArrow(run, "lang string, at bigint, n bigint").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    sums = settle(sums, "trigrams")
+    if (found := sums.select("lang").distinct().count()) * buckets * 8 > MATRIX_BYTES:
+        raise ValueError(f"{found} languages with {buckets} buckets are too many to broadcast; take fewer buckets")
     sums = sums.toArrow()
     languages = sorted(set(sums.column("lang").to_pylist()))
     if not languages:
         return None
-    if len(languages) * buckets * 8 > MATRIX_BYTES:
-        raise ValueError(f"{len(languages)} languages with {buckets} buckets are too many to broadcast; take fewer buckets")
     row = {x: i for i, x in enumerate(languages)}
     table = np.zeros((len(languages), buckets + 1), np.int64)
     table[[row[x] for x in sums.column("lang").to_pylist()], sums.column("at").to_numpy()] = sums.column("n").to_numpy()

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -30,12 +31,16 @@ WINDOWS = 32
 SLACK = 8
 PIECE = 128
 CLOSING = 0
+# Characters encoded at once.
+STRETCH = 1 << 20
 
 
 def bpe_encoder(vocabulary: str | None = None, pattern: str | None = None) -> Callable[[str], np.ndarray]:
     """Byte-level BPE ids of a text as unsigned 32-bit integers.
 
     The vocabulary is read as ranks, which the faster of the two libraries takes; the ids are those of the JSON file.
+    A long text is encoded by stretches. They end before a lone space between two other characters, where a piece of
+    the pre-tokenizer always begins, so the ids are those of the whole text.
     """
     import public_tokenizers
     import tiktoken
@@ -45,7 +50,17 @@ def bpe_encoder(vocabulary: str | None = None, pattern: str | None = None) -> Ca
     encode = tiktoken.Encoding(
         "bytes", pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
-    return lambda text: np.frombuffer(array("I", encode(text)), np.uint32)
+    border = re.compile(r"(?<=\S) (?=\S)")
+
+    def ids(text: str) -> np.ndarray:
+        out, at = array("I"), 0
+        while len(text) - at > STRETCH and (m := border.search(text, at + STRETCH)):
+            out.extend(encode(text[at : m.start()]))
+            at = m.start()
+        out.extend(encode(text[at:] if at else text))
+        return np.frombuffer(out, np.uint32)
+
+    return ids
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:

@@ -133,6 +133,14 @@ def test_ids_are_those_of_the_tokenizer(awkward_rows):
         assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_long_texts(monkeypatch):
+    text = " ".join(TEXTS) * 20
+    whole = packing.bpe_encoder()(text).tolist()
+    for size in (1, 7, 100):
+        monkeypatch.setattr(packing, "STRETCH", size)
+        assert packing.bpe_encoder()(text).tolist() == whole
+
+
 def test_packed_ids_come_back(awkward, awkward_rows):
     pieces = packing.pack(awkward).collect()
     encode = packing.bpe_encoder()
