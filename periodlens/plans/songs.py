@@ -24,6 +24,11 @@ DISPLAY = [
 KEYS = ["id", "year", "genre", "niche_genres"]
 
 
+# Displayed names and groups of the single series in the vote.
+THEME_NAMES = {"loneliness": "loneliness", "love": "love words", "lust": "lust"}
+SHOWN = {s: (THEME_NAMES[s], "Lyrics: themes") if s in THEME_NAMES else (s, "Audio features") for s in REPORTED}
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     return tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA, multi_line=True)
 
@@ -123,7 +128,7 @@ def consensus_years(songs: DataFrame, emotions: DataFrame, mood: cluster.Eras, g
     found = synthesis.collect(
         long, ("valence", "energy"),
         {"mood clusters": (mood.clusters, "mood"), "genre clusters": (genre.clusters, "genre")}, "year",
-        emotion_series(emotions),
+        emotion_series(emotions), names=SHOWN,
     )
     spine = songs.sparkSession.range(FIRST_YEAR, LAST_YEAR + 1).select(F.col("id").cast("int").alias("t"))
     return consensus.vote(found, spine)

@@ -96,11 +96,18 @@ def mood_report(spark, sf):
     return plans.mood(month_series(spark, sf), JOINT, eras.clusters, "m")
 
 
+def mood_report_given(spark, sf):
+    """The same report against eras that are given: two years each."""
+    months = month_series(spark, sf).select(F.col("t").alias("m")).distinct()
+    return rounded(plans.mood(month_series(spark, sf), JOINT, months.withColumn("cluster", F.expr("m div 24")), "m"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         prefix_sums, segment_cost, optimal_partition, change_points, change_points_raw, change_points_shifted,
         change_points_joint, elbow_pick, pettitt, supplier_pettitt, change_report, change_report_raw, label_boundaries, boundary_agreement, mood_report,
+        mood_report_given,
     )
 }
 
@@ -146,6 +153,22 @@ ORACLES = {
     "change_points_shifted": _RAW,
     "change_report": _report(MONTH_SCORES),
     "change_report_raw": _report(MONTH_SERIES),
+    "mood_report_given": f"""WITH {MONTH_SERIES.replace('long AS (', 'raw AS (', 1)}, multi AS (
+        SELECT 'l_quantity+l_extendedprice' AS series, series AS dim, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x
+        FROM raw WHERE series IN ('l_quantity', 'l_extendedprice') WINDOW w AS (PARTITION BY series)),
+        {partitions(5, 'multi')}, {CHOSEN},
+        long AS (SELECT * FROM raw WHERE series IN ('l_quantity', 'l_extendedprice')), {PETTITT},
+        edges AS (SELECT t FROM (SELECT DISTINCT t, t // 24 AS c FROM raw) QUALIFY c <> lag(c) OVER (ORDER BY t)),
+        found AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM chosen WHERE path <> ''),
+        near AS (SELECT DISTINCT f.t FROM found f JOIN edges e ON abs(f.t - e.t) <= 1),
+        out AS (SELECT 'optimal_partition_bic' AS method, series AS target, m::INTEGER AS n_change_points, path AS break_periods,
+                    NULL::DOUBLE AS p_value FROM chosen
+                UNION ALL SELECT 'pettitt', series, 1, break_t::VARCHAR, round(p, 6) FROM pettitt
+                UNION ALL SELECT 'kmeans_cluster_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
+                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM edges
+                UNION ALL SELECT 'breaks_near_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
+                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM near)
+        SELECT * FROM out""",
     "label_boundaries": f"WITH {_EDGES} SELECT 'top' AS series, t FROM edges",
     "boundary_agreement": f"""WITH {DAY_SERIES}, {_ONE_DIM}, {partitions(3, 'uni')}, {_EDGES},
         b AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM parts WHERE m = 3)

@@ -77,11 +77,24 @@ def synthesis_votes(spark, sf):
     return consensus.vote(found, items.select(F.col("m").alias("t")).distinct())
 
 
+def synthesis_given(spark, sf):
+    """All signals of the synthesis against eras that are given, with names and groups of their own."""
+    items = lineitem(spark, sf)
+    months = month_series(spark, sf).select(F.col("t").alias("m")).distinct()
+    shares = mix.category_mix(items, "m", "l_returnflag").selectExpr("l_returnflag AS series", "m AS t", "round(share, 6) AS x")
+    return synthesis.collect(
+        month_series(spark, sf), ("l_quantity", "l_discount"),
+        {"two years": (months.withColumn("cluster", F.expr("m div 24")), "eras"),
+         "five years": (months.withColumn("cluster", F.expr("m div 60")), "long eras")}, "m", shares,
+        names={"l_tax": ("rate of tax", "money")},
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         signals, signal_listing, consensus_votes, supplier_votes, supplier_voters, consensus_top, consensus_peaks,
-        synthesis_votes,
+        synthesis_votes, synthesis_given,
     )
 }
 
@@ -103,7 +116,34 @@ _COUNT = f"""spine AS (SELECT DISTINCT {MONTH} AS t FROM lineitem),
               FROM spine s LEFT JOIN direct d ON s.t = d.t LEFT JOIN near n ON s.t = n.t)"""
 _VOTES = f"{_SIGNALS}, {_COUNT}"
 
+_ALL = f"""{MONTH_SCORES.split(', long AS', 1)[0]}, mixed AS (
+        SELECT l_returnflag, t, round(n::DOUBLE / sum(n) OVER (PARTITION BY t), 6) AS x
+        FROM (SELECT l_returnflag, {MONTH} AS t, count(*) AS n FROM lineitem GROUP BY 1, 2)),
+    both_parts AS (SELECT 'l_quantity x l_discount' AS series, series AS dim, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x
+        FROM raw WHERE series IN ('l_quantity', 'l_discount') WINDOW w AS (PARTITION BY series)),
+    uni AS (SELECT * FROM both_parts
+        UNION ALL SELECT series, '', t, x FROM raw WHERE series NOT IN ('l_quantity', 'l_discount')
+        UNION ALL SELECT 'label:' || l_returnflag, '', t, x FROM mixed),
+    {partitions(8, 'uni')},
+    able AS (SELECT * FROM parts WHERE series <> 'l_quantity x l_discount' OR m <= 5), {CHOSEN.replace('FROM parts', 'FROM able')},
+    long AS (SELECT series, t, x FROM raw UNION ALL SELECT 'label:' || l_returnflag, t, x FROM mixed), {PETTITT},
+    single AS (SELECT c.series, CASE WHEN m < 8 THEN path ELSE break_t::VARCHAR END AS path, m < 8 AS reliable
+               FROM chosen c JOIN pettitt q ON c.series = q.series),
+    spans AS (SELECT DISTINCT t, t // 24 AS a, t // 60 AS b FROM raw),
+    sig AS (
+        SELECT 'two years' AS signal, 'eras' AS grp, 0 AS ord, t FROM spans QUALIFY a <> lag(a) OVER (ORDER BY t)
+        UNION ALL SELECT 'five years', 'long eras', 0, t FROM spans QUALIFY b <> lag(b) OVER (ORDER BY t)
+        UNION ALL SELECT series || ' change-points', 'joint', 1, unnest(string_split(path, ';'))::INTEGER FROM chosen
+            WHERE series = 'l_quantity x l_discount' AND path <> ''
+        UNION ALL SELECT series || ' (Pettitt)', 'joint', 1, break_t FROM pettitt WHERE series IN ('l_quantity', 'l_discount')
+        UNION ALL SELECT CASE series WHEN 'l_tax' THEN 'rate of tax' ELSE series END || CASE WHEN reliable THEN '' ELSE ' (Pettitt)' END,
+            CASE series WHEN 'l_tax' THEN 'money' ELSE 'feature' END, 2, unnest(string_split(path, ';'))::INTEGER FROM single
+            WHERE series NOT LIKE 'label:%' AND path <> ''
+        UNION ALL SELECT substr(series, 7) || ' (label)', 'label', 3, unnest(string_split(path, ';'))::INTEGER FROM single
+            WHERE series LIKE 'label:%' AND path <> '')"""
+
 ORACLES = {
+    "synthesis_given": f"WITH {_ALL} SELECT signal, grp, ord, t FROM sig",
     "signals": f"WITH {_SIGNALS} SELECT signal, grp, ord, t FROM sig",
     "signal_listing": f"""WITH {_SIGNALS} SELECT ord, grp, signal, string_agg(t::VARCHAR, ';' ORDER BY t) AS periods
         FROM sig GROUP BY 1, 2, 3""",

@@ -57,7 +57,7 @@ def test_trends_and_changes(songs):
 def test_eras_emotions_and_consensus(songs, spark, folder):
     mood, genre = plan.mood_eras(songs, range(2, 5)), plan.genre_eras(songs, range(2, 5))
     changes = {(r["method"], r["target"]): r for r in plan.mood_changes(songs, mood).collect()}
-    assert len(changes) == 4 and "2006" in changes[("optimal_partition_bic", "valence+energy")]["break_periods"]
+    assert len(changes) == 5 and "2006" in changes[("optimal_partition_bic", "valence+energy")]["break_periods"]
     lexicon = labels.LexiconLabeller({e: {"love": ["love"], "sadness": ["lonely"]}.get(e, [f"{e}word"]) for e in EMOTIONS})
     assert len(plan.label_emotions(songs, folder, lexicon)) == 33
     emotions = plan.song_emotions(spark, folder)
