@@ -71,6 +71,12 @@ def tie_share(spark, sf):
     return rounded(labels.shares(_counts(spark, sf), "period", NAMES, "entity", "tieaware_"))
 
 
+def share_totals(spark, sf):
+    """The shares of a period add up to one."""
+    shares = labels.shares(_counts(spark, sf), "period", NAMES, "entity")
+    return shares.select("period", r(sum((F.col(n) for n in NAMES[1:]), F.col(NAMES[0]))).alias("total"))
+
+
 def chunk_share(spark, sf):
     return rounded(labels.shares(_counts(spark, sf), "period", NAMES, "chunk"))
 
@@ -145,7 +151,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         distinct_chunks, lexicon_label, dedupe_label_join, label_counts, dominant_label, tie_break_by_confidence,
-        tied_set, label_distribution, tie_weights, tie_share, chunk_share, share_report, overall_share, tie_audit,
+        tied_set, label_distribution, tie_weights, tie_share, share_totals, chunk_share, share_report, overall_share, tie_audit,
         tie_multiplicity, label_agreement, label_confusion, label_involvement, label_histogram, quality_agreement,
         model_label,
     )
@@ -204,6 +210,7 @@ ORACLES = {
         + ", ".join(f"round(w_{n}, 6) AS {n}" for n in NAMES) + " FROM weighted",
     "tie_share": f"WITH {_WEIGHTED} SELECT period, "
         + ", ".join(f"round(sum(w_{n}) / nullif({_wsum}, 0), 6) AS tieaware_{n}" for n in NAMES) + " FROM weighted GROUP BY 1",
+    "share_totals": f"WITH {_WEIGHTED} SELECT period, CASE WHEN {_wsum} > 0 THEN 1.0::DOUBLE END AS total FROM weighted GROUP BY 1",
     "chunk_share": f"WITH {COUNTS} SELECT period, "
         + ", ".join(f"round(sum({n})::DOUBLE / nullif({_csum}, 0), 6) AS {n}" for n in NAMES) + " FROM counts GROUP BY 1",
     "share_report": f"WITH {_WEIGHTED} SELECT period, "
