@@ -46,11 +46,13 @@ def test_steps_are_found_on_any_level(long_of, level):
     rng = np.random.default_rng(12)
     lengths = (9, 22, 14)
     data = {"up": _steps(rng, (0, 1, 2.5), lengths, 0.1), "back": _steps(rng, (3, 1, 3), lengths, 0.15)}
-    found = {r["series"]: r for r in cp.detect(long_of({k: v + level for k, v in data.items()})).collect()}
-    plain = {r["series"]: r for r in cp.detect(long_of(data)).collect()}
+    raised = long_of({k: v + level for k, v in data.items()})
+    found, plain = ({r["series"]: r for r in cp.detect(long).collect()} for long in (raised, long_of(data)))
     for name in data:
-        assert found[name]["breaks"] == plain[name]["breaks"] == [9, 31]
+        # The criterion may add a break that noise suggests, but the same one on every level.
+        assert found[name]["breaks"] == plain[name]["breaks"] and {9, 31} <= set(found[name]["breaks"])
         assert found[name]["sse"] == pytest.approx(plain[name]["sse"], rel=1e-4) and found[name]["sse"] >= 0
+    assert all(r["breaks"] == [9, 31] for r in cp.partition(raised, 2).filter("m = 2").collect())
 
 
 def test_no_number_no_point(long_of):
