@@ -161,9 +161,10 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """``(id, key, fp, component_id)`` for every row; ``component_id`` is the smallest id reachable by links.
+    """``(id, key, fp, component_id, root)`` for every row; ``component_id`` is the smallest id reachable by links.
 
-    Fingerprints are written once and read for the links and for the result. Copies share a fingerprint, so only
+    ``root`` is the fingerprint that stands for the component. It alone tells components apart: ids may be null, and
+    may come more than once. Fingerprints are written once and read for the links and for the result. Copies share a fingerprint, so only
     distinct fingerprints are linked, and the last join has one row per fingerprint on one side; rows of a frequent
     fingerprint are split by the adaptive skew join.
     """
@@ -176,8 +177,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     )
     named = settle(named, "named")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select("id", "key", "fp", "component_id")
+    by_fp = named.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(by_fp, "fp").select("id", "key", "fp", "component_id", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -185,8 +186,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 
     Among rows with the same id the smallest row hash stays, and of rows equal in id and text one.
     """
-    grouped = groups(docs, id_col, text_col, words)
-    kept = grouped.groupBy("component_id").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("_keep"))
+    return one_of_each(docs, groups(docs, id_col, text_col, words), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` chosen as in :func:`keep_one` from groups ``(id, key, root)``."""
+    kept = grouped.groupBy("root").agg(F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("_keep"))
     key = row_key(id_col, text_col)
     stay = docs.join(kept.select("_keep"), key == F.col("_keep"), "left_semi")
     repeated = grouped.groupBy("key").count().filter("count > 1").select(F.col("key").alias("_twice"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -103,6 +104,17 @@ def test_one_of_each_group_stays(awkward):
     assert ids == sorted(component)
 
 
+def test_groups_are_kept_apart_without_ids(spark):
+    """Null ids name no group, and one id may have two texts."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9999)}" for _ in range(30)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (9, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
+    for keep_one in (simhash.keep_one,):
+        assert Counter(map(tuple, keep_one(df).collect())) == expected
+
+
 def test_long_chain_has_one_root(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = roots(links).collect()
