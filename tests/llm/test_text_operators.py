@@ -8,11 +8,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from periodlens.llm import language, lattice, quality, secret_scan, simhash
+import corpus_pipeline
+from periodlens.llm import language, lattice, near_copies, quality, secret_scan, simhash
 from periodlens.llm.components import roots
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,10 +113,38 @@ def test_groups_are_kept_apart_without_ids(spark):
     rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5]), (9, texts[5])]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     expected = Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])])
-    for keep_one in (simhash.keep_one,):
+    for keep_one in (simhash.keep_one, near_copies.keep_one):
         assert Counter(map(tuple, keep_one(df).collect())) == expected
 
 
+def similarity(a, b, k=5):
+    a, b = ({tuple(t.split()[i : i + k]) for i in range(len(t.split()) - k + 1)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_with_edited_words_go(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, pairs = [], []
+    for i in range(60):
+        words = [f"w{rng.randrange(9999)}" for _ in range(100 + 5 * i)]
+        copy = list(words)
+        # Edits far enough apart that similarities lie on both sides of the least one.
+        for at in range(0, len(words), (55, 40)[i % 2]):
+            copy[at] = "edited"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        pairs.append(similarity(rows[-2][1], rows[-1][1]) >= 0.8)
+    assert 15 <= sum(pairs) <= 45
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    expected = sorted(x for i, near in enumerate(pairs) for x in ([2 * i] if near else [2 * i, 2 * i + 1]))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == expected
+    # A large bucket is held on disk.
+    sets = [near_copies.shingles(t) for _, t in rows[:20]]
+    bucket = pa.RecordBatch.from_arrays([pa.array([1] * 20), pa.array(range(20)), pa.array([x.tobytes() for x in sets])], ["bucket", "node", "shingles"])
+    found = [b.to_pylist() for b in near_copies._link_runs(iter([bucket]))]
+    monkeypatch.setattr(near_copies, "HELD", 5000)
+    assert [b.to_pylist() for b in near_copies._link_runs(iter([bucket]))] == found and len(found[0]) == sum(pairs[:10])
+
+
 def test_long_chain_has_one_root(spark):
     links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = roots(links).collect()
