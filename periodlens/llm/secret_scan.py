@@ -48,14 +48,14 @@ _PAIR = re.compile(
     [ \t]{0,64}(?::[ \t]{0,8}[A-Za-z_]\w{0,63}[ \t]{0,8}(?==))?             # a type annotation
     (?:=>|:=|=(?!=)|:(?!:))[ \t]{0,64}
     (?P<value>
-        (?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')           # quoted literals, perhaps joined
-        (?:[ \t]*\+[ \t]*(?:"(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'))*
-      | [^\s"',;(){}\[\]<>|]{1,4096}                                        # a bare literal or a name
+        (?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')                   # quoted literals of any length, perhaps joined
+        (?:[ \t]*+\+[ \t]*+(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'))*+
+      | [^\s"',;(){}\[\]<>|]++                                             # a bare literal or a name
     )
     """,
     re.VERBOSE,
 )
-_LITERAL = re.compile(r"""(["'])((?:[^"'\\\n]|\\.|(?!\1)["'])*)\1""")
+_LITERAL = re.compile(r"""(["'])((?:[^"'\\\n]++|\\.|(?!\1)["'])*+)\1""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z")
 _NO_SECRET = frozenset("true false null none undefined nil yes no string str int bytes example changeme".split())
 

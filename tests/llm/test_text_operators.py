@@ -279,6 +279,15 @@ def test_assignments_to_sensitive_names(text, found):
     assert [text[a:b] for a, b, k in secret_scan.scan(text) if k == "named"] == found
 
 
+@pytest.mark.parametrize("line", ['private_key = "{}"', "access_key: {}", "credential = 'x' + '{}'"])
+def test_long_literals_are_masked_whole(line):
+    rng = random.Random(7)
+    value = "".join(rng.choice("abcdefXYZ0123456789+/-") for _ in range(200_000))
+    assert secret_scan.masked(f"{line.format(value)}\nrest").replace("x", "") == f"{line.format('[secret]')}\nrest".replace("x", "")
+    # Many openings without an end stay cheap.
+    assert secret_scan.named_spans("private_key='\\\"" * 50_000) is not None
+
+
 def test_scan_of_a_table(awkward, awkward_rows, spark):
     got = secret_scan.spans(awkward).collect()
     assert len(got) == len(awkward_rows) and all(r["spans"] == [] for r in got if r["id"] in (100, 101, 102))
