@@ -2,8 +2,11 @@
 
 Assignments are lexed into name-literal pairs: ``name = "literal"``, ``name: literal``, ``"name": "literal"``,
 ``export NAME=literal`` and the like. A name assigned to a name takes over its literal, however many steps away and
-wherever in the text, and literals joined by ``+`` are taken one by one. A literal counts as a secret if the name it ends up under is sensitive and the literal
-looks random enough for it: the more telling the name, the less is asked of the literal.
+wherever in the text. A literal counts as a secret if the name it ends up under is sensitive and the literal looks
+random enough for it: the more telling the name, the less is asked of the literal. Only a placeholder as a whole
+(``${NAME}``, ``<...>``, ``{{...}}``, ``%s``) is none; blanks and signs within a literal do not matter. Literals joined
+by ``+`` are judged as what they make together, and all of their pieces are spans; beside pieces that are secrets by
+themselves, the others have the kind ``joined``. The value of a PEM block goes from its header to its last line.
 
 Defined results: a null or empty text has no spans; spans are counted in code points, end exclusive; a literal
 within a span that a fixed pattern has found is not added again; repeated rows are scanned each for itself; an empty
@@ -31,7 +34,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 ASSIGN_LENGTH, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 
-KINDS = ("assign", "access", "hex", "named")
+KINDS = ("assign", "access", "hex", "named", "joined")
 
 # Words in a name that say what its value is, with the randomness asked of the value in bits.
 SENSITIVE = {
@@ -48,8 +51,11 @@ _PAIR = re.compile(
     [ \t]{0,64}(?::[ \t]{0,8}[A-Za-z_]\w{0,63}[ \t]{0,8}(?==))?             # a type annotation
     (?:=>|:=|=(?!=)|:(?!:))[ \t]{0,64}
     (?P<value>
+        (?!(?:"{3}|'{3})\s{0,64}-----BEGIN[ ])
         (?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')                   # quoted literals of any length, perhaps joined
         (?:[ \t]*+\+[ \t]*+(?:"(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+'))*+
+      | (?:"{3}|'{3}|["']|[|>][-+]?)?\s{0,64}(?P<pem>-----BEGIN[ ][^-\n]++-----       # a PEM block over several lines
+          (?:[^-]++|-(?!----(?:BEGIN|END)[ ]))*+-----END[ ][^-\n]++-----)
       | [^\s"',;(){}\[\]<>|]++                                             # a bare literal or a name
     )
     """,
@@ -57,6 +63,9 @@ _PAIR = re.compile(
 )
 _LITERAL = re.compile(r"""(["'])((?:[^"'\\\n]++|\\.|(?!\1)["'])*+)\1""")
 _IDENTIFIER = re.compile(r"[A-Za-z_][\w.]*\Z")
+_PLACEHOLDER = re.compile(r"\$\{[^{}]*\}|\$\([^()]*\)|\$[A-Z_][A-Z0-9_]*|<[^<>]*>|\{\{(?:(?!\}\}).)*\}\}|\{[^{}]*\}|%(?:\(\w*\))?[a-z]|%\w+%|\*+", re.DOTALL)
+# Without quotes a name after a sign is a variable or an alias, too.
+_BARE_PLACEHOLDER = re.compile(r"[$*&]\w+")
 _NO_SECRET = frozenset("true false null none undefined nil yes no string str int bytes example changeme".split())
 
 
@@ -77,30 +86,35 @@ def randomness(literal: str) -> float:
 
 
 def _convincing(literal: str, asked: int) -> bool:
-    if len(literal) < 6 or literal.lower() in _NO_SECRET or re.search(r"[\s$%{<*]", literal):
+    if len(literal) < 6 or literal.lower() in _NO_SECRET or _PLACEHOLDER.fullmatch(literal.strip()):
         return False
     # One kind of letter alone is a word, not a value; long values may be.
     mixed = sum(bool(re.search(x, literal)) for x in ("[a-z]", "[A-Z]", "[0-9]", r"[^A-Za-z0-9]"))
     return (mixed >= 2 or len(literal) >= 20) and randomness(literal) >= asked
 
 
-def named_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of literals that end up under sensitive names."""
-    literals: dict[str, list[tuple[int, int]]] = {}
+def named_spans(text: str) -> list[tuple[int, int, str]]:
+    """Spans of literals that end up under sensitive names, with their kind."""
+    # A literal is the spans of its pieces, mostly one.
+    literals: dict[str, list[tuple[tuple[int, int], ...]]] = {}
     names: dict[str, set[str]] = {}
     asked: dict[str, int] = {}
     for m in _PAIR.finditer(text):
         name, value, at = _base_name(m["name"]), m["value"], m.start("value")
         if (bits := _asked(m["name"])) is not None:
             asked[name] = min(bits, asked.get(name, bits))
-        if value[0] in "\"'":
-            literals.setdefault(name, []).extend((at + x.start(2), at + x.end(2)) for x in _LITERAL.finditer(value))
+        here = literals.setdefault(name, [])
+        if m["pem"]:
+            here.append((m.span("pem"),))
+        elif value[0] in "\"'":
+            here.append(tuple((at + x.start(2), at + x.end(2)) for x in _LITERAL.finditer(value) if x[2]))
         else:
             end = len(value.rstrip(".,!?"))
             if _IDENTIFIER.match(value[:end]):
                 names.setdefault(name, set()).add(_base_name(value[:end]))
-            literals.setdefault(name, []).append((at, at + end))
-    spans = set()
+            if not _BARE_PLACEHOLDER.fullmatch(value[:end]):
+                here.append(((at, at + end),))
+    spans: dict[tuple[int, int], str] = {}
     for name, bits in asked.items():
         # All names that this one can be traced back to. A bare word is a literal only where no such name is known.
         seen, left = {name}, [name]
@@ -109,10 +123,16 @@ def named_spans(text: str) -> list[tuple[int, int]]:
                 if other not in seen and other in literals:
                     seen.add(other)
                     left.append(other)
-        for a, b in (x for n in seen for x in literals.get(n, ())):
-            if _base_name(text[a:b]) not in literals and _convincing(text[a:b], bits):
-                spans.add((a, b))
-    return sorted(spans)
+        for pieces in (x for n in seen for x in literals.get(n, ())):
+            whole = "".join(text[a:b] for a, b in pieces)
+            alone = [x for x in pieces if _base_name(text[slice(*x)]) not in literals and _convincing(text[slice(*x)], bits)]
+            if alone or len(pieces) > 1 and _convincing(whole, bits):
+                for x in pieces:
+                    if x in alone or not alone:
+                        spans[x] = "named"
+                    else:
+                        spans.setdefault(x, "joined")
+    return sorted((a, b, kind) for (a, b), kind in spans.items())
 
 
 def scan(text: str | None) -> list[tuple[int, int, str]]:
@@ -126,7 +146,7 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(x in low for x in _HINTS):
         base = list(out)
-        out += [(a, b, "named") for a, b in named_spans(text) if not any(x <= a and b <= y for x, y, _ in base)]
+        out += [(a, b, kind) for a, b, kind in named_spans(text) if not any(x <= a and b <= y for x, y, _ in base)]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
