@@ -6,7 +6,8 @@ each of them the closest of the others. Searching keeps a beam of the best nodes
 neighbours of those not yet looked at, a round for all queries at once, until nothing is left to look at. What is
 returned has been measured again on the original vectors.
 
-Graph and search work on vectors rounded to eight bits. Equal vectors are one node, so that copies, however many,
+Graph and search work on vectors as exact as they come: floats for a column of floats, else doubles; distances are
+worked out on doubles, so that near copies and small components beside a large one keep their order. Equal vectors are one node, so that copies, however many,
 are one neighbour; a node lists the smallest ids that have its vector, as many as a result can name.
 
 Defined results: vectors that are null, zero, of another length than most (the longer of equally frequent lengths
@@ -42,6 +43,7 @@ BEAM = 512
 HOPS = 16
 ENTRIES = 32
 MEASURED = 64
+WIDE = 1 << 13
 SEED = 42
 
 _GRAPH = "node bigint, code binary, ids binary, dists binary"
@@ -58,16 +60,15 @@ class Index:
     nodes: int
 
 
-def encode(vectors: np.ndarray) -> np.ndarray:
-    """Rows of bytes: the largest component as a 32-bit float, then the components as 8-bit parts of it."""
-    scale = np.abs(vectors).max(1).astype(np.float32)
-    parts = np.rint(vectors / np.maximum(scale, 1e-30)[:, None] * 127).astype(np.int8)
-    return np.concatenate((scale[:, None].view(np.uint8), parts.view(np.uint8)), axis=1)
+def encode(vectors: np.ndarray, kind: str = "f8") -> np.ndarray:
+    """Rows of bytes: the size of a component, then the components."""
+    parts = np.ascontiguousarray(vectors, kind)
+    return np.concatenate((np.full((len(parts), 1), parts.itemsize, np.uint8), parts.view(np.uint8)), axis=1)
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    scale = np.ascontiguousarray(codes[..., :4]).view(np.float32)
-    return codes[..., 4:].view(np.int8).astype(np.float32) * (scale / 127)
+    kind = f"f{codes.reshape(-1)[0]}" if codes.size else "f8"
+    return np.ascontiguousarray(codes[..., 1:]).view(kind).astype(np.float64)
 
 
 def _bytes(column: pa.Array) -> np.ndarray:
@@ -84,7 +85,8 @@ def _usable(vec: str) -> Column:
 
 
 def _pairwise(vectors: np.ndarray) -> np.ndarray:
-    """Squared distances within each group of rows of the last two axes."""
+    """Squared distances within each group of rows of the last two axes, measured from the group's first row."""
+    vectors = vectors - vectors[..., :1, :]
     norms = (vectors * vectors).sum(-1)
     products = np.matmul(vectors, np.swapaxes(vectors, -1, -2))
     return np.maximum(norms[..., :, None] + norms[..., None, :] - 2 * products, 0)
@@ -108,7 +110,7 @@ def _merge(ids: np.ndarray, dists: np.ndarray, most: int) -> tuple[np.ndarray, n
 
 
 def _offers(rows: DataFrame) -> DataFrame:
-    """Offers within blocks: rows ``(block, node, code)`` sorted by block → ``(node, ids, dists)``."""
+    """Offers within blocks: rows ``(block, node, code, x)`` → ``(node, ids, dists)``. Crowded blocks are cut along ``x``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(nodes: np.ndarray, codes: np.ndarray) -> pa.RecordBatch | None:
@@ -142,7 +144,7 @@ def _offers(rows: DataFrame) -> DataFrame:
                 if (out := close(nodes[at : min(b, at + BLOCK)], codes[at : min(b, at + BLOCK)])) is not None:
                     yield out
 
-    ordered = rows.repartition("block").sortWithinPartitions("block", "node")
+    ordered = rows.repartition("block").sortWithinPartitions("block", "x", "node")
     return ordered.mapInArrow(run, "node bigint, ids binary, dists binary")
 
 
@@ -172,11 +174,12 @@ def _first_offers(codes: DataFrame, nodes: int, length: int) -> DataFrame:
             cell = np.zeros(len(node), np.int64)
             for i, q in bounds.items():
                 cell[line == i] = np.searchsorted(q, x[line == i])
-            mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+            # Another mix for each line, so that nodes in one cell of all lines are not always parted alike.
+            mixed = ((node ^ (line << 40)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             block = (line * QUANTILES + cell) * parts + (mixed % np.uint64(parts)).astype(np.int64)
-            yield _batch(["block", "node", "code"], [block, batch.column(0), batch.column(1)])
+            yield _batch(["block", "node", "code", "x"], [block, batch.column(0), batch.column(1), x])
 
-    return _offers(placed.mapInArrow(deal, "block bigint, node bigint, code binary"))
+    return _offers(placed.mapInArrow(deal, "block bigint, node bigint, code binary, x double"))
 
 
 def _updated(graph: DataFrame, offers: DataFrame) -> DataFrame:
@@ -302,6 +305,7 @@ def _round_offers(graph: DataFrame) -> DataFrame:
 def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", most: int = 10, rounds: int = ROUNDS) -> Index:
     """The index of all rows that take part. ``most`` is the largest number of neighbours a search will ask for."""
     rows = narrow(vectors, id=id_col, vec=vec_col)
+    kind = "f4" if dict(rows.dtypes)["vec"] == "array<float>" else "f8"
     rows = rows.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     rows = rows.filter(F.col("id").isNotNull() & _usable("vec")).groupBy("id").agg(F.min("vec").alias("vec"))
     rows = settle(rows, "rows")
@@ -320,7 +324,7 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
             if batch.num_rows:
                 vecs = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
                 empty = pa.array([b""] * batch.num_rows)
-                yield _batch(["node", "code", "ids", "dists"], [batch.column(0), [x.tobytes() for x in encode(vecs)], empty, empty])
+                yield _batch(["node", "code", "ids", "dists"], [batch.column(0), [x.tobytes() for x in encode(vecs, kind)], empty, empty])
 
     graph = settle(nodes.mapInArrow(codes, _GRAPH), "codes")
     graph = settle(_updated(graph, _first_offers(graph.select("node", "code"), count, length)), "graph")
@@ -330,13 +334,14 @@ def build(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
 
 def _with_codes(graph: DataFrame) -> DataFrame:
-    """``(node, ids, codes)``: the graph with the vectors of the neighbours beside their ids."""
+    """``(node, ids, codes)``: the graph with the vectors of the neighbours beside their ids, in rows of ``WIDE`` bytes."""
     own = graph.select(F.col("node").alias("member"), "code")
     joined = _edges(graph).join(own, "member").repartition("owner").sortWithinPartitions("owner", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows(owners: np.ndarray, members: np.ndarray, codes: list[bytes]) -> pa.RecordBatch:
-            runs = list(_runs(owners))
+            step = max(1, WIDE // len(codes[0]))
+            runs = [(at, min(b, at + step)) for a, b in _runs(owners) for at in range(a, b, step)]
             return _batch(["node", "ids", "codes"], [
                 [owners[a] for a, _ in runs], [members[a:b].tobytes() for a, b in runs], [b"".join(codes[a:b]) for a, b in runs]
             ])
@@ -361,15 +366,13 @@ def _looked_at(frontier: DataFrame, graph: DataFrame) -> DataFrame:
     """Neighbours of the nodes a query looks at, with their distances from it, as far as they can enter its beam."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             ids, codes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             each = np.array([len(i) // 8 for i in ids])
             row = np.repeat(np.arange(len(each)), each)
             ids = np.frombuffer(b"".join(ids), np.int64)
             codes = np.frombuffer(b"".join(codes), np.uint8).reshape(len(ids), -1)
-            d = ((decode(codes) - decode(_bytes(batch.column(1)))[row]) ** 2).sum(1, dtype=np.float32)
+            d = ((decode(codes) - decode(_bytes(batch.column(1)))[row]) ** 2).sum(1).astype(np.float32)
             good = d < batch.column(2).to_numpy()[row]
             yield _batch(["query", "node", "d"], [batch.column(0).to_numpy()[row[good]], ids[good], d[good]])
 
@@ -504,7 +507,7 @@ def _distances(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                d = ((decode(_bytes(batch.column(4))) - decode(_bytes(batch.column(1)))) ** 2).sum(1, dtype=np.float32)
+                d = ((decode(_bytes(batch.column(4))) - decode(_bytes(batch.column(1)))) ** 2).sum(1).astype(np.float32)
                 yield _batch(["query", "node", "d"], [batch.column(0), batch.column(3), d])
 
     return rows.mapInArrow(run, "query bigint, node bigint, d float")

@@ -86,6 +86,28 @@ def test_recall_on_the_supplied_vectors(spark):
     assert len(got) == 10 * got["query_id"].nunique() and hits >= 0.9 * len(got)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("case", ["near copies", "one large component"])
+def test_recall_where_components_are_close(spark, case, kind):
+    """A large group that differs by less than a 127th of its components, and one component far above the others."""
+    rng = np.random.default_rng(9)
+    vecs = rng.normal(size=(2500, 12))
+    if case == "near copies":
+        vecs[500:] = vecs[0] + 1e-4 * vecs[500:]
+    else:
+        vecs[:, 3] = 5000
+    vecs = vecs.astype("f4" if kind == "float" else "f8").astype(float)
+    rows = list(enumerate(vecs.tolist()))
+    index = nearest.build(spark.createDataFrame(rows, f"vec_id bigint, embedding array<{kind}>"))
+    asked = index.rows.filter("id % 50 = 7").withColumnRenamed("id", "query")
+    found = {(r["query_id"], r["id"]) for r in nearest.search(index, asked).collect()}
+    wanted = set()
+    for q in range(7, 2500, 50):
+        d = ((vecs - vecs[q]) ** 2).sum(1)
+        wanted |= {(q, int(i)) for i in np.argsort(d) if i != q and d[i] <= np.partition(d, 10)[10]}
+    assert len(found) == 500 and len(found & wanted) >= 0.9 * 500
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 39, 40, 41, 1000, 4096, 5000])
 def test_permutation(n):
     numbers = np.arange(n)
