@@ -43,7 +43,8 @@ BEAM = 512
 HOPS = 16
 ENTRIES = 32
 MEASURED = 64
-WIDE = 1 << 13
+# Bytes of neighbours' vectors in one row, so that batches of rows stay small.
+WIDE = 1 << 11
 SEED = 42
 
 _GRAPH = "node bigint, code binary, ids binary, dists binary"
@@ -88,8 +89,11 @@ def _pairwise(vectors: np.ndarray) -> np.ndarray:
     """Squared distances within each group of rows of the last two axes, measured from the group's first row."""
     vectors = vectors - vectors[..., :1, :]
     norms = (vectors * vectors).sum(-1)
-    products = np.matmul(vectors, np.swapaxes(vectors, -1, -2))
-    return np.maximum(norms[..., :, None] + norms[..., None, :] - 2 * products, 0)
+    out = np.matmul(vectors, np.swapaxes(vectors, -1, -2))
+    out *= -2
+    out += norms[..., :, None]
+    out += norms[..., None, :]
+    return np.maximum(out, 0, out=out)
 
 
 def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -366,7 +370,7 @@ def _looked_at(frontier: DataFrame, graph: DataFrame) -> DataFrame:
     """Neighbours of the nodes a query looks at, with their distances from it, as far as they can enter its beam."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             ids, codes = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             each = np.array([len(i) // 8 for i in ids])
             row = np.repeat(np.arange(len(each)), each)
