@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodlens.llm import chat, language, lattice, mixing, nearest, packing, quality, secret_scan, sharding, simhash
+from periodlens.llm import (
+    chat, language, lattice, leaks, mixing, nearest, packing, periodic, quality, repair, secret_scan, sharding, simhash, sql,
+)
 from periodlens.llm.common import read
 
 
@@ -85,6 +87,35 @@ def op10_secrets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_periodic(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic.runs(periodic.planted(read(spark, sf, "documents")), "id", "text")
+    # The longest run; of equal ones the first, then the one of smaller period.
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"]))
+    found = found.withColumn("best", F.array_max(ranked))
+    start, length, period = -F.col("best.col2"), F.col("best.length"), -F.col("best.col3")
+    written = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(written, lambda x: F.concat(x, F.lit("\n"))), "")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_repair(spark: SparkSession, sf: str) -> DataFrame:
+    turns = repair.turns_of(read(spark, sf, "conversations"))
+    return repair.report(turns, repair.damaged(turns)).withColumnRenamed("conv", "conv_id")
+
+
+def op13_leaks(spark: SparkSession, sf: str) -> DataFrame:
+    found = leaks.scan(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
+
+
 # The written form adds 20 characters of control strings to a turn, and a backslash to each control string inside it.
 OP9_SQL = r"""
 WITH turns AS (
@@ -105,6 +136,8 @@ FROM escaped GROUP BY conv_id
 QUERIES = {
     "op1_nearest": op1_nearest, "op2_quality": op2_quality, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op5_packing": op5_packing,
     "op6_mixing": op6_mixing, "op7_lattice": op7_lattice, "op8_language": op8_language, "op9_chat": op9_chat,
-    "op10_secrets": op10_secrets,
+    "op10_secrets": op10_secrets, "op11_periodic": op11_periodic, "op12_repair": op12_repair, "op13_leaks": op13_leaks,
+}
+ORACLES: dict[str, str] = {
+    "op6_mixing": mixing.SQL, "op9_chat": OP9_SQL, "op11_periodic": sql.OP11, "op12_repair": sql.OP12, "op13_leaks": sql.OP13,
 }
-ORACLES: dict[str, str] = {"op6_mixing": mixing.SQL, "op9_chat": OP9_SQL}
