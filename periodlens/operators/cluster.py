@@ -1,31 +1,29 @@
 """K-Means over periods with an automatic number of clusters.
 
 Fitting runs Spark jobs, so the functions that fit are eager. The raw table is read once: its period table is
-settled, and scaler, fits and top categories start from there. The fits for different K are independent and are
-submitted side by side. Points stay distributed throughout; only one (K, cost) pair per fit reaches the driver.
+settled, and scaling, fits and top categories start from there. The fits for all K advance together, from centres that
+the data give, so the outcome is the same on any number of partitions; see :mod:`periodlens.operators.lloyd`. Points stay
+distributed throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from periodlens.operators import mix, series
+from periodlens.operators import lloyd, mix, series
 from periodlens.sources.tables import settle
 
-# The scanned K and the seed.
+# Fixed value: the scanned K.
 KS = range(2, 11)
-SEED = 42
-ROWS_PER_TASK = 20_000
+# Ranks of the periods that fits start from.
+SEEDS = (0,)
 
 
 @dataclass
@@ -36,9 +34,8 @@ class Eras:
     elbow: DataFrame
     best_k: int
     best_cost: float
-    model: KMeansModel
-    models: dict[int, KMeansModel]
-    scaler: PipelineModel
+    model: lloyd.Fit
+    models: dict[int, lloyd.Fit]
     points: DataFrame
 
     def best(self) -> DataFrame:
@@ -58,23 +55,6 @@ def scale(df: DataFrame, features: Sequence[str]) -> tuple[PipelineModel, DataFr
     return PipelineModel([assembler, fitted]), fitted.transform(assembled)
 
 
-def fit_all(points: DataFrame, ks: Sequence[int], seeds: Sequence[int] = (SEED,), parallelism: int = 9) -> dict[int, KMeansModel]:
-    """Best model of the given seeds for every K. ``points`` should be persisted by the caller."""
-    @inheritable_thread_target(points.sparkSession)
-    def fit(job: tuple[int, int]) -> KMeansModel:
-        k, seed = job
-        return KMeans(k=k, seed=seed, featuresCol="features").fit(points)
-
-    jobs = [(k, seed) for k in ks for seed in seeds]
-    with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        fitted = list(zip(jobs, pool.map(fit, jobs)))
-    best: dict[int, KMeansModel] = {}
-    for (k, _), model in fitted:
-        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
-            best[k] = model
-    return best
-
-
 def elbow(costs: DataFrame, keys: Sequence[str] = (), k: str = "k", cost: str = "cost", scaled: bool = False) -> DataFrame:
     """K with the greatest distance from the chord between the first and last point of its curve.
 
@@ -120,50 +100,60 @@ def _by_first(assigned: DataFrame, period: str) -> DataFrame:
 
 def cluster(
     df: DataFrame, period: str, features: Sequence[str], keep: Sequence[str], ks: Sequence[int] = KS,
-    seeds: Sequence[int] = (SEED,),
+    seeds: Sequence[int] = SEEDS, rounds: int = lloyd.ROUNDS,
+) -> Eras:
+    """Scale, fit every K, pick the elbow and assign each row its cluster. Eager; see :class:`Eras`.
+
+    With more than one seed the best fit of each K counts.
+    """
+    vec = F.array(*[F.col(c).cast("double") for c in features]).alias("vec")
+    # Columns to keep may be features as well.
+    return _cluster(df.dropna("any", subset=list(features)).select(period, *keep, vec), period, len(features), keep, ks, seeds, rounds)
+
+
+def _cluster(
+    rows: DataFrame, period: str, dims: int, keep: Sequence[str], ks: Sequence[int], seeds: Sequence[int], rounds: int
 ) -> Eras:
-    """Scale, fit every K, pick the elbow and assign each row its cluster. Eager; see :class:`Eras`."""
-    spark = df.sparkSession
-    usable = settle(df.dropna("any", subset=list(features)), "periods")
-    scaler, scaled = scale(usable, features)
-    ordered = scaled.orderBy(period).persist(StorageLevel.MEMORY_AND_DISK)
-    size = ordered.count()
-    ks = list(ks)
+    """Clusters of rows with ``vec``, or with ``idx`` and ``val``."""
+    spark = rows.sparkSession
+    points = settle(rows, "periods")
+    size, ks = points.count(), list(ks)
     if len(ks) < 3 or max(ks) > size:
-        ordered.unpersist()
         raise ValueError(f"need at least three values of K, none above the number of points, {size}")
-    # Every iteration is a job over all partitions, so a few points should not be spread over many of them.
-    points = ordered.coalesce(max(1, size // ROWS_PER_TASK)).persist(StorageLevel.MEMORY_AND_DISK)
-    points.count()
-    ordered.unpersist()
-    models = fit_all(points, ks, seeds)
-    curve = spark.createDataFrame(
-        [(k, float(m.summary.trainingCost)) for k, m in sorted(models.items())], "k int, wssse double"
-    )
+    scaling = lloyd.measure(points, dims)
+    models = lloyd.fit(points, period, scaling, ks, seeds, rounds)
+    curve = spark.createDataFrame([(k, float(m.cost)) for k, m in sorted(models.items())], "k int, wssse double")
     picked = elbow(curve, k="k", cost="wssse").first()
     model = models[picked["best_k"]]
     assigned = model.transform(points).select(period, *keep, "prediction")
-    return Eras(_by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, models, scaler, points)
+    return Eras(
+        _by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, models, lloyd.scored(points, scaling)
+    )
 
 
-def by_means(df: DataFrame, period: str, features: Sequence[str], ks: Sequence[int] = KS, seeds: Sequence[int] = (SEED,)) -> Eras:
+def by_means(
+    df: DataFrame, period: str, features: Sequence[str], ks: Sequence[int] = KS, seeds: Sequence[int] = SEEDS,
+    rounds: int = lloyd.ROUNDS,
+) -> Eras:
     """Group periods by the means of some features. Clusters: ``period, avg_<feature>…, num_songs, cluster``."""
     means = series.period_mean(df, period, features).withColumnRenamed(f"num_{features[0]}", "num_songs")
     names = [f"avg_{f}" for f in features]
-    return cluster(means.select(period, *names, "num_songs"), period, names, [*names, "num_songs"], ks, seeds)
+    return cluster(means.select(period, *names, "num_songs"), period, names, [*names, "num_songs"], ks, seeds, rounds)
 
 
-def by_mix(df: DataFrame, period: str, category: str, ks: Sequence[int] = KS, seeds: Sequence[int] = (SEED,)) -> Eras:
+def by_mix(
+    df: DataFrame, period: str, category: str, ks: Sequence[int] = KS, seeds: Sequence[int] = SEEDS, rounds: int = lloyd.ROUNDS
+) -> Eras:
     """Group periods by their category shares; adds each period's top category.
 
-    Clusters: ``period, num_songs, dominant_<category>, dominant_<category>_count, cluster``.
+    Clusters: ``period, num_songs, dominant_<category>, dominant_<category>_count, cluster``. Shares are a sparse vector per
+    period, in the order of the categories, so there may be many of them.
     """
     counts = settle(mix.category_counts(df, period, category), "mix")
-    values = mix.category_values(counts, category)
-    if len(values) < 2:
+    vectors, dims = mix.vectors(counts, period, category)
+    if dims < 2:
         raise ValueError("a mix needs at least two categories")
-    wide = mix.widen(counts, period, category, values).withColumnRenamed("num_rows", "num_songs")
-    eras = cluster(wide, period, [f"share_g{i}" for i in range(len(values))], ["num_songs"], ks, seeds)
+    eras = _cluster(vectors.withColumnRenamed("num_rows", "num_songs"), period, dims, ["num_songs"], ks, seeds, rounds)
     top = mix.top_of_counts(counts, period, category)
     eras.clusters = eras.clusters.join(top, period).select(period, "num_songs", *top.columns[1:], "cluster")
     return eras

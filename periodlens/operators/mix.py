@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from periodlens.sources.tables import settle
 
 MOST_COLUMNS = 2000
 
@@ -50,6 +51,22 @@ def widen(counts: DataFrame, period: str, category: str, values: Sequence[str])
     return wide.withColumns({f"share_g{i}": F.try_divide(F.col(f"g{i}"), F.col("num_rows")) for i in range(len(values))})
 
 
+def vectors(counts: DataFrame, period: str, category: str) -> tuple[DataFrame, int]:
+    """Counts per period and category → one sparse vector of shares per period, and the number of categories. Eager.
+
+    ``(period, num_rows, idx, val)``: positions in the order of all categories, ascending, and the shares there.
+    """
+    names = counts.select(category).distinct()
+    # One row per category, numbered in one task: as many as a vector has dimensions.
+    numbered = settle(names.withColumn("_at", (F.row_number().over(W.orderBy(category)) - 1).cast("int")), "categories")
+    pair = F.struct(F.col("_at").alias("at"), F.col("category_count").alias("n"))
+    rows = counts.join(numbered, category).groupBy(period).agg(
+        F.sum("category_count").alias("num_rows"), F.array_sort(F.collect_list(pair)).alias("_all")
+    )
+    share = F.transform("_all", lambda x: F.try_divide(x["n"].cast("double"), F.col("num_rows").cast("double")))
+    return rows.select(period, "num_rows", F.col("_all.at").alias("idx"), share.alias("val")), numbered.count()
+
+
 def category_values(df: DataFrame, category: str) -> list[str]:
     """Distinct category values in order, for naming columns. Runs a job.
 

@@ -9,7 +9,7 @@ from periodlens.operators import changepoint, cluster, mix, series
 from periodlens.plans import changes as plans
 from periodlens.queries.inputs import FEATURES, day_series, events, lineitem, month_scores, month_series, rounded, supplier_series
 from periodlens.queries.sql import (
-    CHOSEN, DAY, DAY_SERIES, MONTH_SCORES, MONTH_SERIES, PETTITT, SUPPLIER_SERIES, partitions,
+    CHOSEN, DAY, DAY_SERIES, MONTH_SCORES, MONTH_SERIES, PETTITT, SUPPLIER_SERIES, eras, month_means, partitions,
 )
 
 JOINT = ("l_quantity", "l_extendedprice")
@@ -92,8 +92,8 @@ def boundary_agreement(spark, sf):
 
 def mood_report(spark, sf):
     """Joint breaks, ranked breaks and cluster boundaries of two features."""
-    eras = cluster.by_means(lineitem(spark, sf), "m", list(JOINT))
-    return plans.mood(month_series(spark, sf), JOINT, eras.clusters, "m")
+    found = cluster.by_means(lineitem(spark, sf), "m", list(JOINT))
+    return rounded(plans.mood(month_series(spark, sf), JOINT, found.clusters, "m"))
 
 
 def mood_report_given(spark, sf):
@@ -125,6 +125,26 @@ def _report(source: str) -> str:
         FROM chosen c LEFT JOIN pettitt q ON c.series = q.series"""
 
 
+def _mood(edges: str) -> str:
+    """The report with boundaries from the table expressions ``edges``."""
+    return f"""WITH {MONTH_SERIES.replace('long AS (', 'raw AS (', 1)}, multi AS (
+        SELECT 'l_quantity+l_extendedprice' AS series, series AS dim, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x
+        FROM raw WHERE series IN ('l_quantity', 'l_extendedprice') WINDOW w AS (PARTITION BY series)),
+        {partitions(5, 'multi')}, {CHOSEN},
+        long AS (SELECT * FROM raw WHERE series IN ('l_quantity', 'l_extendedprice')), {PETTITT},
+        {edges},
+        found AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM chosen WHERE path <> ''),
+        near AS (SELECT DISTINCT f.t FROM found f JOIN edges e ON abs(f.t - e.t) <= 1),
+        out AS (SELECT 'optimal_partition_bic' AS method, series AS target, m::INTEGER AS n_change_points, path AS break_periods,
+                    NULL::DOUBLE AS p_value FROM chosen
+                UNION ALL SELECT 'pettitt', series, 1, break_t::VARCHAR, round(p, 6) FROM pettitt
+                UNION ALL SELECT 'kmeans_cluster_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
+                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM edges
+                UNION ALL SELECT 'breaks_near_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
+                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM near)
+        SELECT * FROM out"""
+
+
 _EDGES = f"""c AS (SELECT {DAY} AS t, event_type, count(*) AS n FROM events GROUP BY 1, 2),
     top AS (SELECT t, event_type FROM c QUALIFY row_number() OVER (PARTITION BY t ORDER BY n DESC, event_type) = 1),
     edges AS (SELECT t FROM top QUALIFY event_type <> lag(event_type) OVER (ORDER BY t))"""
@@ -153,22 +173,9 @@ ORACLES = {
     "change_points_shifted": _RAW,
     "change_report": _report(MONTH_SCORES),
     "change_report_raw": _report(MONTH_SERIES),
-    "mood_report_given": f"""WITH {MONTH_SERIES.replace('long AS (', 'raw AS (', 1)}, multi AS (
-        SELECT 'l_quantity+l_extendedprice' AS series, series AS dim, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x
-        FROM raw WHERE series IN ('l_quantity', 'l_extendedprice') WINDOW w AS (PARTITION BY series)),
-        {partitions(5, 'multi')}, {CHOSEN},
-        long AS (SELECT * FROM raw WHERE series IN ('l_quantity', 'l_extendedprice')), {PETTITT},
-        edges AS (SELECT t FROM (SELECT DISTINCT t, t // 24 AS c FROM raw) QUALIFY c <> lag(c) OVER (ORDER BY t)),
-        found AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM chosen WHERE path <> ''),
-        near AS (SELECT DISTINCT f.t FROM found f JOIN edges e ON abs(f.t - e.t) <= 1),
-        out AS (SELECT 'optimal_partition_bic' AS method, series AS target, m::INTEGER AS n_change_points, path AS break_periods,
-                    NULL::DOUBLE AS p_value FROM chosen
-                UNION ALL SELECT 'pettitt', series, 1, break_t::VARCHAR, round(p, 6) FROM pettitt
-                UNION ALL SELECT 'kmeans_cluster_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
-                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM edges
-                UNION ALL SELECT 'breaks_near_boundaries', 'l_quantity+l_extendedprice', count(*)::INTEGER,
-                    coalesce(string_agg(t::VARCHAR, ';' ORDER BY t), ''), NULL FROM near)
-        SELECT * FROM out""",
+    "mood_report": _mood(f"""edges AS (WITH {month_means(JOINT)}, {eras('pts')}
+        SELECT p AS t FROM era QUALIFY cluster <> lag(cluster) OVER (ORDER BY p))"""),
+    "mood_report_given": _mood("edges AS (SELECT t FROM (SELECT DISTINCT t, t // 24 AS c FROM raw) QUALIFY c <> lag(c) OVER (ORDER BY t))"),
     "label_boundaries": f"WITH {_EDGES} SELECT 'top' AS series, t FROM edges",
     "boundary_agreement": f"""WITH {DAY_SERIES}, {_ONE_DIM}, {partitions(3, 'uni')}, {_EDGES},
         b AS (SELECT unnest(string_split(path, ';'))::INTEGER AS t FROM parts WHERE m = 3)

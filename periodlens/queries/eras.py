@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from periodlens.operators import cluster, series
 from periodlens.queries.inputs import FEATURES, documents, events, lineitem, read, rounded
-from periodlens.queries.sql import DAY, MONTH
+from periodlens.queries.sql import DAY, MONTH, eras as eras_sql, mix_points, month_means
 from periodlens.sources.tables import settle
 
 MOOD = ["l_quantity", "l_discount"]
@@ -34,6 +34,12 @@ def cluster_period_mix(spark, sf):
     return cluster.by_mix(events(spark, sf), "day", "event_type").clusters
 
 
+def cluster_many_categories(spark, sf):
+    """Months by their mix of thousands of categories, the pairs of part and status; six steps."""
+    items = lineitem(spark, sf).withColumn("pair", F.concat_ws(":", "l_partkey", "l_linestatus"))
+    return cluster.by_mix(items, "m", "pair", range(2, 5), rounds=6).clusters
+
+
 def _held(eras, model, coords):
     """Per clustered point, from the model's centres: is it with the nearest one, and at which squared distance?"""
     centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
@@ -51,7 +57,7 @@ def kscan_checks(spark, sf):
     eras = cluster.by_mix(events(spark, sf), "day", "event_type")
     out = None
     for k, model in sorted(eras.models.items()):
-        cost = float(model.summary.trainingCost)
+        cost = float(model.cost)
         one = _held(eras, model, []).agg(
             F.lit(k).alias("k"), F.count("*").alias("points"), F.every("nearest").alias("nearest"),
             (F.abs(F.sum("_d") - cost) <= 1e-6 * max(1.0, cost)).alias("cost_is_their_sum"),
@@ -108,7 +114,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         standardise, kscan, kscan_checks, cluster_period_means, cluster_means_checks, cluster_period_mix,
-        cluster_mix_checks, cluster_centroid, period_centroid,
+        cluster_mix_checks, cluster_many_categories, cluster_centroid, period_centroid,
         cluster_categories,
     )
 }
@@ -118,6 +124,18 @@ _MEANS = f"w AS (SELECT {MONTH} AS m, avg(l_quantity) AS q, avg(l_discount) AS d
 ORACLES = {
     "standardise": f"""WITH {_MEANS} SELECT m, round((q - avg(q) OVER ()) / stddev_samp(q) OVER (), 6) + 0.0 AS z_quantity,
         round((d - avg(d) OVER ()) / stddev_samp(d) OVER (), 6) + 0.0 AS z_discount FROM w""",
+    "kscan": f"WITH {mix_points(DAY, 'event_type', 'events')}, {eras_sql('pts')} SELECT k, round(wssse, 6) AS wssse FROM curve",
+    "cluster_period_means": f"""WITH {month_means(MOOD)}, {eras_sql('pts')}
+        SELECT p AS m, round(avg(l_quantity), 6) AS avg_l_quantity, round(avg(l_discount), 6) AS avg_l_discount,
+            count(l_quantity) AS num_songs, cluster FROM lineitem JOIN era ON {MONTH} = p GROUP BY p, cluster""",
+    "cluster_period_mix": f"""WITH {mix_points(DAY, 'event_type', 'events')}, {eras_sql('pts')}
+        SELECT p AS day, (sum(n) OVER (PARTITION BY p))::BIGINT AS num_songs, g AS dominant_event_type,
+            n AS dominant_event_type_count, cluster FROM counted JOIN era USING (p)
+        QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, g) = 1""",
+    "cluster_many_categories": f"""WITH {mix_points(MONTH, "l_partkey || ':' || l_linestatus", 'lineitem')}, {eras_sql('pts', 4, 6)}
+        SELECT p AS m, (sum(n) OVER (PARTITION BY p))::BIGINT AS num_songs, g AS dominant_pair,
+            n AS dominant_pair_count, cluster FROM counted JOIN era USING (p)
+        QUALIFY row_number() OVER (PARTITION BY p ORDER BY n DESC, g) = 1""",
     "kscan_checks": f"""SELECT k::INTEGER AS k, (SELECT count(DISTINCT {DAY}) FROM events) AS points, true AS nearest,
         true AS cost_is_their_sum FROM range(2, 11) r(k)""",
     "cluster_means_checks": f"""SELECT {MONTH} AS m, round(avg(l_quantity), 6) AS avg_l_quantity,

@@ -104,6 +104,60 @@ CHOSEN = """
 bic AS (SELECT *, n * d * ln(greatest(sse, 1e-12) / (n * d)) + ((m + 1) * d + m + 1) * ln(n * d) AS bic FROM parts),
 chosen AS (SELECT * FROM bic QUALIFY row_number() OVER (PARTITION BY series ORDER BY bic, m) = 1)"""
 
+_AWAY = """list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}),
+    lambda e: ((e[1] - e[2]) / 1e9) * ((e[1] - e[2]) / 1e9))), lambda s, e: s + e)"""
+
+
+def eras(points: str, most: int = 10, rounds: int = 20) -> str:
+    """K-Means for 2 to ``most`` clusters as ``curve`` (k, wssse), ``best_k`` (k, wssse) and ``era`` (p, cluster).
+
+    ``points`` has (p, v), v a list of features. Centres start far apart in the order of p; scores and centres lie on a grid of 1e-9.
+    Lloyd's steps are repeated ``rounds`` times: where no centre moves any more, they change nothing.
+    """
+    away = _AWAY.format(a="z.v", b="f.v")
+    out = [
+        f"""dims AS (SELECT i, avg(x) AS mean, stddev_samp(x) AS sd FROM (SELECT unnest(v) AS x, unnest(range(len(v))) AS i FROM {points}) GROUP BY 1),
+        z AS MATERIALIZED (SELECT p, list(CASE WHEN sd > 0 THEN floor((x - mean) / sd * 1e9 + 0.5) ELSE 0.0 END ORDER BY i) AS v
+            FROM (SELECT p, unnest(v) AS x, unnest(range(len(v))) AS i FROM {points}) JOIN dims USING (i) GROUP BY p)""",
+        "f1 AS MATERIALIZED (SELECT 1 AS c, v FROM z ORDER BY p LIMIT 1)",
+    ]
+    for j in range(2, most + 1):
+        out.append(f"""f{j} AS MATERIALIZED (SELECT * FROM f{j - 1} UNION ALL (SELECT {j}, v FROM (
+            SELECT z.p, any_value(z.v) AS v, min({away}) AS d FROM z, f{j - 1} f GROUP BY z.p) ORDER BY d DESC, p LIMIT 1))""")
+    out.append(f"c0 AS MATERIALIZED (SELECT k, c, v FROM f{most}, range(2, {most + 1}) r(k) WHERE c <= k)")
+
+    def near(j: int) -> str:
+        return f"""SELECT f.k, z.p, z.v, f.c, {away} AS d FROM z, c{j} f
+            QUALIFY row_number() OVER (PARTITION BY f.k, z.p ORDER BY d, f.c) = 1"""
+
+    for j in range(1, rounds + 1):
+        out.append(f"""c{j} AS MATERIALIZED (SELECT o.k, o.c, coalesce(n.v, o.v) AS v FROM c{j - 1} o LEFT JOIN (
+            SELECT k, c, list(m ORDER BY i) AS v FROM (SELECT k, c, i, floor(sum(x::HUGEINT)::DOUBLE / count(*) + 0.5) AS m
+                FROM (SELECT k, c, unnest(v) AS x, unnest(range(len(v))) AS i FROM ({near(j - 1)})) GROUP BY 1, 2, 3) GROUP BY 1, 2) n
+            ON o.k = n.k AND o.c = n.c)""")
+    out.append(f"""held AS MATERIALIZED ({near(rounds)}),
+        curve AS (SELECT k::INTEGER AS k, sum(floor(d * 1e9 + 0.5)::HUGEINT)::DOUBLE / 1e9 AS wssse FROM held GROUP BY 1),
+        ends AS (SELECT min(k) AS x1, max(k) AS x2, arg_min(wssse, k) AS y1, arg_max(wssse, k) AS y2 FROM curve),
+        best_k AS (SELECT k, wssse FROM curve, ends ORDER BY abs((y2 - y1) * k - (x2 - x1) * wssse + x2 * y1 - x1 * y2) DESC, k LIMIT 1),
+        era AS (SELECT p, (dense_rank() OVER (ORDER BY first) - 1)::INTEGER AS cluster
+            FROM (SELECT p, min(p) OVER (PARTITION BY c) AS first FROM held WHERE k = (SELECT k FROM best_k)))""")
+    return ",\n".join(out)
+
+
+def month_means(features: list[str] | tuple[str, ...], name: str = "pts") -> str:
+    """Monthly means of some columns as points."""
+    listed = ", ".join(f"avg({f})::DOUBLE" for f in features)
+    return f"{name} AS (SELECT {MONTH} AS p, [{listed}] AS v FROM lineitem GROUP BY 1)"
+
+
+def mix_points(period: str, category: str, table: str, name: str = "pts") -> str:
+    """Shares of all categories per period as points, and the counts as ``counted``."""
+    return f"""counted AS (SELECT {period} AS p, {category} AS g, count(*) AS n FROM {table} WHERE {category} IS NOT NULL GROUP BY 1, 2),
+        {name} AS (SELECT p, list(coalesce(n, 0)::DOUBLE / total ORDER BY g) AS v
+            FROM (SELECT p, sum(n) AS total FROM counted GROUP BY 1) CROSS JOIN (SELECT DISTINCT g FROM counted)
+            LEFT JOIN counted USING (p, g) GROUP BY p)"""
+
+
 BLANKS = "(" + " || ".join(f"chr({i})" for i in range(1, 33)) + ")"
 WORDS = r"regexp_split_to_array(lower({text}), '[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Nl}}\p{{Pc}}]+')"
 

@@ -8,7 +8,7 @@ from periodlens.functions.lists import join_periods, parse_periods
 from periodlens.operators import changepoint, cluster, consensus, mix, series
 from periodlens.plans import synthesis
 from periodlens.queries.inputs import events, lineitem, month_scores, month_series, supplier_series
-from periodlens.queries.sql import CHOSEN, MONTH, MONTH_SCORES, PETTITT, SUPPLIER_SERIES, partitions
+from periodlens.queries.sql import CHOSEN, MONTH, MONTH_SCORES, PETTITT, SUPPLIER_SERIES, eras, mix_points, month_means, partitions
 
 
 def _signals(spark, sf):
@@ -70,7 +70,7 @@ def synthesis_votes(spark, sf):
     joint = ("l_quantity", "l_discount")
     mood = cluster.by_means(items, "m", list(joint))
     kinds = cluster.by_mix(items, "m", "l_returnflag")
-    shares = mix.category_mix(items, "m", "l_returnflag").selectExpr("l_returnflag AS series", "m AS t", "share AS x")
+    shares = mix.category_mix(items, "m", "l_returnflag").selectExpr("l_returnflag AS series", "m AS t", "round(share, 6) AS x")
     found = synthesis.collect(
         long, joint, {"means clusters": (mood.clusters, "eras"), "mix clusters": (kinds.clusters, "mix")}, "m", shares
     )
@@ -116,7 +116,9 @@ _COUNT = f"""spine AS (SELECT DISTINCT {MONTH} AS t FROM lineitem),
               FROM spine s LEFT JOIN direct d ON s.t = d.t LEFT JOIN near n ON s.t = n.t)"""
 _VOTES = f"{_SIGNALS}, {_COUNT}"
 
-_ALL = f"""{MONTH_SCORES.split(', long AS', 1)[0]}, mixed AS (
+def _all(spans: str, of_spans: str, shown: str = "series", grp: str = "'feature'") -> str:
+    """All signals as ``sig``; ``of_spans`` selects those of the eras that ``spans`` defines."""
+    return f"""{MONTH_SCORES.split(', long AS', 1)[0]}, mixed AS (
         SELECT l_returnflag, t, round(n::DOUBLE / sum(n) OVER (PARTITION BY t), 6) AS x
         FROM (SELECT l_returnflag, {MONTH} AS t, count(*) AS n FROM lineitem GROUP BY 1, 2)),
     both_parts AS (SELECT 'l_quantity x l_discount' AS series, series AS dim, t, (x - avg(x) OVER w) / stddev_pop(x) OVER w AS x
@@ -129,21 +131,36 @@ _ALL = f"""{MONTH_SCORES.split(', long AS', 1)[0]}, mixed AS (
     long AS (SELECT series, t, x FROM raw UNION ALL SELECT 'label:' || l_returnflag, t, x FROM mixed), {PETTITT},
     single AS (SELECT c.series, CASE WHEN m < 8 THEN path ELSE break_t::VARCHAR END AS path, m < 8 AS reliable
                FROM chosen c JOIN pettitt q ON c.series = q.series),
-    spans AS (SELECT DISTINCT t, t // 24 AS a, t // 60 AS b FROM raw),
+    {spans},
     sig AS (
-        SELECT 'two years' AS signal, 'eras' AS grp, 0 AS ord, t FROM spans QUALIFY a <> lag(a) OVER (ORDER BY t)
-        UNION ALL SELECT 'five years', 'long eras', 0, t FROM spans QUALIFY b <> lag(b) OVER (ORDER BY t)
+        {of_spans}
         UNION ALL SELECT series || ' change-points', 'joint', 1, unnest(string_split(path, ';'))::INTEGER FROM chosen
             WHERE series = 'l_quantity x l_discount' AND path <> ''
         UNION ALL SELECT series || ' (Pettitt)', 'joint', 1, break_t FROM pettitt WHERE series IN ('l_quantity', 'l_discount')
-        UNION ALL SELECT CASE series WHEN 'l_tax' THEN 'rate of tax' ELSE series END || CASE WHEN reliable THEN '' ELSE ' (Pettitt)' END,
-            CASE series WHEN 'l_tax' THEN 'money' ELSE 'feature' END, 2, unnest(string_split(path, ';'))::INTEGER FROM single
+        UNION ALL SELECT {shown} || CASE WHEN reliable THEN '' ELSE ' (Pettitt)' END,
+            {grp}, 2, unnest(string_split(path, ';'))::INTEGER FROM single
             WHERE series NOT LIKE 'label:%' AND path <> ''
         UNION ALL SELECT substr(series, 7) || ' (label)', 'label', 3, unnest(string_split(path, ';'))::INTEGER FROM single
             WHERE series LIKE 'label:%' AND path <> '')"""
 
+
+_GIVEN = _all(
+    "spans AS (SELECT DISTINCT t, t // 24 AS a, t // 60 AS b FROM raw)",
+    """SELECT 'two years' AS signal, 'eras' AS grp, 0 AS ord, t FROM spans QUALIFY a <> lag(a) OVER (ORDER BY t)
+        UNION ALL SELECT 'five years', 'long eras', 0, t FROM spans QUALIFY b <> lag(b) OVER (ORDER BY t)""",
+    "CASE series WHEN 'l_tax' THEN 'rate of tax' ELSE series END", "CASE series WHEN 'l_tax' THEN 'money' ELSE 'feature' END",
+)
+# Eras by means and by mix are both fitted; the tables of the first one are renamed apart.
+_FITTED = _all(
+    f"""spans AS (WITH {month_means(("l_quantity", "l_discount"))}, {eras("pts")} SELECT p AS t, cluster AS c FROM era),
+    mixes AS (WITH {mix_points(MONTH, "l_returnflag", "lineitem")}, {eras("pts")} SELECT p AS t, cluster AS c FROM era)""",
+    """SELECT 'means clusters' AS signal, 'eras' AS grp, 0 AS ord, t FROM spans QUALIFY c <> lag(c) OVER (ORDER BY t)
+        UNION ALL SELECT 'mix clusters', 'mix', 0, t FROM mixes QUALIFY c <> lag(c) OVER (ORDER BY t)""",
+)
+
 ORACLES = {
-    "synthesis_given": f"WITH {_ALL} SELECT signal, grp, ord, t FROM sig",
+    "synthesis_votes": f"WITH {_FITTED}, {_COUNT} SELECT * FROM voted",
+    "synthesis_given": f"WITH {_GIVEN} SELECT signal, grp, ord, t FROM sig",
     "signals": f"WITH {_SIGNALS} SELECT signal, grp, ord, t FROM sig",
     "signal_listing": f"""WITH {_SIGNALS} SELECT ord, grp, signal, string_agg(t::VARCHAR, ';' ORDER BY t) AS periods
         FROM sig GROUP BY 1, 2, 3""",
