@@ -169,12 +169,12 @@ def _keyed(df: DataFrame, by_hash: bool) -> DataFrame:
     return df.select(*own, F.lit(0).alias("tab"), F.lit(0).cast("bigint").alias("bucket"))
 
 
-def _search(catalog: DataFrame, seeds: DataFrame, k: int, by_hash: bool) -> DataFrame:
-    types = dict(catalog.dtypes)
-    # Columns of the seeds get new identities, since they may come from the catalog itself.
-    apart = seeds.select(*[F.col(c).alias(c) for c in ("id", "vec", "grp", *(["hashes"] if by_hash else []))])
-    rows, wanted = _keyed(catalog, by_hash), _keyed(apart, by_hash)
-    bucket = ["tab", "bucket"]
+def meet(rows: DataFrame, wanted: DataFrame, bucket: Sequence[str], k: int) -> DataFrame:
+    """``seed, id, dist``: for every block of rows and seeds in a bucket the k nearest rows of each seed.
+
+    Both sides have ``id``, ``vec``, ``grp`` and the bucket's columns. Runs one job for the sizes of the buckets.
+    """
+    types, bucket = dict(rows.dtypes), list(bucket)
     # One row per bucket with a seed: into how many blocks either side of it is cut.
     sizes = wanted.groupBy(*bucket).agg(F.count("*").alias("_seeds")).join(
         rows.groupBy(*bucket).agg(F.count("*").alias("_rows")), bucket
@@ -188,11 +188,21 @@ def _search(catalog: DataFrame, seeds: DataFrame, k: int, by_hash: bool) -> Data
     keys = [*bucket, "_r", "_s"]
     left = cut(rows, "_r", "_nr", "_s", "_ns").groupBy(*keys)
     right = cut(wanted, "_s", "_ns", "_r", "_nr").groupBy(*keys)
-    found = left.cogroup(right).applyInArrow(_block_top_k(k), f"seed {types['id']}, id {types['id']}, dist double")
-    # A pair may have met in several tables.
-    once = found.groupBy("seed", "id").agg(F.min("dist").alias("dist")) if by_hash else found
+    return left.cogroup(right).applyInArrow(_block_top_k(k), f"seed {types['id']}, id {types['id']}, dist double")
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of what was found for every seed, with their rank."""
     order = F.row_number().over(W.partitionBy("seed").orderBy("dist", "id"))
-    return once.withColumn("rank", order).filter(F.col("rank") <= k)
+    return found.withColumn("rank", order).filter(F.col("rank") <= k)
+
+
+def _search(catalog: DataFrame, seeds: DataFrame, k: int, by_hash: bool) -> DataFrame:
+    # Columns of the seeds get new identities, since they may come from the catalog itself.
+    apart = seeds.select(*[F.col(c).alias(c) for c in ("id", "vec", "grp", *(["hashes"] if by_hash else []))])
+    found = meet(_keyed(catalog, by_hash), _keyed(apart, by_hash), ["tab", "bucket"], k)
+    # A pair may have met in several tables.
+    return ranked(found.groupBy("seed", "id").agg(F.min("dist").alias("dist")) if by_hash else found, k)
 
 
 def exact(catalog: DataFrame, seeds: DataFrame, k: int = 10) -> DataFrame:
