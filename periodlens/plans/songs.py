@@ -13,7 +13,7 @@ from periodlens.functions.words import (
 )
 from periodlens.operators import changepoint, clean, cluster, consensus, labels, neighbours, series, text
 from periodlens.plans import changes, label_job, synthesis, trends
-from periodlens.sources import tables
+from periodlens.sources import split_csv, tables
 
 # Series of the per-feature change report, and columns shown for a neighbour.
 REPORTED = ("danceability", "duration_sec", "liveness", "loneliness", "love", "lust")
@@ -30,7 +30,8 @@ SHOWN = {s: (THEME_NAMES[s], "Lyrics: themes") if s in THEME_NAMES else (s, "Aud
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    return tables.read_csv_by_name(spark, path, tables.SONG_SCHEMA, multi_line=True)
+    """The song table. Its texts hold line breaks and it may be one large file, which many tasks read."""
+    return split_csv.read_split_csv_by_name(spark, path, tables.SONG_SCHEMA)
 
 
 def usable(songs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from periodlens.operators import labels, series
 from periodlens.plans import label_job
 from periodlens.queries.inputs import FEATURES, LABELS, NAMES, documents, events, lineitem, read, rounded
 from periodlens.queries.sql import CHUNKS, COUNTS, DAY, FIRST, MONTH, MONTH_SERIES, PERIOD
-from periodlens.sources import tables
+from periodlens.sources import split_csv, tables
 
 
 def tsv_roundtrip(spark, sf):
@@ -28,6 +28,15 @@ def csv_roundtrip(spark, sf):
     return tables.read_csv(spark, path, schema, multi_line=True)
 
 
+def csv_multiline(spark, sf):
+    """The same texts out of one file, read by as many tasks as it has byte ranges: digests and lengths of the texts."""
+    path = tables.work_dir(spark, "csv")
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    tables.write_delimited(docs, path, sep=",", single_file=True)
+    back = split_csv.read_split_csv(spark, path, docs.schema)
+    return back.select("doc_id", "lang", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
+
+
 def period_parquet(spark, sf):
     """One folder per period, read back with the period from the folder name."""
     path = tables.work_dir(spark, "periods")
@@ -74,7 +83,7 @@ def final_parquet(spark, sf):
 
 QUERIES = {
     f.__name__: f
-    for f in (tsv_roundtrip, csv_roundtrip, period_parquet, final_parquet, feature_tables, resume_labels, resume_texts)
+    for f in (tsv_roundtrip, csv_roundtrip, csv_multiline, period_parquet, final_parquet, feature_tables, resume_labels, resume_texts)
 }
 
 ORACLES = {
@@ -83,6 +92,7 @@ ORACLES = {
     "resume_texts": f"""WITH {CHUNKS}, n AS (SELECT count(DISTINCT chunk) FILTER (period < 10) AS a, count(DISTINCT chunk) AS b FROM chunks)
         SELECT 1 AS run, a AS texts FROM n UNION ALL SELECT 2, b - a FROM n""",
     "csv_roundtrip": "SELECT doc_id, text, lang FROM documents",
+    "csv_multiline": "SELECT doc_id, lang, md5(text) AS digest, length(text) AS chars FROM documents",
     "period_parquet": f"SELECT doc_id, lang, n_chars, {PERIOD} AS period FROM documents",
     "feature_tables": f"WITH {MONTH_SERIES} SELECT series, t, x FROM long",
     "resume_labels": f"WITH {COUNTS} SELECT doc_id, lang, period, {', '.join(NAMES)}, {FIRST} AS entity_label FROM counts",
