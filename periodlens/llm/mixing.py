@@ -81,26 +81,40 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int =
     ).withColumn("low", F.col("high") - F.col("units")).drop("units")
 
 
-def schedule(spark: SparkSession, plan: DataFrame, repeats: int = REPEATS) -> DataFrame:
-    """``(slot, source, rank, epoch, block)`` for every slot of the mix. ``plan`` is what :func:`targets` returns.
+def points(spark: SparkSession, plan: DataFrame, first: int = 0, last: int | None = None) -> DataFrame | None:
+    """``(slot, stretch, source, source_size, length)``: the source of every slot, or of those from ``first`` to before ``last``.
 
     A point is mapped to its source through cells of the unit interval: an equality join of points with the few
-    sources that touch their cell, not a comparison with all sources. Slots beyond the last repeat stay empty.
+    sources that touch their cell, not a comparison with all sources. None if there is nothing to mix. Points repeat after
+    2 ** 32 slots, by when they have been at every step of the interval once.
     """
     total = plan.agg(F.max("high")).first()[0] or 0
     if not total:
-        return spark.createDataFrame([], f"slot bigint, source {dict(plan.dtypes)['source']}, rank bigint, epoch bigint, block bigint")
+        return None
     wide = F.lit(float(total))
     cells = plan.filter("high > low").select(
         "source", "source_size", "length", "low", "high",
         F.explode(F.sequence(F.floor(F.col("low") * CELLS / wide), F.floor(F.col("high") * CELLS / wide))).alias("cell"),
     )
-    slots = spark.range(-(-total // 1000)).select(
-        F.col("id").alias("slot"), ((F.col("id") * GOLDEN % (1 << 32)).cast("double") * wide / float(1 << 32)).alias("point")
+    # The product modulo 2 ** 32 by halves of 16 bits, which fit into a long for any slot.
+    upper = F.floor(F.col("id") / (1 << 16)) % (1 << 16) * GOLDEN % (1 << 32) * (1 << 16)
+    turned = (upper + F.col("id") % (1 << 16) * GOLDEN) % (1 << 32)
+    slots = spark.range(first, -(-total // 1000) if last is None else last).select(
+        F.col("id").alias("slot"), (turned.cast("double") * wide / float(1 << 32)).alias("point")
     ).withColumn("cell", F.floor(F.col("point") * CELLS / wide))
-    placed = slots.join(cells, "cell").filter("point >= low and point < high").select(
+    return slots.join(cells, "cell").filter("point >= low and point < high").select(
         "slot", F.floor(F.col("slot") / STRETCH).alias("stretch"), "source", "source_size", "length"
     )
+
+
+def schedule(spark: SparkSession, plan: DataFrame, repeats: int = REPEATS) -> DataFrame:
+    """``(slot, source, rank, epoch, block)`` for every slot of the mix. ``plan`` is what :func:`targets` returns.
+
+    Slots beyond the last repeat stay empty.
+    """
+    placed = points(spark, plan)
+    if placed is None:
+        return spark.createDataFrame([], f"slot bigint, source {dict(plan.dtypes)['source']}, rank bigint, epoch bigint, block bigint")
     placed = settle(placed, "slots")
     counts = placed.groupBy("source", "stretch").count()
     earlier = Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
@@ -233,7 +247,7 @@ plan AS (
   SELECT *, CAST(sum(units) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) AS BIGINT) AS high FROM bounded),
 width AS (SELECT max(high) AS total FROM plan),
 slots AS (
-  SELECT slot, CAST(slot * 2654435769 % 4294967296 AS DOUBLE) * CAST(total AS DOUBLE) / 4294967296.0::DOUBLE AS point
+  SELECT slot, CAST(CAST(slot AS HUGEINT) * 2654435769 % 4294967296 AS DOUBLE) * CAST(total AS DOUBLE) / 4294967296.0::DOUBLE AS point
   FROM width, generate_series(0, CAST(ceil(total / 1000) AS BIGINT) - 1) AS g(slot)),
 ranked AS (
   SELECT source, source_size, length, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank

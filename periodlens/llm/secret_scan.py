@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,18 +116,20 @@ def named_spans(text: str) -> list[tuple[int, int, str]]:
                 names.setdefault(name, set()).add(_base_name(value[:end]))
             if not _BARE_PLACEHOLDER.fullmatch(value[:end]):
                 here.append(((at, at + end),))
-    spans: dict[tuple[int, int], str] = {}
-    for name, bits in asked.items():
-        # All names that this one can be traced back to. A bare word is a literal only where no such name is known.
-        seen, left = {name}, [name]
+    # The least that any sensitive name asks of the literals of a name it can be traced back to: names are entered once,
+    # by the least asking first. A bare word is a literal only where no such name is known.
+    least: dict[str, int] = {}
+    for name, bits in sorted(asked.items(), key=lambda x: x[1]):
+        left = [name]
         while left:
-            for other in names.get(left.pop(), ()):
-                if other not in seen and other in literals:
-                    seen.add(other)
-                    left.append(other)
-        for pieces in (x for n in seen for x in literals.get(n, ())):
+            if (at := left.pop()) not in least:
+                least[at] = bits
+                left += [x for x in names.get(at, ()) if x in literals and x not in least]
+    spans: dict[tuple[int, int], str] = {}
+    for name, bits in least.items():
+        for pieces in literals.get(name, ()):
             whole = "".join(text[a:b] for a, b in pieces)
-            alone = [x for x in pieces if _base_name(text[slice(*x)]) not in literals and _convincing(text[slice(*x)], bits)]
+            alone = {x for x in pieces if _base_name(text[slice(*x)]) not in literals and _convincing(text[slice(*x)], bits)}
             if alone or len(pieces) > 1 and _convincing(whole, bits):
                 for x in pieces:
                     if x in alone or not alone:
@@ -145,8 +149,13 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
     out += [(*m.span(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LENGTH]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
     if any(x in low for x in _HINTS):
-        base = list(out)
-        out += [(a, b, kind) for a, b, kind in named_spans(text) if not any(x <= a and b <= y for x, y, _ in base)]
+        # Of the base spans that begin by a, the one that reaches farthest.
+        base = sorted(out)
+        starts, reach = [x for x, *_ in base], list(accumulate((y for _, y, _ in base), max))
+        for a, b, kind in named_spans(text):
+            before = bisect_right(starts, a)
+            if not before or reach[before - 1] < b:
+                out.append((a, b, kind))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

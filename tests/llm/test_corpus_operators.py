@@ -256,6 +256,23 @@ def test_every_stretch_of_the_schedule_is_mixed(spark, awkward):
         assert all(abs(part[s] - 200 * n / len(slots)) <= 8 for s, n in share.items())
 
 
+@pytest.mark.parametrize("first", [0, 3_474_701_400, (1 << 32) - 70, (1 << 40) + 12_345])
+def test_points_of_late_slots(spark, first):
+    """Around the slots whose product with the golden number leaves a long, and beyond 2 ** 32."""
+    total = 1000 * (1 << 41)
+    plan = spark.createDataFrame(
+        [("a", 1, 1, 0, total // 8 * 5), ("b", 1, 1, total // 8 * 5, total // 8 * 7), ("c", 1, 1, total // 8 * 7, total)],
+        "source string, source_size bigint, length bigint, low bigint, high bigint",
+    )
+    got = {r["slot"]: r["source"] for r in mixing.points(spark, plan, first, first + 160).collect()}
+    assert sorted(got) == list(range(first, first + 160))
+    for slot, source in got.items():
+        share = slot * 2654435769 % (1 << 32) / (1 << 32)
+        assert source == ("a" if share < 5 / 8 else "b" if share < 7 / 8 else "c")
+    share = Counter(got.values())
+    assert all(abs(share[s] - 160 * w / 8) <= 3 for s, w in zip("abc", (5, 2, 1)))
+
+
 def test_stretches_and_parts_do_not_matter(spark, awkward, monkeypatch):
     rows, plan = mixing.prepared(awkward)
     whole = sorted(map(str, mixing.schedule(spark, plan).collect()))

@@ -379,3 +379,23 @@ def test_nothing_learned(awkward, awkward_rows):
 
 def test_queries_hash_as_agreed():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442") and zlib.crc32(b"") == 0
+
+
+def test_secret_scan_takes_steps_in_proportion(monkeypatch):
+    """Literals are judged once each, whatever the number of pairs, fixed spans and aliases."""
+    calls = Counter()
+    judged = secret_scan._convincing
+    monkeypatch.setattr(secret_scan, "_convincing", lambda *a: calls.update("c") or judged(*a))
+    n = 4000
+    text = "".join(f"password = 'p4ss{i}word'\nprivate_key{i} = 'aB3{i}xYz9Qw7'\n" for i in range(n))
+    found = secret_scan.scan(text)
+    assert Counter(k for *_, k in found) == {"assign": n, "named": n} and calls["c"] <= 2 * n
+    calls.clear()
+    chain = "token0 = 'aB3xYz9Qw7Kp2'\n" + "".join(f"token{i} = token{i - 1}\n" for i in range(1, n))
+    assert secret_scan.scan(chain)[0][2] == "named" and calls["c"] <= n + 1
+
+
+def test_least_asking_name_decides():
+    text = "v = 'abcd1234'\nfirst = v\naccess_key = first\npassphrase = v\nloop = other\nother = loop\nsecret_key = loop\n"
+    start = text.index("abcd1234")
+    assert secret_scan.named_spans(text) == [(start, start + 8, "named")]
