@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from periodlens.functions import stats
 from periodlens.functions.stats import slope_quantiles
 from periodlens.operators import series, trend
 from periodlens.plans import trends
@@ -21,13 +22,14 @@ def _brute(xs):
 
 
 def test_known_answers(long_of):
-    up = list(range(1, 11))
+    up = [3, 4, 8, 9, 11, 15, 30]
     got = {r["series"]: r for r in trend.with_p(trend.mann_kendall(long_of(
-        {"up": up, "down": up[::-1], "mixed": [1, 3, 2, 4], "flat": [2] * 5, "short": [1, 2]}
+        {"up": up, "down": up[::-1], "mixed": [2, 5, 3, 7, 4, 6], "flat": [2] * 5, "short": [1, 2]}
     ))).collect()}
-    assert got["up"]["s"] == 45 and got["up"]["tau"] == 1 and got["up"]["p_raw"] < 1e-3
+    assert got["up"]["s"] == 21 and got["up"]["tau"] == 1 and got["up"]["p_raw"] < 3e-3
     assert got["down"]["tau"] == -1
-    assert got["mixed"]["s"] == 4 and got["mixed"]["tau"] == pytest.approx(2 / 3)
+    # By hand, of the 15 pairs: 5, 2 less 2, 3, less 2 and 1.
+    assert got["mixed"]["s"] == 7 and got["mixed"]["tau"] == pytest.approx(7 / 15)
     assert (got["flat"]["s"], got["flat"]["z"], got["flat"]["tau"], got["flat"]["p_raw"]) == (0, 0, None, 1)
     assert "short" not in got
 
@@ -111,3 +113,38 @@ def test_series_helpers(spark, long_of):
     assert (means[1990]["avg_a"], means[1990]["num_a"], means[1990]["num_rows"]) == (0.5, 1, 2)
     long = series.to_long(series.period_mean(wide, "year", ["a", "b"]), "year", ["a", "b"])
     assert long.filter(F.col("series") == "b").count() == 2
+
+
+def plain_slopes(t, x, ranks):
+    slopes = sorted((x[j] - x[i]) / (t[j] - t[i]) for i in range(len(t)) for j in range(i + 1, len(t)))
+    return [slopes[int(r) - 1] for r in ranks]
+
+
+@pytest.mark.parametrize("kind", ["noise", "whole", "halves on a high level", "flat", "tiny", "line"])
+def test_slopes_are_counted_as_inversions(kind):
+    rng = np.random.default_rng(7)
+    for n in (2, 3, 17, 90):
+        t = np.sort(rng.choice(500, n, replace=False)).astype(float)
+        x = {
+            "noise": rng.normal(size=n), "whole": rng.integers(0, 4, n).astype(float), "halves on a high level": rng.integers(0, 9, n) / 2 + 1e6,
+            "flat": np.full(n, 3.3), "tiny": rng.normal(size=n).round(6) * 1e-9, "line": np.arange(n) * -2.5,
+        }[kind]
+        total = n * (n - 1) // 2
+        ranks = sorted({1, (total + 1) // 2, max(1, total // 3), total})
+        for cells in (0, 1 << 20):
+            assert stats.slope_quantiles(t, x, ranks, cells) == pytest.approx(plain_slopes(t, x, ranks), rel=1e-14)
+
+
+def test_inversions():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 5, 64, 100):
+        p = rng.permutation(n)
+        assert stats._inversions(p) == sum(p[i] > p[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_slope_of_a_very_long_series(long_of):
+    rng = np.random.default_rng(3)
+    n = 30_000
+    df = long_of({"long": (0.25 * np.arange(n) + rng.normal(size=n)).tolist()})
+    r = trend.sens_slope(df).first()
+    assert r["n"] == n and r["ci_lo"] < r["slope"] < r["ci_hi"] and abs(r["slope"] - 0.25) < 1e-5
