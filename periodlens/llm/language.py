@@ -10,7 +10,7 @@ count as often as they occur; an empty table gives an empty result. Other column
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -109,16 +109,39 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", bucke
     return Model(languages, table[:, :-1], table[:, -1])
 
 
+# Non-zero buckets of the texts that are scored together.
+BATCH_BUCKETS = 1 << 18
+
+
 def _score(model: Model | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Languages and posteriors, a sparse batch of texts at a time: one product with the matrix, summed by text."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    rows: list[int] = []
+    at: list[np.ndarray] = []
+    values: list[np.ndarray] = []
+
+    def flush() -> None:
+        if rows:
+            starts = np.cumsum([0, *map(len, at[:-1])])
+            log = np.add.reduceat(model.log_p[:, np.concatenate(at)] * np.concatenate(values), starts, axis=1) + np.reshape(model.prior, (-1, 1))
+            best = log.argmax(axis=0)
+            posterior = 1 / np.exp(np.minimum(log - log.max(axis=0), 0)).sum(axis=0)
+            for i, k, p in zip(rows, best.tolist(), posterior.tolist()):
+                langs[i], scores[i] = model.languages[k], p
+        for column in (rows, at, values):
+            column.clear()
+
+    held = 0
     for i, text in enumerate(texts):
         counts = trigram_counts(text, model.log_p.shape[1]) if model else None
-        if counts is None:
-            continue
-        at = np.flatnonzero(counts)
-        log = model.prior + model.log_p[:, at] @ counts[at]
-        best = int(np.argmax(log))
-        langs[i], scores[i] = model.languages[best], float(1 / np.exp(np.minimum(log - log[best], 0)).sum())
+        if counts is not None:
+            rows.append(i)
+            at.append(np.flatnonzero(counts))
+            values.append(counts[at[-1]])
+            if (held := held + len(at[-1])) >= BATCH_BUCKETS:
+                flush()
+                held = 0
+    flush()
     return langs, scores
 
 
@@ -139,17 +162,26 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", column
     return cut.mapInArrow(run, f"{kept}lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def accepted(
+    docs: DataFrame, model: Model | None, text_col: str = "text", least: float = 0.5, lang_col: str | None = None,
+    wanted: Sequence[str] | None = None,
+) -> DataFrame:
     """The rows of ``docs`` (all columns) whose language is known with a score of ``least`` or more.
 
-    The decision comes from one scan of the table itself, so all columns pass through the tasks unchanged.
+    ``wanted`` names the languages that stay, all that were learned if it is None. A null in ``lang_col`` is filled with the
+    predicted language; one that is given is not changed. The decision comes from one scan of the table itself.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    place, given = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
+    stay = None if wanted is None else frozenset(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = _score(shared.value, batch.column(place).to_pylist())
-            yield batch.filter(pa.array([a != UNKNOWN and b >= least for a, b in zip(langs, scores)], pa.bool_()))
+            if given is not None:
+                filled = pa.array([a if a is not None else b for a, b in zip(batch.column(given).to_pylist(), langs)], batch.column(given).type)
+                batch = batch.set_column(given, batch.schema.field(given), filled)
+            keep = [a != UNKNOWN and b >= least and (stay is None or a in stay) for a, b in zip(langs, scores)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

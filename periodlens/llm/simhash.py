@@ -184,7 +184,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """The rows of ``docs`` (all columns) with one document of each group: the one with the smallest id.
 
-    Among rows with the same id the smallest row hash stays, and of rows equal in id and text one.
+    Among rows with the same id the smallest row hash stays, and of rows equal in id and text the one whose other columns
+    have the smallest hash.
     """
     return one_of_each(docs, groups(docs, id_col, text_col, words), id_col, text_col)
 
@@ -200,4 +201,9 @@ def one_of_each(docs: DataFrame, grouped: DataFrame, id_col: str = "doc_id", tex
         return stay
     once = stay.join(repeated, key == F.col("_twice"), "left_anti")
     twice = stay.join(repeated, key == F.col("_twice"), "left_semi")
-    return once.unionByName(twice.dropDuplicates([id_col, text_col]))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.xxhash64(F.to_json(F.struct(*rest))) if rest else F.lit(0)
+    # Rows equal in id and text are grouped by partial aggregates, however many they are.
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("_row")
+    picked = twice.groupBy(F.col(f"`{id_col}`").alias("_a"), F.col(f"`{text_col}`").alias("_b")).agg(row).select("_row.*")
+    return once.unionByName(picked)

@@ -137,12 +137,46 @@ def test_near_copies_with_edited_words_go(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     expected = sorted(x for i, near in enumerate(pairs) for x in ([2 * i] if near else [2 * i, 2 * i + 1]))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == expected
-    # A large bucket is held on disk.
-    sets = [near_copies.shingles(t) for _, t in rows[:20]]
-    bucket = pa.RecordBatch.from_arrays([pa.array([1] * 20), pa.array(range(20)), pa.array([x.tobytes() for x in sets])], ["bucket", "node", "shingles"])
-    found = [b.to_pylist() for b in near_copies._link_runs(iter([bucket]))]
-    monkeypatch.setattr(near_copies, "HELD", 5000)
-    assert [b.to_pylist() for b in near_copies._link_runs(iter([bucket]))] == found and len(found[0]) == sum(pairs[:10])
+    # A crowded bucket is cut into blocks.
+    monkeypatch.setattr(near_copies, "BLOCK", 2)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == expected
+
+
+def test_stars_connect_what_pairs_do():
+    rng = random.Random(11)
+    for _ in range(60):
+        base = [rng.randrange(1 << 60) for _ in range(60)]
+        sets = []
+        for _ in range(rng.randrange(2, 25)):
+            kept = [x for x in base if rng.random() < rng.choice([0.99, 0.9, 0.7])]
+            sets.append(np.unique(np.array(kept + [rng.randrange(1 << 60) for _ in range(rng.choice([0, 1, 8]))] + [5], np.uint64)))
+        names, sizes = np.arange(len(sets)) * 10, np.array([len(x) for x in sets])
+        a, b = near_copies._stars(names, np.concatenate(sets), sizes)
+        group, plain = list(range(len(sets))), list(range(len(sets)))
+        for x, y in zip(a // 10, b // 10):
+            group = [group[x] if g == group[y] else g for g in group]
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                both = len(np.intersect1d(x, y))
+                if both >= 0.8 * (len(x) + len(y) - both):
+                    plain = [plain[j] if g == plain[i] else g for g in plain]
+        assert [group.index(g) for g in group] == [plain.index(g) for g in plain]
+
+
+def test_a_bucket_of_sets_that_are_not_alike_is_not_measured_in_pairs(monkeypatch):
+    """20,000 sets that share half of their shingles: no pair of them is measured. Nor are 3,000 copies measured in pairs."""
+    measured = Counter()
+    similar = near_copies._similar
+    monkeypatch.setattr(near_copies, "_similar", lambda one, values, sizes: measured.update(n=len(sizes)) or similar(one, values, sizes))
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 60, 10, np.uint64)
+    sets = [np.unique(np.concatenate([common, rng.integers(0, 1 << 60, 10, np.uint64)])) for _ in range(20_000)]
+    a, _ = near_copies._stars(np.arange(20_000), np.concatenate(sets), np.array([len(x) for x in sets]))
+    assert not len(a) and measured["n"] < 20_000
+    measured.clear()
+    copies = [np.sort(np.append(common, np.uint64(i + (1 << 61)))) for i in range(3000)]
+    a, b = near_copies._stars(np.arange(3000), np.concatenate(copies), np.array([11] * 3000))
+    assert set(a) == {0} and len(b) == 2999 and measured["n"] <= 3 * 3000
 
 
 def test_long_chain_has_one_root(spark):
@@ -399,3 +433,33 @@ def test_least_asking_name_decides():
     text = "v = 'abcd1234'\nfirst = v\naccess_key = first\npassphrase = v\nloop = other\nother = loop\nsecret_key = loop\n"
     start = text.index("abcd1234")
     assert secret_scan.named_spans(text) == [(start, start + 8, "named")]
+
+
+def test_posteriors_against_a_plain_version(spark, awkward, monkeypatch):
+    """Bayes' rule text by text, whatever is scored together; nulls are filled, unwanted languages go."""
+    model = language.train(awkward)
+    texts = [r["text"] for r in awkward.select("text").collect()]
+    langs, scores = language._score(model, texts)
+    for text, lang, score in zip(texts, langs, scores):
+        counts = language.trigram_counts(text, model.log_p.shape[1])
+        if counts is None:
+            assert (lang, score) == (language.UNKNOWN, 0.0)
+            continue
+        log = [float(p) + sum(float(c) * float(row[i]) for i, c in enumerate(counts) if c) for p, row in zip(np.ravel(model.prior), model.log_p)]
+        top = max(log)
+        assert score == pytest.approx(1 / sum(math.exp(x - top) for x in log)) and log[model.languages.index(lang)] == pytest.approx(top)
+    monkeypatch.setattr(language, "BATCH_BUCKETS", 50)
+    again = language._score(model, texts)
+    assert again[0] == langs and again[1] == pytest.approx(scores)
+    kept = language.accepted(awkward, model, lang_col="lang", wanted=["de"])
+    predicted = Counter(t for t, lang, score in zip(texts, langs, scores) if lang == "de" and score >= 0.5)
+    assert Counter(r["text"] for r in kept.collect()) == predicted and kept.filter("lang IS NULL").count() == 0
+
+
+def test_rows_equal_in_id_and_text_leave_one_in_any_order(spark):
+    rows = [(1, "one two three", lang, source) for lang in ("de", "en", None) for source in ("a", "b")] * 2 + [(2, "other words here", "en", "a")]
+    got = set()
+    for parts in (1, 3, 5):
+        df = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string").repartition(parts)
+        got.add(tuple(sorted(map(str, simhash.keep_one(df).collect()))))
+    assert len(got) == 1 and len(got.pop()) == 2
