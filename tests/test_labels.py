@@ -152,6 +152,17 @@ def test_agreement(spark):
     assert [tuple(r) for r in agreement.involvement(df, "x", "y").collect()] == [("a", 3), ("b", 2), ("c", 1)]
 
 
+def test_missing_labels_are_labels(spark):
+    pairs = [("a", None), (None, None), (None, "b"), ("a", "a"), ("b", "a"), (None, "b")]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    s = agreement.summary(df, "x", "y").first()
+    assert (s["entities"], s["agreements"], s["disagreements"]) == (6, 2, 4)
+    confused = {(r["x"], r["y"]): r["count"] for r in agreement.confusion(df, "x", "y").collect()}
+    assert confused == {("a", None): 1, (None, "b"): 2, ("b", "a"): 1} and sum(confused.values()) == s["disagreements"]
+    sides = {r["label"]: r["count"] for r in agreement.involvement(df, "x", "y").collect()}
+    assert sides == {"a": 2, "b": 3, None: 3} and sum(sides.values()) == 2 * s["disagreements"]
+
+
 def test_votes(spark):
     sig = spark.createDataFrame(
         [("late", "g", 2, 2000), ("early", "f", 1, 2000), ("early", "f", 1, 2001), ("far", "f", 1, 1980), ("edge", "f", 1, 1989)],
