@@ -2,8 +2,10 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 from periodlens.operators import clean, mix
-from periodlens.sources import tables
+from periodlens.sources import progress, tables
 
 
 def test_csv_with_awkward_text(spark, folder):
@@ -80,3 +82,12 @@ def test_release_deletes_what_was_settled(spark, folder):
     tables.release(spark)
     tables._MADE[:] = kept
     assert not P(made).exists()
+
+
+def test_too_many_pending_periods_are_an_error(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i % 5,) for i in range(20)], "p int")
+    monkeypatch.setattr(progress, "MOST_PENDING", 5)
+    assert progress.pending(df, str(tmp_path / "m"), "p") == [(i, 4) for i in range(5)]
+    monkeypatch.setattr(progress, "MOST_PENDING", 4)
+    with pytest.raises(ValueError):
+        progress.pending(df, str(tmp_path / "m"), "p")
