@@ -1,8 +1,10 @@
 import itertools
+import math
 
 import numpy as np
 import pytest
 
+from periodlens.functions import stats
 from periodlens.functions.stats import best_partitions
 from periodlens.operators import changepoint as cp
 from periodlens.operators import cluster, series
@@ -123,3 +125,65 @@ def test_elbow_of_two_published_curves(spark):
     df = spark.createDataFrame([(s, k + 2, c) for s, cs in curves.items() for k, c in enumerate(cs)], "s string, k int, cost double")
     assert {r["s"]: r["best_k"] for r in cluster.elbow(df, ("s",)).collect()} == {"means": 5, "mix": 5}
     assert cluster.elbow(df.filter("k < 4"), ("s",)).count() == 0
+
+
+def _sums(x):
+    x = np.atleast_2d(np.asarray(x, dtype=float))
+    x = x - x.mean(axis=1, keepdims=True)
+    zero = np.zeros((len(x), 1))
+    return np.hstack((zero, x.cumsum(axis=1))), np.hstack((zero, (x * x).cumsum(axis=1)))
+
+
+def _all_starts(p1, p2, max_breaks):
+    """The programme over every last break, end by end."""
+    n = p1.shape[1] - 1
+    top = min(max_breaks, n - 1)
+    cost = np.full((top + 1, n + 1), math.inf)
+    for e in range(1, n + 1):
+        s = np.arange(e)
+        segment = sum(np.maximum(b[e] - b[s] - (a[e] - a[s]) ** 2 / (e - s), 0) for a, b in zip(p1, p2))
+        cost[0, e] = segment[0]
+        for j in range(1, top + 1):
+            cost[j, e] = (cost[j - 1, s] + segment).min()
+    return cost[:, n]
+
+
+@pytest.mark.parametrize("kind", range(6))
+def test_given_up_breaks_were_not_needed(kind):
+    """Errors are those of all last breaks, and the breaks found have these errors."""
+    rng = np.random.default_rng(kind)
+    for n, d in ((1, 1), (2, 1), (7, 1), (60, 1), (150, 1), (400, 1), (30, 2), (90, 3)):
+        x = (
+            rng.normal(size=(d, n)), rng.integers(0, 3, (d, n)), np.repeat(rng.integers(0, 2, (d, n // 10 + 1)), 10, axis=1)[:, :n],
+            np.full((d, n), 0.1), 1e9 + rng.normal(size=(d, n)), np.cumsum(rng.integers(-1, 2, (d, n)), axis=1) * 1e-8,
+        )[kind]
+        p1, p2 = _sums(x)
+        want = _all_starts(p1, p2, 5)
+        for block in (1, 16, 64):
+            sse, breaks = stats.best_partitions(p1, p2, 5, block=block)
+            near = 1e-12 * max(1e-12, float(p2[:, -1].sum()))
+            assert np.allclose(sse, want, rtol=1e-9, atol=near)
+            for m, path in enumerate(breaks):
+                ends = [0, *path, n]
+                assert len(path) == m and ends == sorted(set(ends))
+                cost = sum(((x[:, a:b] - x[:, a:b].mean(axis=1, keepdims=True)) ** 2).sum() for a, b in zip(ends, ends[1:]))
+                assert cost == pytest.approx(sse[m], rel=1e-6, abs=max(near, 1e-4 if kind == 4 else 0))
+
+
+def test_a_hundred_thousand_points(monkeypatch):
+    """Few last breaks are looked at per end, with breaks as in noise alone, and in long stretches of equal values."""
+    looked = []
+    segments = stats._segments
+    monkeypatch.setattr(stats, "_segments", lambda p1, p2, s, e: looked.append(s.size * e.size) or segments(p1, p2, s, e))
+    rng = np.random.default_rng(5)
+    n = 100_000
+    x = rng.normal(size=n)
+    x[n // 3 :] += 1
+    x[n // 2 :] -= 2
+    _, breaks = stats.best_partitions(*_sums(x), 2)
+    assert abs(breaks[2][0] - n // 3) < 20 and abs(breaks[2][1] - n // 2) < 20
+    assert sum(looked) < 1000 * 2 * n
+    for flat in (np.zeros(20_000), np.r_[rng.normal(size=500), np.full(19_000, 0.1), rng.normal(size=500)]):
+        looked.clear()
+        stats.best_partitions(*_sums(flat), 2)
+        assert sum(looked) < 1000 * 2 * flat.size
