@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -18,6 +20,10 @@ from periodlens.operators import skew
 from periodlens.sources.tables import settle
 
 
+# Hashes and logs of the words that workers may be sent; some five million words under two labels.
+MOST_BYTES = 128 << 20
+
+
 class Labeller(Protocol):
     """Anything that adds ``label`` (string) and ``scores`` (map of label → confidence) to a table of texts."""
 
@@ -73,11 +79,14 @@ class WordBayesLabeller:
     """Multinomial naive Bayes on words, as a table of each word's log probability under every label.
 
     The vocabulary is that of the training texts, whole; words outside it say nothing. Ties go to the first label.
+    ``size`` is the number of words, counted if it is not given. A table of up to ``MOST_BYTES`` is sent to the workers,
+    which score a batch of texts at once; a larger one stays where it is and the texts' words are joined to it.
     """
 
     words: DataFrame
     prior: Sequence[float]
     labels: Sequence[str]
+    size: int | None = None
 
     @staticmethod
     def fit(train: DataFrame, text: str, label: str, labels: Sequence[str]) -> "WordBayesLabeller":
@@ -90,9 +99,54 @@ class WordBayesLabeller:
         texts = known.agg(*[F.count_if(F.col(label) == name) for name in labels]).first()
         prior = [math.log((n + 1) / (sum(texts) + len(labels))) for n in texts]
         logs = [F.log((F.col(f"n{i}") + 1.0) / float(sums[i] + max(size, 1))).alias(f"log{i}") for i in range(len(labels))]
-        return WordBayesLabeller(counted.select("word", *logs), prior, tuple(labels))
+        return WordBayesLabeller(counted.select("word", *logs), prior, tuple(labels), size)
 
     def transform(self, df: DataFrame, text: str) -> DataFrame:
+        size = self.words.count() if self.size is None else self.size
+        table = self._table() if size * 8 * (1 + len(self.labels)) <= MOST_BYTES else None
+        # Two words of one hash cannot be told apart in the table.
+        scored = self._joined(df, text) if table is None else df.withColumn("_p", self._batched(df.sparkSession, *table)(hashes_of(text)))
+        scores = F.map_from_arrays(F.array(*map(F.lit, self.labels)), F.col("_p"))
+        return scored.select(*df.columns, scores.alias("scores")).withColumn("label", fx.argmax_confidence("scores", list(self.labels)))
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """Hashes of all words in order, and a row of logs for each; nothing if two words share a hash."""
+        logs = [f"log{i}" for i in range(len(self.labels))]
+        found = self.words.select(F.xxhash64("word").alias("h"), *logs).toArrow()
+        hashes = found["h"].to_numpy()
+        order = np.argsort(hashes)
+        if hashes.size > 1 and (np.diff(hashes[order]) == 0).any():
+            return None
+        return hashes[order], np.stack([found[c].to_numpy() for c in logs], axis=1)[order]
+
+    def _batched(self, spark, hashes: np.ndarray, logs: np.ndarray):
+        """Arrow function: hashes of the words of each text → probability of every label.
+
+        The words of a batch lie in one array; they are looked up together and summed between the texts' borders.
+        """
+        model = spark.sparkContext.broadcast((hashes, logs, np.array(self.prior)))
+
+        @F.arrow_udf("array<double>")
+        def score(texts: pa.Array) -> pa.Array:
+            known, logs, prior = model.value
+            words = texts.flatten().to_numpy(zero_copy_only=False)
+            ends = np.asarray(texts.offsets) - texts.offsets[0].as_py()
+            at = np.minimum(np.searchsorted(known, words), max(known.size - 1, 0))
+            hit = known[at] == words if known.size else np.zeros(words.size, bool)
+            rows = np.flatnonzero(hit)
+            # Borders of the texts among the known words; a text without any has an empty stretch.
+            ends = np.searchsorted(rows, ends)
+            summed = np.tile(prior, (len(texts), 1))
+            filled = np.flatnonzero(np.diff(ends))
+            if filled.size:
+                summed[filled] += np.add.reduceat(logs[at[rows]], ends[filled], axis=0)
+            p = np.exp(summed - summed.max(axis=1, keepdims=True))
+            p /= p.sum(axis=1, keepdims=True)
+            return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * prior.size, p.ravel())
+
+        return score
+
+    def _joined(self, df: DataFrame, text: str) -> DataFrame:
         """Words are counted per text before they meet the table; texts are told apart by their digests."""
         digest = F.sha2(F.col(text), 256)
         every = df.select(digest.alias("_text"), F.explode(words_of(text)).alias("word")).groupBy("_text", "word").agg(F.count("*").alias("_n"))
@@ -107,8 +161,7 @@ class WordBayesLabeller:
         parts = [F.exp(F.col(f"_s{i}") - top) for i in n]
         total = sum(parts[1:], parts[0])
         scored = df.withColumn("_key", digest).join(sums, F.col("_key").eqNullSafe(F.col("_text")), "left")
-        scores = F.map_from_arrays(F.array(*map(F.lit, self.labels)), F.array(*[p / total for p in parts]))
-        return scored.select(*df.columns, scores.alias("scores")).withColumn("label", fx.argmax_confidence("scores", list(self.labels)))
+        return scored.select(*df.columns, F.array(*[p / total for p in parts]).alias("_p"))
 
 
 def words_of(text: str):
@@ -116,6 +169,11 @@ def words_of(text: str):
     return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"), lambda w: w != "")
 
 
+def hashes_of(text: str):
+    """The words of a text as 64-bit hashes."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
 def distinct_texts(chunks: DataFrame, text: str = "chunk") -> DataFrame:
     """Each text once, with the number of rows holding it."""
     return chunks.groupBy(text).agg(F.count("*").alias("copies"))

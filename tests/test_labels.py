@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,28 @@ def test_word_bayes_by_definition(spark):
     assert len(got) == 5
     for text, label, fine in got:
         assert fine == pytest.approx(want[text]) and label == ("a" if want[text] >= 0.5 else "b")
+
+
+def test_batches_score_as_the_joined_words_do(spark, monkeypatch):
+    """Both ways of scoring agree with the definition: unknown words, no words, NULL texts and repeated rows included."""
+    train = [("good fine day", "a"), ("bad day day", "b"), ("fine", "a"), (None, "b"), ("neither", "c")]
+    texts = ["fine day", "", None, "unknown only", "Day, DAY; bad", "fine day", "good " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    model = labels.WordBayesLabeller.fit(spark.createDataFrame(train, "t string, y string"), "t", "y", ["a", "b"])
+    counts = {"a": {"good": 1, "fine": 2, "day": 1}, "b": {"bad": 1, "day": 2}}
+
+    def expected(text):
+        words = [w for w in (text or "").lower().replace(",", " ").replace(";", " ").split() if w in {"good", "fine", "day", "bad"}]
+        logs = [math.log(3 / 6) + sum(math.log((c.get(w, 0) + 1) / (sum(c.values()) + 4)) for w in words) for c in counts.values()]
+        return 1 / (1 + math.exp(min(700, logs[1] - logs[0])))
+
+    for most in (labels.MOST_BYTES, 0):
+        monkeypatch.setattr(labels, "MOST_BYTES", most)
+        for parts in (1, 4):
+            rows = {r["i"]: r for r in model.transform(df.repartition(parts), "t").collect()}
+            assert len(rows) == len(texts)
+            for i, t in enumerate(texts):
+                assert rows[i]["scores"]["a"] == pytest.approx(expected(t), abs=1e-9)
+                assert rows[i]["label"] == ("a" if expected(t) >= 0.5 else "b")
+    empty = labels.WordBayesLabeller.fit(spark.createDataFrame([], "t string, y string"), "t", "y", ["a", "b"])
+    assert {r["scores"]["a"] for r in empty.transform(df, "t").collect()} == {0.5}
