@@ -22,6 +22,8 @@ SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 MOST_REPEATED = 50
 WINDOW = 3
+# Different words are counted within stretches of this many words: a longer text has fewer new ones to add.
+STRETCH = 200
 BLOCK = 1 << 20
 
 # A rule: the property it looks at, from where on it votes bad, and up to where good. Most kinds of junk show in more
@@ -66,22 +68,38 @@ def _classes() -> np.ndarray:
     return _CLASSES[0]
 
 
-def repeated_words(words: list[bytes]) -> int:
+def numbered(words: list[bytes]) -> tuple[np.ndarray, int]:
+    """Equal words as equal numbers from 0, and how many different ones there are."""
+    number: dict[bytes, int] = {}
+    return np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)), len(number)
+
+
+def repeated_words(ids: np.ndarray, different: int) -> int:
     """Words that lie in a window of three found twice or more."""
-    if len(words) < WINDOW + 1:
+    if ids.size < WINDOW + 1:
         return 0
-    number: dict[bytes, int] = {}
-    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
     # Pairs of ids are numbered anew, so that windows of any vocabulary fit into 64 bits.
-    _, pair = np.unique(ids[:-1] * len(number) + ids[1:], return_inverse=True)
-    _, window, times = np.unique(pair[:-1] * len(number) + ids[2:], return_inverse=True, return_counts=True)
-    covered = np.zeros(len(words), bool)
+    _, pair = np.unique(ids[:-1] * different + ids[1:], return_inverse=True)
+    _, window, times = np.unique(pair[:-1] * different + ids[2:], return_inverse=True, return_counts=True)
+    covered = np.zeros(ids.size, bool)
     again = np.flatnonzero(times[window] > 1)
     for k in range(WINDOW):
         covered[again + k] = True
     return int(covered.sum())
 
 
+def share_not_new(ids: np.ndarray) -> float:
+    """Share of words that came before in their stretch, over the whole text cut into stretches of about equal length.
+
+    A text of up to ``STRETCH`` words is one stretch; of a longer one none has more, so the share means the same at any
+    length.
+    """
+    n = ids.size
+    cuts = -(-n // STRETCH)
+    stretch = np.arange(n) * cuts // n
+    return 1 - np.unique(stretch * (int(ids.max()) + 1) + ids).size / n
+
+
 def measure(text: str | None) -> tuple[list[int], list[float]]:
     """The counts named in ``COUNTS`` and the properties the rules look at."""
     text = text or ""
@@ -96,7 +114,8 @@ def measure(text: str | None) -> tuple[list[int], list[float]]:
             lines += 1
             repeats += line in seen
             seen.add(line)
-    again = repeated_words(words)
+    ids, different = numbered(words)
+    again = repeated_words(ids, different)
     # Characters by class, and those that end a word, block by block.
     sums = dict.fromkeys(("letters", "capitals", "digits", "blank", "other", "odd", "loud"), 0)
     for at in range(0, len(text), BLOCK):
@@ -116,7 +135,7 @@ def measure(text: str | None) -> tuple[list[int], list[float]]:
     chars = len(text) - sums["blank"]
     values = [
         symbols / n, sums["odd"] / n, sums["other"] / chars, again / n, repeats / lines,
-        1 - min(1, len(set(words)) / min(n, 200)), sums["capitals"] / max(1, sums["letters"]), sums["loud"] / n, sums["digits"] / chars,
+        share_not_new(ids), sums["capitals"] / max(1, sums["letters"]), sums["loud"] / n, sums["digits"] / chars,
     ]
     return [n, chars, symbols, repeats, again], values
 

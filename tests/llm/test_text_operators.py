@@ -212,6 +212,27 @@ def test_quality_counts_of_short_texts(text):
     assert tuple(quality.measure(text)[0]) == plain_quality(text)
 
 
+def test_poor_vocabulary_shows_at_any_length():
+    """The rule on different words means the same for a text and for many like it one after another."""
+    rng = np.random.default_rng(6)
+    rule = [name for name, *_ in quality.RULES].index("few_different_words")
+    words = [f"w{i}" for i in range(5000)]
+
+    def vote(n, different):
+        return quality.votes(quality.measure(" ".join(rng.choice(words[:different], n)))[1])[rule]
+
+    assert [vote(n, 5) for n in (60, 200, 201, 10_000)] == ["-"] * 4
+    assert [vote(n, 30) for n in (200, 2_000, 10_000)] == ["-"] * 3
+    assert [vote(n, 3000) for n in (60, 200, 399, 10_000)] == ["+"] * 4
+    # By definition: stretches of about equal length, none above 200 words.
+    for n in (1, 199, 200, 201, 777):
+        ids = rng.integers(0, 50, n)
+        cuts = -(-n // 200)
+        parts = [[int(w) for k, w in enumerate(ids) if k * cuts // n == c] for c in range(cuts)]
+        assert max(map(len, parts)) <= 200
+        assert quality.share_not_new(ids) == pytest.approx(1 - sum(len(set(p)) for p in parts) / n)
+
+
 def test_votes_find_the_junk(spark):
     """Planted junk of two kinds among clean texts: nearly all of it is found, and nothing else."""
     rng = np.random.default_rng(2)
