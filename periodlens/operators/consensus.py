@@ -27,12 +27,12 @@ def signals(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def vote(votes: DataFrame, spine: DataFrame, tol: int = 1, names: bool = True) -> DataFrame:
+def vote(votes: DataFrame, spine: DataFrame, tol: int = 1, names: bool = False) -> DataFrame:
     """``t, votes, votes_pm<tol>[, signals]`` for every period of the spine; votes outside it do not count.
 
     Each vote is spread to the periods within ``tol`` and everything is one aggregate, so no window runs over
-    the whole spine. ``names`` lists the voters of a period in signal order and suits a fixed set of analyses;
-    where every entity casts a vote, leave it off and take :func:`voters`.
+    the whole spine. ``names`` lists the voters of a period in one row, in signal order: for a fixed set of analyses
+    only. Where every entity casts a vote, :func:`voters` has them as rows.
     """
     near = votes.join(spine, "t", "left_semi").select(
         "signal", "ord", F.explode(F.sequence(F.col("t") - tol, F.col("t") + tol)).alias("t2"), F.col("t").alias("t1")

@@ -132,7 +132,7 @@ def consensus_years(songs: DataFrame, emotions: DataFrame, mood: cluster.Eras, g
         emotion_series(emotions), names=SHOWN,
     )
     spine = songs.sparkSession.range(FIRST_YEAR, LAST_YEAR + 1).select(F.col("id").cast("int").alias("t"))
-    return consensus.vote(found, spine)
+    return consensus.vote(found, spine, names=True)
 
 
 def neighbour_index(songs: DataFrame) -> neighbours.Index:

@@ -24,7 +24,7 @@ def _spine(spark, sf):
 
 
 def _voted(spark, sf):
-    return consensus.vote(_signals(spark, sf), _spine(spark, sf), names=False)
+    return consensus.vote(_signals(spark, sf), _spine(spark, sf))
 
 
 def signals(spark, sf):
@@ -43,7 +43,7 @@ def consensus_votes(spark, sf):
     both = consensus.signals(
         consensus.signal(found, "feature", 1), consensus.signal(ranked, "ranked", 2, suffix=" (Pettitt)")
     )
-    return consensus.vote(both, _spine(spark, sf))
+    return consensus.vote(both, _spine(spark, sf), names=True)
 
 
 def supplier_votes(spark, sf):
@@ -74,7 +74,7 @@ def synthesis_votes(spark, sf):
     found = synthesis.collect(
         long, joint, {"means clusters": (mood.clusters, "eras"), "mix clusters": (kinds.clusters, "mix")}, "m", shares
     )
-    return consensus.vote(found, items.select(F.col("m").alias("t")).distinct())
+    return consensus.vote(found, items.select(F.col("m").alias("t")).distinct(), names=True)
 
 
 def synthesis_given(spark, sf):

@@ -171,7 +171,7 @@ def test_votes(spark):
         "signal string, grp string, ord int, t int",
     )
     spine = spark.range(1990, 2004).selectExpr("cast(id AS int) AS t")
-    got = {r["t"]: r for r in consensus.vote(sig, spine).collect()}
+    got = {r["t"]: r for r in consensus.vote(sig, spine, names=True).collect()}
     assert len(got) == 14
     assert (got[2000]["votes"], got[2000]["votes_pm1"], got[2000]["signals"]) == (2, 3, "early; late")
     assert (got[2002]["votes"], got[2002]["votes_pm1"], got[2002]["signals"]) == (0, 1, "")
