@@ -3,7 +3,8 @@
 Fitting runs Spark jobs, so the functions that fit are eager. The raw table is read once: its period table is
 settled, and scaling, fits and top categories start from there. The fits for all K advance together, from centres that
 the data give, so the outcome is the same on any number of partitions; see :mod:`periodlens.operators.lloyd`. Points stay
-distributed throughout.
+distributed throughout. A mix of more categories than periods that one task cannot solve is held by category; see
+:mod:`periodlens.operators.wide_lloyd`.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from periodlens.operators import lloyd, mix, series
+from periodlens.operators import lloyd, mix, series, wide_lloyd
 from periodlens.sources.tables import settle
 
 # Fixed value: the scanned K.
@@ -28,14 +29,17 @@ SEEDS = (0,)
 
 @dataclass
 class Eras:
-    """Result of a clustering: the clustered points, the elbow curve, the chosen K and its model."""
+    """Result of a clustering: the clustered points, the elbow curve, the chosen K and its model.
+
+    ``points`` have a vector of standard scores; of a mix that is held by category they are its table, a row per category.
+    """
 
     clusters: DataFrame
     elbow: DataFrame
     best_k: int
     best_cost: float
-    model: lloyd.Fit
-    models: dict[int, lloyd.Fit]
+    model: lloyd.Fit | wide_lloyd.Fit
+    models: dict[int, lloyd.Fit] | dict[int, wide_lloyd.Fit]
     points: DataFrame
 
     def best(self) -> DataFrame:
@@ -115,20 +119,26 @@ def _cluster(
     rows: DataFrame, period: str, dims: int, keep: Sequence[str], ks: Sequence[int], seeds: Sequence[int], rounds: int
 ) -> Eras:
     """Clusters of rows with ``vec``, or with ``idx`` and ``val``."""
-    spark = rows.sparkSession
     points = settle(rows, "periods")
-    size, ks = points.count(), list(ks)
-    if len(ks) < 3 or max(ks) > size:
-        raise ValueError(f"need at least three values of K, none above the number of points, {size}")
+    ks = _checked(ks, points.count())
     scaling = lloyd.measure(points, dims)
     models = lloyd.fit(points, period, scaling, ks, seeds, rounds)
-    curve = spark.createDataFrame([(k, float(m.cost)) for k, m in sorted(models.items())], "k int, wssse double")
+    return _picked(points, period, keep, models, lloyd.scored(points, scaling))
+
+
+def _checked(ks: Sequence[int], size: int) -> list[int]:
+    if len(ks) < 3 or max(ks) > size:
+        raise ValueError(f"need at least three values of K, none above the number of points, {size}")
+    return list(ks)
+
+
+def _picked(points: DataFrame, period: str, keep: Sequence[str], models: dict, shown: DataFrame) -> Eras:
+    """Clusters of the points by the model at the elbow."""
+    curve = points.sparkSession.createDataFrame([(k, float(m.cost)) for k, m in sorted(models.items())], "k int, wssse double")
     picked = elbow(curve, k="k", cost="wssse").first()
     model = models[picked["best_k"]]
     assigned = model.transform(points).select(period, *keep, "prediction")
-    return Eras(
-        _by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, models, lloyd.scored(points, scaling)
-    )
+    return Eras(_by_first(assigned, period), curve, picked["best_k"], picked["best_cost"], model, models, shown)
 
 
 def by_means(
@@ -147,13 +157,21 @@ def by_mix(
     """Group periods by their category shares; adds each period's top category.
 
     Clusters: ``period, num_songs, dominant_<category>, dominant_<category>_count, cluster``. Shares are a sparse vector per
-    period, in the order of the categories, so there may be many of them.
+    period, in the order of the categories; of more categories than periods, and more shares than one task solves, they
+    are a sparse vector per category, so there may be any number of categories.
     """
     counts = settle(mix.category_counts(df, period, category), "mix")
-    vectors, dims = mix.vectors(counts, period, category)
+    size, dims = (counts.select(c).distinct().count() for c in (period, category))
     if dims < 2:
         raise ValueError("a mix needs at least two categories")
-    eras = _cluster(vectors.withColumnRenamed("num_rows", "num_songs"), period, dims, ["num_songs"], ks, seeds, rounds)
+    if dims > size and size * dims > lloyd.BLOCK_CELLS:
+        ks = _checked(ks, size)
+        numbered, rows = mix.by_category(counts, period, category)
+        models = wide_lloyd.fit(wide_lloyd.Table(rows, size), ks, seeds, rounds)
+        eras = _picked(numbered.withColumnRenamed("num_rows", "num_songs"), period, ["num_songs"], models, rows)
+    else:
+        vectors, dims = mix.vectors(counts, period, category)
+        eras = _cluster(vectors.withColumnRenamed("num_rows", "num_songs"), period, dims, ["num_songs"], ks, seeds, rounds)
     top = mix.top_of_counts(counts, period, category)
     eras.clusters = eras.clusters.join(top, period).select(period, "num_songs", *top.columns[1:], "cluster")
     return eras

@@ -67,6 +67,23 @@ def vectors(counts: DataFrame, period: str, category: str) -> tuple[DataFrame, i
     return rows.select(period, "num_rows", F.col("_all.at").alias("idx"), share.alias("val")), numbered.count()
 
 
+def by_category(counts: DataFrame, period: str, category: str) -> tuple[DataFrame, DataFrame]:
+    """Counts per period and category → numbered periods ``(period, num_rows, _at)`` and shares ``(dim, at, val)``. Eager.
+
+    Periods are numbered in their order, nulls first. The shares have a row per category, ``dim``: the periods it was seen
+    in, ascending, and its shares there. No task holds all categories.
+    """
+    totals = counts.select(F.col(period).alias("_p"), "category_count").groupBy("_p").agg(F.sum("category_count").alias("num_rows"))
+    # One row per period, numbered in one task.
+    order = W.orderBy(F.col("_p").asc_nulls_first())
+    numbered = settle(totals.withColumn("_at", (F.row_number().over(order) - 1).cast("int")), "periods")
+    long = counts.select(F.col(period).alias("_q"), F.col(category).alias("dim"), "category_count").join(numbered, F.expr("_p <=> _q"))
+    share = F.try_divide(F.col("category_count").cast("double"), F.col("num_rows").cast("double"))
+    rows = long.groupBy("dim").agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("at"), share.alias("val")))).alias("_all"))
+    rows = settle(rows.select("dim", F.col("_all.at").alias("at"), F.col("_all.val").alias("val")), "shares")
+    return numbered.withColumnRenamed("_p", period), rows
+
+
 def category_values(df: DataFrame, category: str) -> list[str]:
     """Distinct category values in order, for naming columns. Runs a job.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from periodlens.operators import cluster, lloyd
+from periodlens.operators import cluster, lloyd, wide_lloyd
 
 
 def plain(z, k, rounds, first=0):
@@ -97,3 +97,42 @@ def test_too_many_numbers_are_an_error(spark):
     points = spark.createDataFrame([(0, [1.0])], "t int, vec array<double>")
     with pytest.raises(ValueError):
         lloyd.fit(points, "t", lloyd.Scaling(np.zeros(10**7), np.ones(10**7)), [2])
+
+
+def by_category(spark, x, periods):
+    """Points in the rows of ``x`` as a table with a row per dimension."""
+    rows = [(j, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for j, v in enumerate(x.T) if v.any()]
+    return wide_lloyd.Table(spark.createDataFrame(rows, "dim int, at array<int>, val array<double>").repartition(periods), len(x))
+
+
+def test_points_held_by_category_have_the_same_fits(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.random((25, 40)) * (rng.random((25, 40)) < 0.2)
+    # Equal points, and a dimension that is nowhere set.
+    x[11:14], x[:, 7] = x[3], 0
+    sparse = spark.createDataFrame(
+        [(i, np.flatnonzero(v).tolist(), v[v > 0].tolist()) for i, v in enumerate(x)], "t int, idx array<int>, val array<double>"
+    )
+    expected = lloyd.fit(sparse, "t", lloyd.measure(sparse, 40), [2, 3, 6, 24], seeds=(0, 7))
+    owners = {k: [r["prediction"] for r in f.transform(sparse).orderBy("t").collect()] for k, f in expected.items()}
+    for parts, cells in ((1, 1 << 17), (8, 90)):
+        monkeypatch.setattr(wide_lloyd, "CELLS", cells)
+        fits = wide_lloyd.fit(by_category(spark, x, parts), [2, 3, 6, 24], (0, 7), lloyd.ROUNDS)
+        for k, f in fits.items():
+            assert f.owner.tolist() == owners[k] and f.cost == pytest.approx(expected[k].cost, abs=1e-6)
+            z = np.array([r["centre"] for r in f.centres().orderBy("dim").collect()]).T
+            assert np.allclose(z, np.delete(expected[k].centres / lloyd.GRID, 7, axis=1), atol=3e-9)
+
+
+def test_more_categories_than_centres_may_have_numbers(spark, monkeypatch):
+    """The limit on numbers of centres is no limit on categories."""
+    monkeypatch.setattr(lloyd, "BLOCK_CELLS", 1000)
+    monkeypatch.setattr(lloyd, "MOST_CELLS", 1000)
+    monkeypatch.setattr(wide_lloyd, "MOST_CELLS", 1000)
+    rows = [(t, f"{(t or 0) // 10}.{i}") for t in [None, *range(1, 40)] for i in range(60)]
+    eras = cluster.by_mix(spark.createDataFrame(rows, "t int, g string"), "t", "g", range(2, 7))
+    assert eras.best_k == 4
+    # A period without a name takes part but is not among the clusters, which are numbered from it.
+    got = eras.clusters.orderBy("t").collect()
+    assert [r["cluster"] for r in got] == [t // 10 for t in range(1, 40)]
+    assert {(r["num_songs"], r["dominant_g"], r["dominant_g_count"]) for r in got} == {(60, f"{i}.0", 1) for i in range(4)}
