@@ -29,10 +29,13 @@ def csv_roundtrip(spark, sf):
 
 
 def csv_multiline(spark, sf):
-    """The same texts out of one file, read by as many tasks as it has byte ranges: digests and lengths of the texts."""
+    """The same texts out of few large files, read by as many tasks as they have byte ranges: digests and lengths of the texts.
+
+    One file holds all but very large tables; of these a file is as much as one task should write.
+    """
     path = tables.work_dir(spark, "csv")
     docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
-    tables.write_delimited(docs, path, sep=",", single_file=True)
+    tables.write_delimited(docs, path, sep=",", file_chars=tables.FILE_CHARS)
     back = split_csv.read_split_csv(spark, path, docs.schema)
     return back.select("doc_id", "lang", F.md5("text").alias("digest"), F.length("text").cast("long").alias("chars"))
 
