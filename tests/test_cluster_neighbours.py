@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -143,3 +146,51 @@ def test_song_features(spark):
     found = neighbours.recommend(index, spark.createDataFrame([("s3",)], "id string"), 4)
     shown = neighbours.with_display(found, df, "id", ["id", "name", "energy"]).collect()
     assert len(shown) == 4 and all(int(r["id"][1:]) % 2 == 0 and r["name"] == "t" for r in shown)
+
+
+def block(x, groups):
+    return pa.table({
+        "id": pa.array(range(len(x)), pa.int64()), "vec": pa.array(x.tolist(), pa.list_(pa.float64())), "grp": pa.array(groups, pa.list_(pa.string())),
+    })
+
+
+@pytest.mark.parametrize("names", [lambda i: None, lambda i: [f"g{i % 3}"][: i % 11], lambda i: [f"g{i % 900}"], lambda i: [f"a{i % 7}", f"b{i % 3}"][: i % 3]])
+@pytest.mark.parametrize("dims", [1, 3, 20])
+def test_leaves_lose_no_neighbour(names, dims):
+    """Against all pairs, with ties, and a row that is no number, which takes no part."""
+    x = np.round(np.random.default_rng(dims).normal(size=(1500, dims)), 1)
+    x[700, 0] = np.nan
+    groups = [names(i) for i in range(len(x))]
+    rows = block(x, groups)
+    seeds = np.arange(0, 1500, 20)
+    found = neighbours._block_top_k(5)(rows, rows.take(seeds)).to_pylist()
+    for s in set(seeds.tolist()) - {700}:
+        dist = np.sqrt(((x - x[s]) ** 2).sum(axis=1))
+        fit = [i for i in range(1500) if i not in (s, 700) and not set(groups[i] or ()) & set(groups[s] or ())]
+        best = sorted((dist[i], i) for i in fit)[:5]
+        assert sorted((r["dist"], r["id"]) for r in found if r["seed"] == s) == best
+    assert not [r for r in found if 700 in (r["seed"], r["id"])]
+
+
+def test_far_rows_are_not_compared(monkeypatch):
+    compared, squares = Counter(), neighbours._squares
+    monkeypatch.setattr(neighbours, "_squares", lambda y, x, n: compared.update(n=len(y) * len(x)) or squares(y, x, n))
+    x = np.random.default_rng(3).normal(size=(20_000, 3))
+    rows = block(x, [[f"g{int(v > 0)}"] for v in x[:, 0]])
+    assert neighbours._block_top_k(10)(rows, rows.slice(0, 8000)).num_rows == 80_000
+    assert compared["n"] < 20_000 * 8000 / 2
+
+
+def test_rows_are_sent_a_fixed_number_of_times(spark, monkeypatch):
+    """However many blocks of the least size there are: what is found grows with the rows, not with their square."""
+    monkeypatch.setattr(neighbours, "BLOCK", 10)
+    x = np.random.default_rng(8).normal(size=(800, 2))
+    rows = spark.createDataFrame([(i, v.tolist(), None, 0) for i, v in enumerate(x)], "id bigint, vec array<double>, grp array<string>, b int")
+    for n in (400, 800):
+        some = rows.filter(F.col("id") < n)
+        seeds = some.select(*[F.col(c).alias(c) for c in some.columns])
+        assert neighbours.meet(some, seeds, ["b"], 3).count() <= n * 8 * 3
+    got = neighbours.exact(rows, rows.filter("id % 100 = 0"), 3).collect()
+    for s in range(0, 800, 100):
+        dist = np.sqrt(((x - x[s]) ** 2).sum(axis=1))
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == s] == np.argsort(dist)[1:4].tolist()
