@@ -24,7 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: Jaccard similarity of 0.8 or more on shingles of five words."""
+    """One document of each group of near copies: Jaccard similarity of 0.8 or more on shingles of five words.
+
+    Candidates are what ``op4_simhash`` groups and what shares a band of MinHashes; all of them are measured.
+    """
     return near_copies.keep_one(docs)
 
 

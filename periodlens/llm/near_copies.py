@@ -1,8 +1,10 @@
-"""Near copies by the Jaccard similarity of their word shingles: candidates by MinHash bands, all of them measured.
+"""Near copies by the Jaccard similarity of their word shingles: candidates by SimHash and MinHash bands, all measured.
 
-Each different set of shingles has ``BANDS`` band values of ``PER_BAND`` MinHashes. Sets that share one are measured
-against each other; those of similarity ``LEAST`` or more are linked, and links are joined to groups. A pair of
-similarity 0.8 shares no band with probability (1 - 0.8⁴)¹⁶ = 0.0002; no pair below ``LEAST`` is linked. A bucket of more
+Texts that :mod:`periodlens.llm.simhash` groups are candidates of each other. Two bits of 64 are too strict to find most
+pairs of similarity 0.8, so each different set of shingles has ``BANDS`` band values of ``PER_BAND`` MinHashes as well.
+Sets that share a SimHash group or a band are measured against each other; those of similarity ``LEAST`` or more are
+linked, and links are joined to groups. A pair of similarity 0.8 shares no band with probability (1 - 0.8⁴)¹⁶ = 0.0002;
+no pair below ``LEAST`` is linked. A bucket of more
 than ``BLOCK`` sets is measured block against block, each set being sent once for every block of its bucket; within a task
 only sets with a rare shingle in common are measured. A bucket of many sets that are not alike thus costs little time.
 
@@ -20,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from periodlens.llm import simhash
 from periodlens.llm.common import arrow_map, narrow
 from periodlens.llm.components import roots
 from periodlens.llm.simhash import one_of_each, row_key
@@ -158,9 +161,9 @@ def _in_blocks(found: DataFrame) -> DataFrame:
     return paired.select("bucket", F.least("own", "with").alias("one"), F.greatest("own", "with").alias("other"), "node")
 
 
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """``(bucket, node)`` of sets that share a band value. Of buckets with the same members one is kept."""
-    every = nodes.select(F.explode("bands").alias("bucket"), "node")
+def _candidates(nodes: DataFrame, alike: DataFrame) -> DataFrame:
+    """``(bucket, node)`` of sets that share a band value or, by ``alike``, a bucket. Of buckets with the same members one is kept."""
+    every = nodes.select(F.explode("bands").alias("bucket"), "node").union(alike.select("bucket", "node").distinct())
     members = every.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"))
     first = members.filter("n > 1").groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
     return every.join(first, "bucket", "left_semi")
@@ -181,7 +184,10 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = settle(arrow_map(cut, f"id {kind}, key bigint, node bigint, bands array<bigint>", named), "bands")
     nodes = rows.groupBy("node").agg(F.min(F.struct("key", "bands")).alias("x")).select("node", "x.*")
-    found = settle(_candidates(nodes), "candidates")
+    # Where SimHash groups have sets in common; the set without shingles is alone.
+    fingerprinted = simhash.groups(docs, id_col, text_col).select("key", F.xxhash64(F.lit("simhash"), "root").alias("bucket")).distinct()
+    alike = rows.filter(F.size("bands") > 0).select("key", "node").distinct().join(fingerprinted, "key").select("bucket", "node")
+    found = settle(_candidates(nodes, alike), "candidates")
 
     def measured(columns: list[list]) -> dict:
         sets = [shingles(t) for t in columns[0]]

@@ -142,6 +142,25 @@ def test_near_copies_with_edited_words_go(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == expected
 
 
+def test_simhash_groups_are_candidates(spark, monkeypatch):
+    """Sets without a band in common meet if their texts are of one SimHash group, and are measured like others."""
+    nodes = spark.createDataFrame([(i, [10 * i, 10 * i + 1]) for i in range(4)], "node bigint, bands array<bigint>")
+    alike = spark.createDataFrame([(7, 1), (7, 3), (7, 3), (8, 2)], "bucket bigint, node bigint")
+    assert sorted(map(tuple, near_copies._candidates(nodes, alike).collect())) == [(7, 1), (7, 3)]
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(999)}" for _ in range(400)]
+    whole = simhash.fingerprint(" ".join(words))
+    edited = (" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(400))
+    near = next(t for t in edited if (simhash.fingerprint(t) ^ whole).bit_count() <= 2)
+    texts = [" ".join(words), near, " ".join(words[::-1]), "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    met, candidates = [], near_copies._candidates
+    monkeypatch.setattr(near_copies, "_candidates", lambda nodes, alike: met.extend(alike.collect()) or candidates(nodes, alike))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [0, 2, 3]
+    # The first two texts are of one group; texts without words are of none.
+    assert sorted(Counter(r["bucket"] for r in met).values()) == [1, 2]
+
+
 def test_stars_connect_what_pairs_do():
     rng = random.Random(11)
     for _ in range(60):
